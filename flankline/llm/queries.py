@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, simhash, warc
 
 QUERIES = {
+    "op2_warc_normaliser": warc.op2,
     "op6_simhash_near_dedup": simhash.op6,
+    "op9_source_mixing": mixing.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc_normaliser": warc.SQL,
+    "op9_source_mixing": mixing.SQL,
+}
