@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, warc
+from . import mixing, packing, simhash, warc
 
 QUERIES = {
     "op2_warc_normaliser": warc.op2,
+    "op3_best_fit_packing": packing.op3,
     "op6_simhash_near_dedup": simhash.op6,
     "op9_source_mixing": mixing.op9,
 }
