@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, toxicity, warc
+from . import langid, mixing, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1,
     "op2_warc_normaliser": warc.op2,
     "op3_best_fit_packing": packing.op3,
     "op6_simhash_near_dedup": simhash.op6,
+    "op8_language_crf": langid.op8,
     "op9_source_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
 }
