@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, simhash, toxicity, warc
+from . import covertree, langid, mixing, packing, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1,
     "op2_warc_normaliser": warc.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_exact_top_k": topk.op4,
+    "op5_cover_tree_near_dedup": covertree.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op8_language_crf": langid.op8,
     "op9_source_mixing": mixing.op9,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc_normaliser": warc.SQL,
+    "op4_exact_top_k": topk.SQL,
     "op9_source_mixing": mixing.SQL,
 }
