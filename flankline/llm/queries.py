@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, langid, mixing, packing, quality, simhash, topk, toxicity, warc
+from . import covertree, langid, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_top_k": topk.op4,
     "op5_cover_tree_near_dedup": covertree.op5,
     "op6_simhash_near_dedup": simhash.op6,
+    "op7_license_scan": licenses.op7,
     "op8_language_crf": langid.op8,
     "op9_source_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc_normaliser": warc.SQL,
     "op4_exact_top_k": topk.SQL,
+    "op7_license_scan": licenses.SQL,
     "op9_source_mixing": mixing.SQL,
 }
