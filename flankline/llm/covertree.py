@@ -288,7 +288,7 @@ def threshold_links(vectors: DataFrame, cosine: float, block: int = BLOCK) -> Da
     sides = pairs.select("label", "dim", "a", "b", F.col("a").alias("at"), F.lit(0).alias("side")).union(pairs.where("a != b").select("label", "dim", "a", "b", F.col("b").alias("at"), F.lit(1).alias("side")))
     work = placed.drop("cell").join(sides, ["label", "dim", "at"])
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         here, there = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(here) or (key[2] != key[3] and not len(there)):
             return pd.DataFrame({"rep": [], "links": [], "other": []})

@@ -143,21 +143,28 @@ def allocation(counts: np.ndarray, n: int, limit: int) -> list[tuple[list[int],
     return best[1]
 
 
+def _keys(part: int, bits: list[int], threshold: int) -> list:
+    """Arrays of (part, key, own): the fingerprint's own bits in a partition and those up to ``threshold`` flips away."""
+    own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+
+    def key(value, mine: bool):
+        return F.struct(F.lit(part).alias("part"), value.alias("key"), F.lit(mine).alias("own"))
+
+    out = [F.array(key(own, True))]
+    for d in range(1, threshold + 1):
+        flips = F.lit([_signed(sum(1 << b for b in some)) for some in combinations(bits, d)])
+        asked = F.transform(flips, lambda x: key(own.bitwiseXOR(x), False))
+        # one of two neighbours has the lesser key: it alone asks for the other
+        out.append(F.filter(asked, lambda s: s["key"] > own))
+    return out
+
+
 def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints at most ``limit`` bits apart: enough of them to connect
-    whatever is connected, and only true ones. ``fps`` has one row for each distinct fingerprint, column fp."""
+    whatever is connected, and no others (an edge may stand for a path inside one bucket). ``fps`` has one row for each distinct fingerprint, column fp."""
     counts, n = bit_counts(fps)
     plan = allocation(counts, n, limit)
-    keys = []
-    for part, (bits, threshold) in enumerate(plan):
-        mask = sum(1 << b for b in bits)
-        own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        keys.append(F.array(F.struct(F.lit(part).alias("part"), own.alias("key"), F.lit(True).alias("own"))))
-        for d in range(1, threshold + 1):
-            flips = [sum(1 << b for b in some) for some in combinations(bits, d)]
-            made = F.transform(F.lit([_signed(x) for x in flips]), lambda x, own=own, part=part: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(x).alias("key"), F.lit(False).alias("own")))
-            # one of two neighbours has the lesser key: it alone asks for the other
-            keys.append(F.filter(made, lambda s, own=own: s["key"] > own))
+    keys = [k for part, (bits, threshold) in enumerate(plan) for k in _keys(part, bits, threshold)]
     if not keys:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     rows = fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.part", "k.key", "k.own")
