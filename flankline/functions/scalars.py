@@ -100,7 +100,7 @@ def regulator_class_of_text(product: Column) -> Column:
 
 def evidence_terms(*values: Column) -> Column:
     """Lower-case set of whole strings; give single strings as one-element arrays."""
-    return F.array_distinct(F.transform(F.concat(*(F.coalesce(v, F.array().cast("array<string>")) for v in values)), F.lower))
+    return F.array_distinct(F.transform(F.concat(*(F.coalesce(v, F.array().cast("array<string>")) for v in values)), lambda x: F.lower(x)))
 
 
 def rule_fires(rule: Mapping, pfams: Column, terms: Column, kingdom: Column) -> Column:
@@ -211,7 +211,7 @@ def percent_decoded(value: Column) -> Column:
 
 def attributes(raw: Column, pair: str = ";", assign: str = "=") -> Column:
     """key=value;... as a map; ``.`` is empty; later keys win; an item without ``=`` is an error."""
-    items = F.filter(F.transform(F.split(raw, f"[{pair}]"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(raw, f"[{pair}]"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.transform(
         items,
         lambda x: F.when(
@@ -225,7 +225,7 @@ def attributes(raw: Column, pair: str = ";", assign: str = "=") -> Column:
 
 def list_cell(cell: Column) -> Column:
     """``a|b`` as an array; ``[]`` and nothing are empty."""
-    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.trim(F.coalesce(cell, F.lit(""))) == "[]", F.array().cast("array<string>")).otherwise(parts)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flankline.session import checkpoint_folder
+
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
 
@@ -16,6 +18,7 @@ def ancestor_closure(nodes: DataFrame, child: str = "taxon_id", parent: str = "p
     Path lengths double with each join, so a tree of depth d takes log2(d) rounds. A root is its own parent
     or has none; a cycle shows as paths longer than ``max_depth`` and is an error.
     """
+    checkpoint_folder(nodes.sparkSession)
     pairs = nodes.select(F.col(child).alias("node"), F.col(parent).alias("up"))
     known = pairs.select(F.col("node").alias("up"))
     steps = pairs.where("up IS NOT NULL AND up <> node").join(known, "up", "left_semi").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
@@ -28,7 +31,7 @@ def ancestor_closure(nodes: DataFrame, child: str = "taxon_id", parent: str = "p
             break
         if reach > max_depth:
             raise ValueError("the taxonomy has a cycle")
-        paths = paths.union(longer).cache()  # read by every later round
+        paths = paths.union(longer).checkpoint()  # read by every later round; the plan must not double with it
         reach *= 2
     return pairs.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(paths)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,15 @@ def local_session(cores: int | None = None, memory: str = "8g", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .getOrCreate()
     )
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set (tests on one machine) a temporary one is set."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = context.getCheckpointDir()
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="flankline-")
+            context.setCheckpointDir(folder)
+    return folder
