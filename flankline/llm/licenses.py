@@ -15,7 +15,6 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
-from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,31 +72,40 @@ def pivotal(grams: set[str], threshold: float) -> list[str]:
     return out
 
 
-def passages(text: Column) -> Column:
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
-    paragraphs = F.transform(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
-    return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), paragraphs), lambda p: F.trim(F.regexp_replace(p, " +", " "))))
+def plain_text(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
+
+
+def passages(plain: Column) -> Column:
+    paragraphs = F.transform(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.regexp_replace(p, r" *\n *", " "))
+    return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), paragraphs), lambda x: F.trim(x)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, license, dice, passages) for every licence that some passage of a document matches."""
+    """(id, license, dice, passages) for every licence that some passage of a document matches.
+
+    Texts, then passages, without a pivotal word go first; what is left is little. The bigrams of a passage are bound once,
+    as the variable of a lambda function: a column would be evaluated again wherever the optimiser copies it to.
+    """
     known = [(name, sorted(bigrams(body))) for name, body in templates]
-    ranges = sorted(bounds(len(g), threshold) for _, g in known)
-    words_of = sorted({w for _, g in known for w in pivotal(set(g), threshold)})
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(passages(F.col(text))).alias("passage"))
-    # n distinct bigrams take more than n words; repeated ones only make a passage longer
-    long_enough = F.length("passage") - F.length(F.replace("passage", F.lit(" "), F.lit(""))) >= ranges[0][0]
-    split = lines.where(long_enough).select("id", "passage", F.split("passage", " ").alias("words"))
-    split = split.where(F.arrays_overlap("words", F.lit(words_of)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    grams = split.select("id", "passage", F.array_distinct(pairs).alias("grams")).withColumn("a", F.size("grams"))
-    fits = [(name, g, *bounds(len(g), threshold)) for name, g in known]
-    grams = grams.where(reduce(lambda x, y: x | y, (F.col("a").between(lo, hi) for _, _, lo, hi in fits)))
-    dice = [
-        F.when(F.col("a").between(lo, hi), F.struct(F.lit(name).alias("license"), (2.0 * F.size(F.array_intersect("grams", F.lit(g))) / (F.col("a") + len(g))).alias("dice")))
-        for name, g, lo, hi in fits
-    ]
-    found = grams.select("id", "passage", F.explode(F.array_compact(F.array(*dice))).alias("m")).where(F.col("m.dice") >= threshold)
+    words_of = F.lit(sorted({w for _, g in known for w in pivotal(set(g), threshold)}))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), plain_text(F.col(text)).alias("plain"))
+    texts = texts.where(F.arrays_overlap(F.split("plain", "[ \n]"), words_of))
+    lines = texts.select("id", F.explode(passages(F.col("plain"))).alias("passage")).where(F.arrays_overlap(F.split("passage", " "), words_of))
+
+    def matches(grams: Column) -> Column:
+        tests = []
+        for name, g in known:
+            lo, hi = bounds(len(g), threshold)
+            dice = 2.0 * F.size(F.array_intersect(grams, F.lit(g))) / (F.size(grams) + len(g))
+            tests.append(F.when(F.size(grams).between(lo, hi), F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
+        return F.filter(F.array(*tests), lambda m: m["dice"] >= threshold)
+
+    def grams_of(words: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
+
+    words = F.filter(F.array(F.split("passage", " ")), lambda w: F.size(w) > 1)
+    found = lines.select("id", "passage", F.explode(F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.array(grams_of(w)), matches))))).alias("m"))
     return found.groupBy(F.col("id").alias(id_col), F.col("m.license").alias("license")).agg(F.max("m.dice").alias("dice"), F.count_distinct("passage").alias("passages"))
 
 
