@@ -321,3 +321,44 @@ def test_shards_and_scan(spark):
     assert catalog.shards(d, "dataset_name", "phylum", "count", 2, most=1).count() == 1
     guarded = spark.createDataFrame([("coxL gene", True), ("cooS", False)], "p string, want boolean").select(anchors.guard(["p"], F.lit("coxL"), {"coxL": ["coxl", "carbon monoxide"]}).alias("g"), "want")
     assert all(r.g == r.want for r in guarded.collect())
+
+
+def test_efi(spark, tmp_path):
+    import sqlite3
+
+    from flankline.sources import efi
+
+    with sqlite3.connect(tmp_path / "e.db") as db:
+        for name, schema in (("neighborhoods", efi.NEIGHBORHOODS), ("genes", efi.GENES)):
+            db.execute(f"CREATE TABLE {name} ({', '.join(c.split()[0] for c in schema.split(', '))})")
+        db.executemany("INSERT INTO neighborhoods VALUES (?,?,?,?,?,?,?,?,?,?,?)", [(f"k{c}", c, f"A{c}", "coxL", "o", 7, "ctg", 2, 0, '["coxL"]', None) for c in (1, 2)])
+        for c in (1, 2):
+            db.executemany("INSERT INTO genes VALUES (?,?,?,?,?,?,?,?,?,?,?,?,?,?,?)", [(f"k{c}", g, o, s, s + 100, "+", "p", '["PF1"]', None, None, None, "unknown", "none", None, 0) for g, o, s in ((f"R{c}", 3, 10), (f"A{c}", 4, 200))])
+    loci, genes = efi.read_efi(spark, str(tmp_path / "e.db"), ["CO", "CN"], [1])
+    assert {r.locus_id: r.operon_integrity_score for r in loci.collect()} == {"CO_1_A1": 1.0, "CN_1_A1": 1.0}
+    assert {(r.locus_id, r.relative_index, r.relative_start) for r in genes.collect()} == {(f"{a}_1_A1", i, s) for a in ("CO", "CN") for i, s in ((-1, -190), (0, 0))}
+    assert efi.read_efi(spark, str(tmp_path / "e.db"), ["CO"], [])[0].count() == 0
+    assert efi.read_efi(spark, str(tmp_path / "e.db"), ["CO"])[0].count() == 2
+
+
+def test_reports_and_generators(spark):
+    from flankline.operators import reports
+    from flankline.sources import generate
+
+    loci, genes, truth = generate.synthetic_truth(spark, 40, 8)
+    assert truth.join(genes.where("is_regulator_candidate"), ["locus_id", "gene_accession"]).count() == 8 == genes.where("is_regulator_candidate").count()
+    features = generate.scaling_features(spark)
+    hits = features.where("gene IS NOT NULL").select(F.when(F.col("gene") == "coxL", "CO").otherwise("CN").alias("analyte"), "dataset_name", F.col("gene").alias("anchor_family"), "protein_accession", "locus_tag", "gene")
+    found, around = discovery.extract(features, hits, 4)
+    assert 12 <= found.count() <= 32 and 80 <= around.count() <= 320
+    shown = reports.display_architectures(
+        spark.createDataFrame([("L", "coxL")], "locus_id string, anchor_family string"),
+        gene(spark, dict(is_regulator_candidate=True, regulator_class="one_component", sensory_domains=["PAS", "GAF"]), {}, dict(functional_class=" ")),
+    ).first()
+    assert shown.architecture_string == "[-1:one_component:PAS-GAF][0:coxL][+1:unknown]"
+    seeds = spark.createDataFrame([("a", "x coxS", "S"), ("b", "y GN=coxL z", "L")], "accession string, description string, sequence string").coalesce(1)
+    assert [reports.seed_for_family(seeds, f) for f in ("coxL", "coxs", "none")] == ["L", "S", "S"]
+    rec = spark.createDataFrame([("CO", True, False), ("CO", False, False), ("CO", True, True)], "analyte string, hit boolean, is_negative_control boolean")
+    arch = spark.createDataFrame([("CO", f"arch_{k}", 10 - k) for k in range(8)], "analyte string, archetype_id string, n_loci int")
+    text = reports.captions(scoring.score_loci(locus(spark), LOCUS_WEIGHTS, LADDER), arch, rec, ["CO"])
+    assert text["recovery"] == "1 of 2 benchmark rows are recovered (50.0%)." and "86.5%" in text["archetypes"] and text["loci"].startswith("CO: 1 loci")
