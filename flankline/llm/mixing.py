@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, table
+from .shared import WORD, saved, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -55,17 +55,19 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], share: floa
 def mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
-    text: str = "text",
+    text: str | None = "text",
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken.
 
-    Ranks come from three levels: counts by (source, size class, slice) are summed first, their running
-    sum gives each group's first rank, and ``row_number`` ranks inside a group. Only the counts, at most
+    With ``text`` None the column ``size`` is already there, and ``narrow`` may be a saved table of id, source and size
+    to plan from. Ranks come from three levels: counts by (source, size class, slice) are summed first, their
+    running sum gives each group's first rank, and ``row_number`` ranks inside a group. Only the counts, at most
     some thousand rows for a source, meet by source.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
@@ -75,13 +77,15 @@ def mixed(
     def grouped(df: DataFrame) -> DataFrame:
         digits = F.greatest(F.length(F.col("size").cast("string")) - 2, F.lit(0))
         return (
-            df.withColumn("size", words(F.col(text)))
-            .withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
+            df.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
             .withColumn("__class", F.col("size") - F.col("size") % F.pow(F.lit(10), digits).cast("long"))
             .withColumn("__slice", F.coalesce(F.pmod(F.col(id_col), F.lit(SLICES)), F.lit(0)).cast("int"))
         )
 
-    counts = grouped(docs.select(source, id_col, text)).groupBy(source, *group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    rows = docs.select(*names, "size" if text is None else words(F.col(text)).alias("size"))
+    if narrow is None:
+        narrow = rows if text is None else saved(rows.select(source, id_col, "size"), "sizes")
+    counts = grouped(narrow).groupBy(source, *group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     per_source = targets(counts.groupBy(source, "__key").agg(F.sum("words").alias("source_size")), source, weights, share, cap)
     running = Window.partitionBy("__key").orderBy("__class", "__slice").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("__before", F.coalesce(F.sum("n").over(running), F.lit(0))).select(*group, "__before")
@@ -90,7 +94,7 @@ def mixed(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(source), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        grouped(docs.select(*names))
+        grouped(rows)
         .withColumn("__rank", rank)
         .join(plan, group)  # the rank has dealt the rows by these keys already
         .withColumn("__i", F.col("__before") + F.col("__rank"))
@@ -100,15 +104,17 @@ def mixed(
     )
 
 
-def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it has copies, with the columns of ``docs``."""
-    names = docs.columns
-    return mixed(docs, **options).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+def emitted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as many times as it has copies, with its columns as they are."""
+    narrow = saved(docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), words(F.col(text)).alias("size")), "sizes")
+    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source).alias("__source"), words(F.col(text)).alias("size"))
+    taken = mixed(held, "__id", None, "__source", narrow=narrow, **options).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    return mixed(saved(docs, "sizes"), text=None).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

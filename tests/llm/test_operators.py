@@ -429,7 +429,8 @@ def test_mix_odd_rows(odd):
     twice = mixing.mixed(odd).toPandas()
     assert sorted(out.taken) == sorted(twice.taken)
     assert mixing.emitted(odd).columns == odd.columns
-    assert mixing.emitted(odd).count() == out.copies.sum()
+    mix = mixing.emitted(odd).toPandas()
+    assert len(mix) == out.copies.sum() and set(mix["size"]) == {"y"} and set(mix.fp) == {"x"}
     assert mixing.mixed(odd.where("false")).count() == 0
 
 
