@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
@@ -29,11 +29,20 @@ def annotate_domains(genes: DataFrame, key: str, *tables: DataFrame) -> DataFram
     return genes
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated once for each row. A filter on a plain column is pushed below it with a copy of its
+    expression, and rule expressions are long; nothing is pushed below a generator."""
+    made = rows.withColumn("__once", F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+    kept = [c for c in rows.columns if c not in columns]
+    return made.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"__once.{c}").alias(c) for c in columns))
+
+
 def classify_regulators(genes: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
-    by_domain = S.regulator_class(F.col("pfam_ids"), rules)
+    genes = once(genes, __by_domain=S.regulator_class(F.col("pfam_ids"), rules))
+    by_domain = F.col("__by_domain")
     supported = (F.size("pfam_ids") > 0) | (F.size("interpro_ids") > 0)
     name = F.when((by_domain == "none") & supported, S.regulator_class_of_text(F.col("product_description"))).otherwise(by_domain)
-    out = genes.withColumn("regulator_class", name).withColumn("is_regulator_candidate", F.col("regulator_class") != "none")
+    out = once(genes, regulator_class=name).drop("__by_domain").withColumn("is_regulator_candidate", F.col("regulator_class") != "none")
     kept = F.when(F.col("functional_class").isin("metabolic", "transporter", "unknown"), F.col("functional_class")).otherwise("unknown")
     return out.withColumn("functional_class", F.when(F.col("is_anchor"), "anchor").when(F.col("is_regulator_candidate"), "regulator").otherwise(kept))
 
@@ -47,11 +56,11 @@ def assign_sensor_roles(genes: DataFrame, families: Sequence[Mapping], catalog:
     evidence = (F.size(found) > 0) | F.arrays_overlap(pfams, S.strings(sensors))
     annotated = (F.size(pfams) > 0) | (F.size("interpro_ids") > 0) | (F.length(F.coalesce("product_description", F.lit(""))) > 0) | F.col("is_regulator_candidate")
     inferred = S.regulator_class(pfams, families)
-    out = genes.withColumn("__class", inferred).withColumn("__evidence", evidence).withColumn("__annotated", annotated)
+    out = once(genes, __class=inferred, __evidence=evidence, __annotated=annotated)
     out = out.withColumn("__role", S.sensor_role(F.col("is_anchor"), F.col("__class"), F.col("__evidence"), F.col("__annotated")))
     rescued = (F.col("__class") == "none") & F.col("is_regulator_candidate")
     role = F.when(rescued & (F.col("__role") == "sensor"), "both").when(rescued & F.col("__role").isin("accessory", "none"), "regulator").otherwise(F.col("__role"))
-    out = out.withColumn("regulator_class", F.when(rescued, F.col("regulator_class")).otherwise(F.col("__class"))).withColumn("sensor_role", role)
+    out = once(out, regulator_class=F.when(rescued, F.col("regulator_class")).otherwise(F.col("__class")), sensor_role=role)
     out = out.withColumn("is_regulator_candidate", F.col("sensor_role").isin("regulator", "both"))
     kind = F.when(F.col("sensor_role") == "anchor", "anchor").when(F.col("is_regulator_candidate"), "regulator").when(F.col("sensor_role") == "sensor", "unknown").otherwise(F.col("functional_class"))
     return out.withColumn("functional_class", kind).drop("__class", "__evidence", "__annotated", "__role")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
+from flankline.operators.annotate import once
 
 LOCUS_COMPONENTS = {
     "anchor_marker": "anchor_marker_score",
@@ -72,14 +73,14 @@ def score_candidates(loci: DataFrame, genes: DataFrame, weights: Mapping[str, fl
         kingdom = F.col("superkingdom") if "superkingdom" in rows.columns else F.lit("")
         wanted = F.create_map(*(x for k, v in sorted(expected.items()) for x in (F.lit(k), S.strings(sorted(v))))) if expected else None
         mine_expected = F.coalesce(wanted[F.col("analyte")], S.strings([])) if wanted is not None else S.strings([])
-        score, primary = sensory_score(domains, S.chemistries(pfams, catalog, rules, domains, terms, kingdom), mine_expected)
+        rows = once(rows, __found=S.chemistries(pfams, catalog, rules, domains, terms, kingdom), __expected=mine_expected)
+        score, primary = sensory_score(domains, F.col("__found"), F.col("__expected"))
+    rows = once(rows, sensory_domain_score=score, primary_sensory_chemistry=primary)
     rows = (
         rows.withColumn("candidate_id", F.concat_ws("::", "locus_id", "gene_accession"))
         .withColumn("distance_nt", S.distance_nt("relative_start", "relative_stop"))
         .withColumn("position", S.position("relative_index"))
         .withColumn("dna_binding_domains", S.only(pfams, S.DNA_BINDING_CANDIDATE))
-        .withColumn("sensory_domain_score", score)
-        .withColumn("primary_sensory_chemistry", primary)
         .withColumn("regulator_domain_score", S.regulator_domain_score(pfams, F.col("regulator_class")))
         .withColumn("proximity_score", S.proximity("relative_index"))
         .withColumn("archetype_id", F.lit(None).cast("string"))
@@ -94,6 +95,7 @@ def score_candidates(loci: DataFrame, genes: DataFrame, weights: Mapping[str, fl
         )
         rows = attach_enrichment(rows, "candidate_id", features, enrichment, cap)
     rows = candidate_score(rows, weights)
+    rows = rows.drop("__found", "__expected")
     text = F.format_string("%s regulator %s of %s locus; %d sensory domain(s); candidate score %.3f", "regulator_class", "position", "anchor_family", F.size(domains), "candidate_score")
     return rows.withColumn("rationale", text).orderBy(F.desc("candidate_score"), "candidate_id")
 
