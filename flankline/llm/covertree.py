@@ -8,8 +8,8 @@ radii plus the threshold distance, and taken as a whole when even its farthest m
 
 Only sums of links for each vector and spanning edges leave a task, never the pairs themselves.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
-null label, link with nothing; vectors of different lengths do not link; rows that repeat a vector
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
+null label or id, link with nothing; vectors of different lengths do not link; rows that repeat a vector
 (ids too) are linked copies; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -306,7 +306,7 @@ def _usual_dim(vectors: DataFrame) -> int:
 def vector_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     every = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    fit = whole(every, "v").where(F.col("label").isNotNull() & F.exists("v", lambda x: x != 0.0))
+    fit = whole(every, "v").where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0.0))
     distinct = saved(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).select("label", F.size("v").alias("dim"), "rep", "m", "v"), "vectors")
     found = saved(threshold_links(distinct, cosine, block), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
@@ -315,12 +315,32 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     per_rep = per_rep.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("component"))
     linked_rows = fit.join(per_rep, ["label", "v"]).select("id", "n", "component")
     zero = F.lit(0).cast("long")
-    rest = every.select("id").withColumn("n", zero).withColumn("component", F.col("id"))
-    usable = F.col("label").isNotNull() & F.col("v").isNotNull()
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     usable &= F.forall(F.col("v").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0)
     rest = every.where(~F.coalesce(usable, F.lit(False))).select("id", zero.alias("n"), F.col("id").alias("component"))
-    return linked_rows.union(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return linked_rows.union(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+  SELECT vec_id, label, w, sqrt(list_inner_product(w, w)) AS norm FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
+  WHERE list_inner_product(a.w, b.w) / (a.norm * b.norm) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), k AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_warc_normaliser": warc.SQL,
     "op4_exact_top_k": topk.SQL,
+    "op5_cover_tree_near_dedup": covertree.SQL,
     "op7_license_scan": licenses.SQL,
     "op9_source_mixing": mixing.SQL,
 }

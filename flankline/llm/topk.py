@@ -7,7 +7,7 @@ may still gain is bounded by Cauchy-Schwarz over what has not been processed of
 Processing stops only when that bound proves that everything outside the remaining candidates is below the
 k-th best score that is certain; those candidates are then scored exactly.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; vectors of
+Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors of
 other lengths than the query's take no part with it; repeated rows are separate candidates (a query leaves out
 all rows of its own id); ties go to the smaller id; an empty table gives an empty result; further columns
 are ignored.
@@ -91,8 +91,7 @@ def whole(vectors: DataFrame, vector: str) -> DataFrame:
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector: str = "vec") -> DataFrame:
     """(query_id, rank, id, score) of integer vectors; a query's own id is left out."""
-    rows = candidates.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    rows, asked = (df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")) for df in (candidates, queries))
     blocks = max(1, -(-rows.count() // BLOCK))
     groups = max(1, -(-asked.count() // QUERIES))
     # all queries meet all candidates, block by block: each side is repeated for the other's blocks

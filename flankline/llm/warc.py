@@ -106,12 +106,13 @@ class Placed:
 
 
 def typed(pages: DataFrame, id_col: str, payload: str, min_bytes: int) -> DataFrame:
-    """Each page's id, payload and the id it revisits (null for responses)."""
-    body = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    digests = body.select("id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= min_bytes)
+    """Each page's id, payload and the id it revisits (null for responses). Digests travel, payloads are shuffled once."""
+    bytes_ = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    body = pages.select(F.col(id_col).alias("id"), bytes_.alias("payload"), F.sha2(bytes_, 256).alias("digest"))
+    digests = body.where(F.length("payload") >= min_bytes).select("id", "digest")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    repeats = digests.join(firsts, "digest").where("id > first").select("id", "first").distinct()
-    return body.join(repeats, "id", "left")
+    repeats = digests.join(firsts, "digest").where("id > first").distinct()
+    return body.join(repeats, ["id", "digest"], "left").select("id", "payload", "first")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload: str = "html", min_bytes: int = 100) -> DataFrame:

@@ -96,14 +96,15 @@ def test_quality_odd_rows(odd, labels, spark):
 
 def test_warc_round_trip(spark):
     big = "ä" * 60
-    rows = [(5, big), (3, big), (4, "tiny"), (2, "tiny"), (1, None), (7, ""), (6, "WARC/1.1\r\n\r\n" * 20), (8, big + "!"), (3, big)]
+    rows = [(5, big), (3, big), (9, big + "?"), (9, big), (None, big), (4, "tiny"), (2, "tiny"), (1, None), (7, ""), (6, "WARC/1.1\r\n\r\n" * 20), (8, big + "!"), (3, big)]
     pages = spark.createDataFrame([(i, "u", h, "path") for i, h in rows], "page_id long, url string, html string, path string").repartition(2)
     folder = warc.new_path(spark, "test")
     archives = warc.write_archives(pages, folder)
     members = warc.normalise(archives, folder + "-members")
     back = warc.read_records(members).toPandas()
     assert len(back) == len(rows)
-    for _, r in back.iterrows():
+    assert sorted(back[back.type == "revisit"].uri) == ["page:5", "page:9"] and (back.uri == "page:").sum() == 1
+    for _, r in back[~back.uri.isin(["page:", "page:9"])].iterrows():
         page = int(r.uri[5:])
         want = (dict(rows)[page] or "").encode()
         if page == 5:
@@ -188,7 +189,7 @@ def test_knapsack_by_brute_force():
 
 
 def test_top_k_odd_rows(spark):
-    rows = [(0, [1, 2]), (1, [3, -1]), (2, [3, -1]), (100, [0, 5]), (200, None), (300, [1, None]), (400, [7, 7, 7]), (0, [9, 9])]
+    rows = [(0, [1, 2]), (1, [3, -1]), (2, [3, -1]), (100, [0, 5]), (200, None), (300, [1, None]), (400, [7, 7, 7]), (0, [9, 9]), (None, [9, 9])]
     v = spark.createDataFrame(rows, "id long, v array<int>")
     fit = topk.whole(v, "v").withColumn("v", F.col("v").cast("array<long>"))
     got = sorted((r.query_id, r["rank"], r.id, r.score) for r in topk.top_k(fit.where("id = 100"), fit, 2, "id", "v").collect())
@@ -246,8 +247,10 @@ def test_vector_groups(spark, block):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 6))
     x = [(base[i % 12] + rng.normal(size=6) * 0.05).tolist() for i in range(60)]
-    rows = [(k, v, k % 2, "n") for k, v in enumerate(x)] + [(60, x[0], 0, "n"), (61, x[0], None, "n"), (62, None, 0, "n"), (63, [0.0] * 6, 0, "n"), (64, [float("nan")] * 6, 0, "n"), (65, [1.0], 0, "n"), (66, [], 0, "n")]
-    got = covertree.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n string"), block=block).toPandas().set_index("vec_id").sort_index()
+    rows = [(k, v, k % 2, "n") for k, v in enumerate(x)] + [(60, x[0], 0, "n"), (61, x[0], None, "n"), (62, None, 0, "n"), (63, [0.0] * 6, 0, "n"), (64, [float("nan")] * 6, 0, "n"), (65, [1.0], 0, "n"), (66, [], 0, "n"), (None, x[0], 0, "n")]
+    got = covertree.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n string"), block=block).toPandas()
+    assert list(got[got.vec_id.isna()].n_links) == [0]
+    got = got.dropna(subset=["vec_id"]).astype({"vec_id": int, "component_id": int}).set_index("vec_id").sort_index()
     ok = np.array(x + [x[0]])
     lab = np.array([k % 2 for k in range(60)] + [0])
     n = np.linalg.norm(ok, axis=1)
