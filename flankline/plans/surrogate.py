@@ -801,12 +801,20 @@ def seed_match(spark, sf_dir):
     return anchors.seed_matches(p, seeds, "q", "seed", 0.0, 0.9).select("item_id", "family", r6("identity").alias("identity"), r6("coverage").alias("coverage"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT item_id AS no, 'f' || item_id AS family, left(text, 60) AS seed FROM benchmark WHERE item_id < 5),
+h AS (SELECT item_id, 'f' || (item_id % 5) AS family, left(text, 60) AS q FROM benchmark),
+j AS (SELECT h.item_id, h.family, s.family AS best, s.no, least(len(q), len(seed)) AS n, least(len(q), len(seed)) / greatest(len(q), len(seed))::DOUBLE AS cov, q, seed FROM h CROSS JOIN s),
+m AS (SELECT *, (SELECT count(*) FROM unnest(range(1, n + 1)) u(i) WHERE substr(q, i, 1) = substr(seed, i, 1)) / n::DOUBLE AS ident FROM j)
+SELECT item_id, family, best AS best_family, round(ident, 6) AS identity, round(cov, 6) AS coverage, CASE WHEN best = family AND ident >= 0.95 AND cov >= 0.95 THEN 'seed_back_confirmed' ELSE 'profile_match' END AS evidence_type
+FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ident DESC, cov DESC, no) = 1
+""")
 def back_confirm(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
     seeds = b.where("item_id < 5").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("seed_family"), F.substring("text", 1, 60).alias("seed"), F.col("item_id").alias("seed_no"))
     hits = b.select("item_id", F.concat(F.lit("f"), (F.col("item_id") % 5).cast("string")).alias("family"), F.substring("text", 1, 60).alias("q"))
-    return anchors.back_confirmed(hits, seeds, ["item_id"], "q", "seed", "family", "seed_family", "seed_no", 0.95, 0.95)
+    out = anchors.back_confirmed(hits, seeds, ["item_id"], "q", "seed", "family", "seed_family", "seed_no", 0.95, 0.95)
+    return out.withColumn("identity", r6("identity")).withColumn("coverage", r6("coverage"))
 
 
 @query()
