@@ -106,12 +106,14 @@ class Placed:
 
 
 def typed(pages: DataFrame, id_col: str, payload: str, min_bytes: int) -> DataFrame:
-    """Each page's id, payload and the id it revisits (null for responses). Digests travel, payloads are shuffled once."""
+    """Each page's id, payload and the id it revisits (null for responses). Only digests travel to find the repeats; those are
+    saved first, so that their size is known when payloads meet them: a few are broadcast by Spark's own size check and
+    no payload moves, many are met by one shuffle."""
     bytes_ = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     body = pages.select(F.col(id_col).alias("id"), bytes_.alias("payload"), F.sha2(bytes_, 256).alias("digest"))
     digests = body.where(F.length("payload") >= min_bytes).select("id", "digest")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    repeats = digests.join(firsts, "digest").where("id > first").distinct()
+    repeats = saved(digests.join(firsts, "digest").where("id > first").distinct(), "repeats")
     return body.join(repeats, ["id", "digest"], "left").select("id", "payload", "first")
 
 
