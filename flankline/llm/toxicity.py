@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features, with isotonic calibration.
 
-The features are densities of a learned lexicon (whole words and five-letter stems, also after undoing
-common letter substitutions), how near its words stand to second-person words, capitals, punctuation
+The features are densities of a learned lexicon (whole words and their beginnings, also after undoing
+common letter substitutions), the weight of its strongest word, how near its words stand to second-person words, capitals, punctuation
 and the rate of obfuscated words. They are learned from a bounded sample of labelled rows (``sample`` of each class), lexicon and
 calibration by folds, so that neither sees the rows that it describes; scoring is one pass over whole texts.
 
@@ -26,13 +26,17 @@ from .shared import bucket_of, column, some_rows, table
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
-STEM = 5
+#: Beginnings of words, so many letters long, that are terms beside the words.
+STEMS = (4, 5)
 FOLDS = 4
 #: A term enters the lexicon if it stands in so many toxic documents and so many times the clean documents' share.
 LEAST_DOCS, LEAST_RATIO, MOST_TERMS = 4, 8.0, 4000
+#: ... and if the likelihood ratio against chance (G squared) is so large, or half of what the classes can give where they are
+#: small: among very many rare words some stand in toxic documents only by chance.
+LEAST_EVIDENCE = 24.0
 MEMO = 400_000
 NEAR = 4
-FEATURES = ["log_words", "lexicon", "lexicon_weight", "stems", "undone", "hits", "distinct", "near_second", "second", "shouted", "capitals", "exclaimed", "asked", "symbols", "obfuscated", "digits"]
+FEATURES = ["log_words", "lexicon", "lexicon_weight", "stems", "undone", "hits", "distinct", "near_second", "second", "shouted", "capitals", "exclaimed", "asked", "symbols", "obfuscated", "digits", "strongest", "weight"]
 
 # fixed values: second-person words of the languages at hand, and letter substitutions
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -45,9 +49,9 @@ HIT, STEMMED, UNDONE, SECOND, SHOUTED, OBFUSCATED = 1, 2, 4, 8, 16, 32
 
 
 def terms(text: str) -> set[str]:
-    """Words of a text in lower case and, marked by #, the stems of longer words."""
+    """Words of a text in lower case and, marked by #, the beginnings of longer words."""
     words = set(_LETTERS.findall(text.lower()))
-    return words | {"#" + w[:STEM] for w in words if len(w) > STEM}
+    return words.union(*({"#" + w[:k] for w in words if len(w) > k} for k in STEMS))
 
 
 class Tokens(dict):
@@ -66,7 +70,7 @@ class Tokens(dict):
         if word in SECOND_PERSON:
             flags |= SECOND
         if word.isalpha():
-            flags |= HIT * (word in self.lexicon) | STEMMED * (len(word) > STEM and "#" + word[:STEM] in self.lexicon)
+            flags |= HIT * (word in self.lexicon) | STEMMED * any("#" + word[:k] in self.lexicon for k in STEMS if len(word) > k)
         elif word:
             plain = "".join(_LETTERS.findall((core if core[-1:].isalnum() else token).lower().translate(SUBSTITUTED)))
             letters = sum(map(str.isalpha, word))
@@ -78,7 +82,8 @@ class Tokens(dict):
 
     def weight(self, token: str) -> float:
         words = _LETTERS.findall(token.lower())
-        return max((self.lexicon.get(w, self.lexicon.get("#" + w[:STEM], 0.0)) for w in words), default=0.0)
+        found = self.lexicon.get
+        return max((max(found(w, 0.0), *(found("#" + w[:k], 0.0) for k in STEMS)) for w in words), default=0.0)
 
 
 def features(text: str | None, tokens: Tokens) -> list[float]:
@@ -97,6 +102,7 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
         gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - hits), np.abs(hits - second[np.maximum(at - 1, 0)]))
         near = int((gap <= NEAR).sum())
     found = [words[i] for i in hits]
+    weights = [tokens.weight(w) for w in found]
     chars = len(text)
     count = text.count
     capitals = sum(map(count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -105,7 +111,7 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
     return [
         np.log1p(n),
         rate(HIT),
-        sum(map(tokens.weight, found)) / n,
+        sum(weights) / n,
         rate(STEMMED),
         rate(UNDONE),
         np.log1p(len(hits)),
@@ -119,6 +125,8 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
         sum(map(count, "*#$%&@^~")) / chars,
         rate(OBFUSCATED),
         digits / chars,
+        max(weights, default=0.0),
+        np.log1p(sum(weights)),
     ]
 
 
@@ -159,7 +167,10 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
     all_bad, all_good = (sum(t[y, k] for k in range(FOLDS)) for y in (1, 0))
     least = min(LEAST_DOCS, max(2, all_bad // 10))
     odds = F.log((bad + 0.5) / (all_bad + 1.0)) - F.log((good + 0.5) / (all_good + 1.0))
-    best = counts.where(F.col("term") != "").where(bad >= least).withColumn("odds", odds).where(F.col("odds") >= float(np.log(LEAST_RATIO)))
+    part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / ((bad + good) * share))).otherwise(0.0)
+    evidence = 2 * (part(bad, all_bad / (all_bad + all_good)) + part(good, all_good / (all_bad + all_good)))
+    enough = min(LEAST_EVIDENCE, all_bad * float(np.log((all_bad + all_good) / max(all_bad, 1))))
+    best = counts.where(F.col("term") != "").where((bad >= least) & (evidence >= enough)).withColumn("odds", odds).where(F.col("odds") >= float(np.log(LEAST_RATIO)))
     got = best.orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
     out = []
     for left in range(FOLDS + 1):
