@@ -257,12 +257,14 @@ def threshold_links(vectors: DataFrame, cosine: float, block: int = BLOCK) -> Da
 
     def assign(batches):
         for batch in batches:
-            values = column(batch, "v")
+            v = batch.column(batch.schema.get_field_index("v"))
+            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
             k = np.minimum(np.array(column(batch, "k")), len(pivots))
-            cell, far = np.zeros(len(values), np.int32), np.full(len(values), 2.0)
-            use = np.flatnonzero((k > 1) & np.array([len(v) == pivots.shape[-1] for v in values], bool)) if len(pivots) else []
+            cell, far = np.zeros(len(sizes), np.int32), np.full(len(sizes), 2.0)
+            use = np.flatnonzero((k > 1) & (sizes == pivots.shape[-1])) if len(pivots) else []
             if len(use):
-                x = np.array([values[i] for i in use], float)
+                starts = np.cumsum(sizes) - sizes
+                x = v.flatten().to_numpy(zero_copy_only=False)[starts[use][:, None] + np.arange(pivots.shape[-1])].astype(np.float64)
                 s = x / np.linalg.norm(x, axis=1, keepdims=True) @ pivots.T
                 s[np.arange(len(pivots))[None, :] >= k[use][:, None]] = -2  # a label uses as many pivots as it needs blocks
                 cell[use] = s.argmax(axis=1)
@@ -306,7 +308,7 @@ def _usual_dim(vectors: DataFrame) -> int:
 def vector_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     every = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    fit = whole(every, "v").where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0.0))
+    fit = whole(every, "v", floats=True).where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0.0))
     distinct = saved(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).select("label", F.size("v").alias("dim"), "rep", "m", "v"), "vectors")
     found = saved(threshold_links(distinct, cosine, block), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))

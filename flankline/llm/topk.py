@@ -82,11 +82,12 @@ class Index:
         return np.flatnonzero(open_rows)
 
 
-def whole(vectors: DataFrame, vector: str) -> DataFrame:
-    """Rows that take part, the vector as an array of doubles."""
+def whole(vectors: DataFrame, vector: str, floats: bool = False) -> DataFrame:
+    """Rows that take part, the vector as an array of doubles; with ``floats`` an array of floats stays one."""
     v = F.col(vector).cast("array<double>")
     fit = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(fit).withColumn(vector, v)
+    same = floats and vectors.schema[vector].dataType.simpleString() == "array<float>"
+    return vectors.where(fit) if same else vectors.where(fit).withColumn(vector, v)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector: str = "vec") -> DataFrame:
