@@ -1,15 +1,42 @@
-"""Command line: run registered queries, index files into the store, search it."""
+"""Command line: index files into the store, search and scan it, extract neighbourhoods, check configurations."""
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flankline import config
 from flankline.operators import catalog, evaluate, lineage
+from flankline.plans import discovery
 from flankline.session import local_session
-from flankline.sources import files, store
+from flankline.sources import files, generate, store
+
+SEARCHED = ["protein_accession", "locus_tag", "gene", "product", "feature_id"]
+
+
+def index_all(spark: SparkSession, entries: Sequence[dict], root: str) -> None:
+    """All datasets of a manifest into the store: one write for proteins, one for features."""
+
+    def together(read) -> DataFrame:
+        tables = [store.with_dataset(read(e), e["dataset_name"], {"phylum": ""} | e["taxonomy"]) for e in entries]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+    store.write_partitions(together(lambda e: files.proteins_of(files.read_fasta(spark, e["protein_faa"]))), root, "proteins")
+    store.write_partitions(together(lambda e: files.features_of(files.read_gff3(spark, e["gff"]))), root, "features")
+    rows = [(e["dataset_name"], str(e["taxonomy"].get("phylum") or "")) for e in entries]
+    store.upsert_datasets(spark, spark.createDataFrame(rows, "dataset_name string, phylum string"), root)
+
+
+def scan(spark: SparkSession, root: str, targets: str) -> DataFrame:
+    """Anchor hits of a term scan over the whole store."""
+    terms = spark.createDataFrame(config.scan_targets(targets), "analyte string, term string")
+    keys = ["dataset_name", "analyte", "term", "protein_accession", "locus_tag"]
+    found = catalog.term_scan(store.read(spark, root, "features"), terms, SEARCHED[:4], "protein_accession", keys)
+    return catalog.anchor_hits_of_scan(found, "dataset_name", "protein_accession", "locus_tag", "gene", "product")
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -29,7 +56,31 @@ def main(argv: Sequence[str] | None = None) -> int:
     taxonomy = commands.add_parser("taxonomy", help="lineages from taxonomy dumps")
     for name in ("nodes", "names", "out"):
         taxonomy.add_argument(f"--{name}", required=True)
+    manifest = commands.add_parser("index-manifest", help="all datasets of a manifest into the store")
+    for name in ("manifest", "root"):
+        manifest.add_argument(f"--{name}", required=True)
+    scanned = commands.add_parser("scan", help="term scan over the store; writes anchor hits")
+    for name in ("root", "targets", "out"):
+        scanned.add_argument(f"--{name}", required=True)
+    extract = commands.add_parser("extract", help="loci and genes around anchor hits")
+    for name in ("root", "hits", "out"):
+        extract.add_argument(f"--{name}", required=True)
+    extract.add_argument("--window", type=int, default=10)
+    commands.add_parser("summary", help="counts for each dataset of the store").add_argument("--root", required=True)
+    commands.add_parser("validate-config", help="read a configuration and name its faults").add_argument("--config", required=True)
+    simulate = commands.add_parser("simulate", help="loci, genes and truth with planted regulators")
+    simulate.add_argument("--out", required=True)
+    simulate.add_argument("--genomes", type=int, default=40)
+    simulate.add_argument("--positives", type=int, default=8)
+    simulate.add_argument("--noise", type=float, default=0.0)
     args = parser.parse_args(argv)
+    if args.command == "validate-config":
+        try:
+            print(", ".join(f"{k}: {len(v)}" for k, v in config.load(args.config).items()))
+        except config.ConfigError as e:
+            print(f"invalid: {e}")
+            return 1
+        return 0
     spark = local_session()
     if args.command == "index":
         tags = {"phylum": args.phylum}
@@ -40,12 +91,24 @@ def main(argv: Sequence[str] | None = None) -> int:
         store.upsert_datasets(spark, spark.createDataFrame([(args.dataset, args.phylum)], "dataset_name string, phylum string"), args.root)
     elif args.command == "search":
         rows = store.read(spark, args.root, "features")
-        columns = ["protein_accession", "locus_tag", "gene", "product", "feature_id"]
-        found = catalog.search(rows, args.query, columns, [F.asc_nulls_last("protein_accession"), F.asc_nulls_last("start_nt")], args.limit, "dataset_name" if args.per_dataset else None)
+        found = catalog.search(rows, args.query, SEARCHED, [F.asc_nulls_last("protein_accession"), F.asc_nulls_last("start_nt")], args.limit, "dataset_name" if args.per_dataset else None)
         print(evaluate.markdown(found))
     elif args.command == "shards":
         rows = store.read_datasets(spark, args.root)
         print(evaluate.markdown(catalog.shards(rows, "dataset_name", "phylum", "count" if args.size else "group", args.size or 1000)))
+    elif args.command == "index-manifest":
+        index_all(spark, config.catalog_manifest(args.manifest), args.root)
+    elif args.command == "scan":
+        scan(spark, args.root, args.targets).write.mode("overwrite").parquet(args.out)
+    elif args.command == "extract":
+        loci, genes = discovery.extract(store.read(spark, args.root, "features"), spark.read.parquet(args.hits), args.window)
+        discovery.write({"loci": loci, "genes": genes}, args.out)
+    elif args.command == "summary":
+        features, proteins = (store.read(spark, args.root, t) for t in ("features", "proteins"))
+        print(evaluate.markdown(catalog.summary(features, proteins, "dataset_name", "feature_type", "CDS", "protein_accession", "length_aa")))
+    elif args.command == "simulate":
+        tables = dict(zip(("loci", "genes", "truth"), generate.synthetic_truth(spark, args.genomes, args.positives, args.noise), strict=True))
+        discovery.write(tables, args.out)
     else:
         nodes = files.read_taxdump(spark, args.nodes, args.names)
         names = nodes.select(F.col("taxon_id").alias("ancestor"), "rank", "name")

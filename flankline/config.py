@@ -67,6 +67,36 @@ def load(path: str) -> dict:
     return out
 
 
+def scan_targets(path: str) -> list[tuple[str, str]]:
+    """(analyte, term) of a term scan's configuration, in the file's order."""
+    out = []
+    for k, entry in enumerate(_entries(path, "targets")):
+        analyte, terms = str(entry.get("analyte") or "").strip(), [str(t).strip() for t in entry.get("terms") or []]
+        if not analyte or not any(terms):
+            raise ConfigError(f"targets[{k}]: an analyte and at least one term are required")
+        out += [(analyte, t) for t in terms if t]
+    return out
+
+
+def catalog_manifest(path: str) -> list[dict]:
+    """Datasets to index: dataset_name, protein_faa, gff (relative ones from the manifest's folder) and taxonomy."""
+    out = []
+    for k, entry in enumerate(_entries(path, "catalogs")):
+        if missing := [c for c in ("dataset_name", "protein_faa", "gff") if not entry.get(c)]:
+            raise ConfigError(f"catalogs[{k}]: missing {missing}")
+        files = {c: entry[c] if ":" in entry[c] or Path(entry[c]).exists() else str(Path(path).parent / entry[c]) for c in ("protein_faa", "gff")}
+        out.append({"dataset_name": entry["dataset_name"], "taxonomy": dict(entry.get("taxonomy") or {})} | files)
+    return out
+
+
+def _entries(path: str, section: str) -> list[dict]:
+    body = _load(Path(path))
+    entries = body.get(section) if isinstance(body, dict) else None
+    if not isinstance(entries, list) or not entries or not all(isinstance(e, dict) for e in entries):
+        raise ConfigError(f"{path}: {section} must be a list of mappings")
+    return entries
+
+
 def dump(config: dict, path: str) -> None:
     Path(path).write_text(yaml.safe_dump(config, sort_keys=True))
 

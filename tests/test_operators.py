@@ -362,3 +362,31 @@ def test_reports_and_generators(spark):
     arch = spark.createDataFrame([("CO", f"arch_{k}", 10 - k) for k in range(8)], "analyte string, archetype_id string, n_loci int")
     text = reports.captions(scoring.score_loci(locus(spark), LOCUS_WEIGHTS, LADDER), arch, rec, ["CO"])
     assert text["recovery"] == "1 of 2 benchmark rows are recovered (50.0%)." and "86.5%" in text["archetypes"] and text["loci"].startswith("CO: 1 loci")
+
+
+def test_command_line_from_manifest_to_neighbourhoods(spark, tmp_path, capsys):
+    from flankline import cli, config
+
+    for d in ("d1", "d2"):
+        (tmp_path / f"{d}.faa").write_text("".join(f">{d}p{i} protein\nMKV\n" for i in range(5)))
+        rows = [f"{d}c\tx\tCDS\t{100 * i + 1}\t{100 * i + 90}\t.\t+\t0\tID=f{i};locus_tag={d}t{i};protein_id={d}p{i};gene={'coxL' if i == 2 else f'g{i}'}" for i in range(5)]
+        (tmp_path / f"{d}.gff").write_text("##gff-version 3\n" + "\n".join(rows) + "\n")
+    (tmp_path / "m.yaml").write_text("catalogs:\n" + "".join(f"  - {{dataset_name: {d}, protein_faa: {d}.faa, gff: {d}.gff, taxonomy: {{phylum: P{d}}}}}\n" for d in ("d1", "d2")))
+    (tmp_path / "t.yaml").write_text("targets:\n  - analyte: CO\n    terms: [coxL, nothing]\n")
+    (tmp_path / "bad.yaml").write_text("targets:\n  - analyte: CO\n")
+    assert config.scan_targets(str(tmp_path / "t.yaml")) == [("CO", "coxL"), ("CO", "nothing")]
+    with pytest.raises(config.ConfigError):
+        config.scan_targets(str(tmp_path / "bad.yaml"))
+    with pytest.raises(config.ConfigError):
+        config.catalog_manifest(str(tmp_path / "t.yaml"))
+    root, hits, out = (str(tmp_path / x) for x in ("store", "hits", "out"))
+    assert cli.main(["index-manifest", "--manifest", str(tmp_path / "m.yaml"), "--root", root]) == 0
+    assert cli.main(["summary", "--root", root]) == 0 and "d2" in capsys.readouterr().out
+    assert cli.main(["scan", "--root", root, "--targets", str(tmp_path / "t.yaml"), "--out", hits]) == 0
+    assert {(r.dataset_name, r.locus_tag, r.anchor_family) for r in spark.read.parquet(hits).collect()} == {("d1", "d1t2", "coxL"), ("d2", "d2t2", "coxL")}
+    assert cli.main(["extract", "--root", root, "--hits", hits, "--out", out, "--window", "1"]) == 0
+    genes = spark.read.parquet(f"{out}/genes")
+    assert sorted(r.relative_index for r in genes.collect()) == [-1, -1, 0, 0, 1, 1]
+    assert cli.main(["simulate", "--out", str(tmp_path / "sim"), "--genomes", "6", "--positives", "2"]) == 0
+    assert spark.read.parquet(str(tmp_path / "sim/truth")).count() == 2
+    assert cli.main(["validate-config", "--config", str(tmp_path / "none.yaml")]) == 1
