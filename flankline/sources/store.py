@@ -9,8 +9,9 @@ PARTITIONS = ["phylum", "dataset_name"]
 
 
 def write_partitions(rows: DataFrame, root: str, table: str) -> None:
-    """Overwrite just the partitions that occur in ``rows``; all datasets of a load go in one job."""
-    even = rows.repartition(*PARTITIONS)
+    """Overwrite just the partitions that occur in ``rows``; all datasets of a load go in one job. Rows of a dataset stand
+    together, but adaptive execution may split a dataset that is far larger than the others."""
+    even = rows.hint("rebalance", *PARTITIONS)
     even.write.partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/{table}")
 
 
