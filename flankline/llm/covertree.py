@@ -200,9 +200,9 @@ def linked(a: CoverTree, b: CoverTree, same: bool, cosine: float, exact) -> tupl
                 next_j.append(got[1])
         i, j, many_a, many_b = i[~large], j[~large], many_a[~large], many_b[~large]
         ends_at = np.cumsum(many_a * many_b)
-        for s in np.unique(np.searchsorted(ends_at, np.arange(0, ends_at[-1], 200_000), side="left")) if len(i) else []:
-            e = np.searchsorted(ends_at, (ends_at[s - 1] if s else 0) + 200_000, side="left") + 1
-            e = min(e, len(i)) if len(i) else 0
+        # consecutive slices: each ends where the next one starts
+        cuts = np.unique(np.append(np.searchsorted(ends_at, np.arange(0, ends_at[-1], 200_000), side="left"), len(i))) if len(i) else np.empty(0, np.int64)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             pi, pj, ma, mb = i[s:e], j[s:e], many_a[s:e], many_b[s:e]
             size = ma * mb
             owner = np.repeat(np.arange(len(pi)), size)

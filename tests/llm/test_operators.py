@@ -242,6 +242,19 @@ def test_trees_find_every_link(seed):
         assert (got == sums).all() and (label == root).all()
 
 
+def test_over_200000_child_pairs():
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(10, 6))
+    x = base[rng.integers(0, 10, 2000)] + rng.normal(size=(2000, 6)) * rng.random((2000, 1))
+    m = rng.integers(1, 4, 2000)
+    sums, root = brute_links(x, m, 0.9)
+    rep, links, other = covertree.meet(pd.DataFrame({"rep": np.arange(2000), "m": m, "v": list(x)}), None, 0.9)
+    got, label = np.zeros(2000, int), np.arange(2000)
+    np.add.at(got, rep, links)
+    covertree.unite(label, rep, other)
+    assert (got == sums).all() and (label == root).all()
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_vector_groups(spark, block):
     rng = np.random.default_rng(3)
