@@ -19,7 +19,9 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +38,35 @@ TABLE = 1 << 18
 MEMO = 300_000
 BLOCK = 32
 EPOCHS = 12
-#: Characters of a word that n-grams are taken from; affixes and lexicon see all of it.
+#: Longer runs of letters are cut into successive words of so many.
 LONGEST = 40
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _KINDS = 10
 
 
+def cores(token: str) -> list[str]:
+    """A token's words: its runs of letters in lower case, long runs in successive pieces. Combining marks are dropped."""
+    if token.isalpha():
+        runs = [token.lower()]
+    else:
+        if not token.isascii():
+            token = "".join(c for c in token if unicodedata.category(c)[0] != "M")
+        runs = [x.lower() for x in _LETTERS.findall(token)]
+    return [x[i : i + LONGEST] for x in runs for i in range(0, len(x), LONGEST)]
+
+
 def core(token: str) -> str:
     """A token's letters in lower case, or nothing."""
-    if token.isalpha():
-        return token.lower()
-    return "".join(_LETTERS.findall(token)).lower()
+    return "".join(cores(token))
 
 
 def word_features(words: list[str]) -> np.ndarray:
     """Hashed features of words, one row each, unused places pointing at the table's last (empty) row."""
-    width = max(4, min(LONGEST, max(map(len, words), default=1)) + 2)
+    width = max(4, max(map(len, words), default=1) + 2)
     codes = np.zeros((len(words), width + 2), np.uint64)
-    lengths = np.fromiter((min(len(w), LONGEST) for w in words), np.int64, len(words))
-    flat = np.array([w[:LONGEST] for w in words], f"<U{width - 2}").view(np.uint32).reshape(len(words), width - 2)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.array(words, f"<U{width - 2}").view(np.uint32).reshape(len(words), width - 2)
     codes[:, 1 : width - 1] = flat  # zeros before and after stand for the edges
     mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,7 +267,7 @@ def fitted(docs: DataFrame, where, id_col: str = "doc_id", text: str = "text", l
 
     def run(batches):
         for batch in batches:
-            words = [list(filter(None, map(core, t.split()))) for t in column(batch, "text")]
+            words = [list(chain.from_iterable(map(cores, t.split()))) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["id", "lang", "words"])
 
     rows = known.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("id", "lang", "text")
@@ -273,26 +284,29 @@ def fitted(docs: DataFrame, where, id_col: str = "doc_id", text: str = "text", l
 
 
 class Memo(dict):
-    """token -> row of the emission table (0: no letters), filled in when asked for tokens not seen before."""
+    """token -> rows of the emission table, one for each of its words, filled in when asked for tokens not seen before."""
 
     def __init__(self, model: Field):
         super().__init__()
         self.model = model
-        self.table = np.zeros((1, len(model.languages)), np.float32)
+        self.table = np.zeros((0, len(model.languages)), np.float32)
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
+    def rows(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all tokens' words, and each token's number of words."""
         new = list(dict.fromkeys(t for t in tokens if t not in self))
-        if new and len(self) + len(new) > MEMO:
+        if new and max(len(self), len(self.table)) + len(new) > MEMO:
             self.clear()
-            self.table = self.table[:1]
+            self.table = self.table[:0]
             new = list(dict.fromkeys(tokens))
         if new:
-            cores = list(map(core, new))
-            kinds = list(dict.fromkeys(filter(None, cores)))
+            words = list(map(cores, new))
+            kinds = list(dict.fromkeys(chain.from_iterable(words)))
             place = {w: len(self.table) + i for i, w in enumerate(kinds)}
             self.table = np.concatenate([self.table, self.model.emissions(kinds).astype(np.float32)])
-            self.update(zip(new, (place.get(c, 0) for c in cores), strict=True))
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+            self.update(zip(new, (tuple(place[w] for w in ws) for ws in words), strict=True))
+        found = list(map(self.__getitem__, tokens))
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(many.sum())), many
 
 
 def label_documents(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -304,9 +318,8 @@ def label_documents(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np
         some = (t or "").split()
         tokens += some
         lengths.append(len(some))
-    at = memo.rows(tokens)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    owner, at = owner[at > 0], at[at > 0]
+    at, many = memo.rows(tokens)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), lengths), many)
     words = np.bincount(owner, minlength=len(texts))
     p, _ = marginals(memo.table[at].astype(np.float64), words, memo.model.transition)
     share = np.stack([np.bincount(owner, p[:, k], len(texts)) for k in range(width)], axis=1)

@@ -410,6 +410,18 @@ def test_code_switched_words(spark):
     assert (p.argmax(axis=1) == truth).mean() > 0.9
 
 
+def test_every_letter_counts():
+    one, two = "abcde", "vwxyz"
+    rng = np.random.default_rng(0)
+    words = [("".join(rng.choice(list(x), 6)), k) for x, k in ((one, 0), (two, 1)) for _ in range(400)]
+    model = langid.fit(langid.spliced([(["a", "b"][k], [w]) for w, k in words], ["a", "b"]), ["a", "b"], 4)
+    start, rest = "".join(rng.choice(list(one), 40)), "".join(rng.choice(list(two), 2000))
+    mixed = [start + rest, "-".join([start[:6]] * 7 + [rest[i : i + 6] for i in range(0, 600, 6)]), start]
+    share, many = langid.label_documents(mixed, langid.Memo(model))
+    assert list(share.argmax(axis=1)) == [1, 1, 0] and list(many) == [51, 107, 1]
+    assert langid.cores("Don't_stop-" + "x" * 41 + "e\u0301a 12") == ["don", "t", "stop", "x" * 40, "xea"]
+
+
 def test_language_odd_rows(odd):
     out = langid.languages_of(odd, langid.fitted(odd, F.lit(True)), ["doc_id"]).toPandas()
     assert set(out[out.doc_id.isin([1, 2, 3])].lang_pred) == {"und"} and set(out.lang_pred) <= {"und", "en", "de", "fr"}
