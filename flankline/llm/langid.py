@@ -20,20 +20,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, column, some_rows, table
+from .shared import bucket_of, column, table
 
 #: Most documents of a language, and most words of it, that the field is fitted on.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 30_000
-#: Most languages.
-MOST_LANGUAGES = 64
+#: Languages that the full table of weights and the full sample are meant for; with more, each language gets
+#: fewer table rows and sample words, so that memory stays bounded, but every language is learned.
+FULL_LANGUAGES = 64
+#: Words that a document too long for the sample is represented by, from a random place in it.
+RUN_WORDS = 3_000
 TABLE = 1 << 18
 MEMO = 300_000
 BLOCK = 32
@@ -61,8 +65,8 @@ def core(token: str) -> str:
     return "".join(cores(token))
 
 
-def word_features(words: list[str]) -> np.ndarray:
-    """Hashed features of words, one row each, unused places pointing at the table's last (empty) row."""
+def word_features(words: list[str], size: int = TABLE) -> np.ndarray:
+    """Hashed features of words, one row each, unused places pointing at the last (empty) row of a table of ``size``."""
     width = max(4, max(map(len, words), default=1) + 2)
     codes = np.zeros((len(words), width + 2), np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -73,28 +77,28 @@ def word_features(words: list[str]) -> np.ndarray:
     def hashed(value: np.ndarray, kind: int) -> np.ndarray:
         x = (value + np.uint64(kind + 1)) * mix
         x ^= x >> np.uint64(29)
-        return ((x * mix) >> np.uint64(40)).astype(np.int64) % (TABLE - 1)
+        return ((x * mix) >> np.uint64(40)).astype(np.int64) % (size - 1)
 
     at = np.arange(width)
     two = codes[:, :width] << np.uint64(21) | codes[:, 1 : width + 1]
     three = two[:, : width - 1] << np.uint64(21) | codes[:, 2 : width + 1]
     inside2 = at[None, :] <= lengths[:, None]
     inside3 = at[None, : width - 1] < lengths[:, None]
-    out = [np.where(inside2, hashed(two, 0), TABLE - 1), np.where(inside3, hashed(three, 1), TABLE - 1)]
+    out = [np.where(inside2, hashed(two, 0), size - 1), np.where(inside3, hashed(three, 1), size - 1)]
     affix = []
     prefix = np.zeros(len(words), np.uint64)
     for k in range(1, 4):
         prefix = prefix << np.uint64(21) | codes[:, min(k, width)]
-        affix.append(np.where(lengths >= k, hashed(prefix, 1 + k), TABLE - 1))
+        affix.append(np.where(lengths >= k, hashed(prefix, 1 + k), size - 1))
     ends = np.array([w[-3:].rjust(3, "\0") for w in words], "<U3").view(np.uint32).reshape(len(words), 3).astype(np.uint64) if words else np.zeros((0, 3), np.uint64)
     suffix = np.zeros(len(words), np.uint64)
     for k in range(1, 4):
         suffix = ends[:, 3 - k] << np.uint64(21 * (k - 1)) | suffix
-        affix.append(np.where(lengths >= k, hashed(suffix, 4 + k), TABLE - 1))
+        affix.append(np.where(lengths >= k, hashed(suffix, 4 + k), size - 1))
     whole = np.zeros(len(words), np.uint64)
     for k in range(1, width - 1):
         whole = np.where(codes[:, k] > 0, whole * np.uint64(1_000_003) + codes[:, k], whole)
-    affix.append(np.where(lengths > 0, hashed(whole, 9), TABLE - 1))
+    affix.append(np.where(lengths > 0, hashed(whole, 9), size - 1))
     return np.concatenate([*out, np.stack(affix, axis=1)], axis=1)
 
 
@@ -190,23 +194,25 @@ class Field:
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
         for i in range(0, len(words), 4096):  # words of like length together
             some = order[i : i + 4096]
-            out[some] = self.weights[word_features([words[k] for k in some])].sum(axis=1)
+            out[some] = self.weights[word_features([words[k] for k in some], len(self.weights))].sum(axis=1)
         return out
 
 
 def fit(sequences: list[tuple[list[str], list[int]]], languages: list[str], epochs: int = EPOCHS, rate: float = 0.15) -> Field:
     """Gradient ascent on the conditional likelihood with per-weight step sizes, some sequences at a time."""
     width = len(languages)
-    model = Field(languages, np.zeros((TABLE, width)), np.zeros((width, width)))
-    squares, squares_t = np.full((TABLE, width), 1e-3), np.full((width, width), 1e-1)
+    size = TABLE >> max(0, -(-width // FULL_LANGUAGES) - 1).bit_length()
+    model = Field(languages, np.zeros((size, width)), np.zeros((width, width)))
+    squares, squares_t = np.full((size, width), 1e-3), np.full((width, width), 1e-1)
+    together = max(1, min(200, 200 * FULL_LANGUAGES**2 // max(1, width) ** 2))  # sequences: blocks hold width x width products
     words = sorted({w for ws, _ in sequences for w in ws}, key=lambda w: (len(w), w))
     number = {w: i for i, w in enumerate(words)}
-    cut = word_features(words) if words else np.zeros((0, 1), np.int64)
+    cut = word_features(words, size) if words else np.zeros((0, 1), np.int64)
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         order = rng.permutation(len(sequences))
-        for i in range(0, len(order), 200):
-            some = [sequences[k] for k in order[i : i + 200]]
+        for i in range(0, len(order), together):
+            some = [sequences[k] for k in order[i : i + together]]
             at = np.array([number[w] for ws, _ in some for w in ws])
             y = np.array([k for _, ks in some for k in ks])
             lengths = np.array([len(ws) for ws, _ in some])
@@ -220,10 +226,11 @@ def fit(sequences: list[tuple[list[str], list[int]]], languages: list[str], epoc
             kinds, back = np.unique(at, return_inverse=True)
             by_word = np.stack([np.bincount(back, miss[:, k], len(kinds)) for k in range(width)], axis=1)
             flat = cut[kinds]
-            grad = np.stack([np.bincount(flat.ravel(), np.repeat(by_word[:, k], flat.shape[1]), TABLE) for k in range(width)], axis=1)
-            grad[-1] = 0
-            squares += grad**2
-            model.weights += rate * grad / np.sqrt(squares)
+            for k in range(width):  # one language at a time: the table is the largest thing held
+                grad = np.bincount(flat.ravel(), np.repeat(by_word[:, k], flat.shape[1]), size)
+                grad[-1] = 0
+                squares[:, k] += grad**2
+                model.weights[:, k] += rate * grad / np.sqrt(squares[:, k])
             grad_t = seen - pairs
             squares_t += grad_t**2
             model.transition += rate * grad_t / np.sqrt(squares_t)
@@ -254,27 +261,31 @@ def spliced(documents: list[tuple[str, list[str]]], languages: list[str]) -> lis
 
 def fitted(docs: DataFrame, where, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Field | None:
     known = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    languages = sorted(r[0] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect())
-    got = []
-    for language in languages:  # bounded: ids first, then only the chosen rows' texts
-        ids = some_rows(known.where(F.col(lang) == language).select(id_col), id_col, sample, 5).withColumnRenamed(id_col, "__id")
-        got.append(ids.withColumn("__lang", F.lit(language)))
-    if not got:
+    languages = sorted(r[0] for r in known.select(lang).distinct().collect())
+    if not languages:
         return None
-    chosen = got[0]
-    for more in got[1:]:
-        chosen = chosen.union(more)
+    share = min(1, FULL_LANGUAGES / len(languages))
+    sample, most_words = max(1, int(sample * share)), max(100, int(SAMPLE_WORDS * share))
+    least = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(5), F.col("__id")), F.col("__id"))
+    ids = known.select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang"))
+    chosen = ids.withColumn("__no", F.row_number().over(least)).where(F.col("__no") <= sample).drop("__no")  # ids first, then only the chosen rows' texts
 
     def run(batches):
         for batch in batches:
             words = [list(chain.from_iterable(map(cores, t.split()))) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["id", "lang", "words"])
+            size = [len(w) for w in words]
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                if size[k] > most_words:
+                    n = min(RUN_WORDS, most_words)
+                    start = int(np.random.default_rng(zlib.crc32(str(key).encode())).integers(0, size[k] - n + 1))
+                    words[k] = words[k][start : start + n]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(size, pa.int64())], names=["id", "lang", "words", "n"])
 
     rows = known.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("id", "lang", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, lang string, words array<string>").where(F.size("words") <= SAMPLE_WORDS).collect()
-    found.sort(key=lambda r: (r["lang"], r["id"], r["words"]))
-    held: dict[str, int] = dict.fromkeys(languages, SAMPLE_WORDS)
+    found = rows.mapInArrow(run, f"id {kind}, lang string, words array<string>, n long").collect()
+    found.sort(key=lambda r: (r["n"] > most_words, r["lang"], r["id"], r["words"]))  # runs of over-long documents last
+    held: dict[str, int] = dict.fromkeys(languages, most_words)
     documents = []
     for r in found:
         if held[r["lang"]] >= len(r["words"]):  # whole documents while they fit
@@ -329,6 +340,9 @@ def label_documents(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np
 def languages_of(docs: DataFrame, model: Field | None, keep: list[str], text: str = "text", most_words: int = 400_000) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row of ``docs``."""
 
+    many = len(model.languages) if model else 0
+    most_chars = 6 * most_words * FULL_LANGUAGES**2 // max(many, FULL_LANGUAGES) ** 2  # blocks hold products of languages x languages
+
     def run(batches):
         memo = Memo(model) if model else None
         for batch in batches:
@@ -336,7 +350,7 @@ def languages_of(docs: DataFrame, model: Field | None, keep: list[str], text: st
             names, scores, i = [], [], 0
             while i < len(texts):  # so many documents at a time as bound the memory
                 j, held = i, 0
-                while j < len(texts) and (j == i or held < 6 * most_words):
+                while j < len(texts) and (j == i or held < most_chars):
                     held += len(texts[j] or "")
                     j += 1
                 if memo is None:

@@ -422,6 +422,20 @@ def test_every_letter_counts():
     assert langid.cores("Don't_stop-" + "x" * 41 + "e\u0301a 12") == ["don", "t", "stop", "x" * 40, "xea"]
 
 
+def test_many_languages_and_long_documents(spark):
+    rng = np.random.default_rng(0)
+    vocabulary = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(20)] for k in range(70)}
+    rows = [(100 * i + k, " ".join(rng.choice(ws, 40)), lang) for i, (lang, ws) in enumerate(vocabulary.items()) for k in range(4)]
+    rows.append((9999, "zyxw vuts rqpo " * 10_100, "long"))  # its language has no other document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fitted(docs, F.lit(True))
+    assert set(model.languages) == {*vocabulary, "long"}
+    tests = {**{lang: " ".join(rng.choice(ws, 30)) for lang, ws in vocabulary.items()}, "long": "vuts zyxw rqpo"}
+    share, _ = langid.label_documents(list(tests.values()), langid.Memo(model))
+    got = [model.languages[k] for k in share.argmax(axis=1)]
+    assert np.mean([a == b for a, b in zip(got, tests, strict=True)]) > 0.95 and got[-1] == "long"
+
+
 def test_language_odd_rows(odd):
     out = langid.languages_of(odd, langid.fitted(odd, F.lit(True)), ["doc_id"]).toPandas()
     assert set(out[out.doc_id.isin([1, 2, 3])].lang_pred) == {"und"} and set(out.lang_pred) <= {"und", "en", "de", "fr"}
