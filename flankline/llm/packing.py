@@ -1,21 +1,29 @@
 """Packing token pieces into sequences by a configuration linear program.
 
 A configuration is a multiset of piece lengths that fits into one sequence. The linear program asks for
-the fewest (fractional) sequences whose configurations cover the length histogram. It is solved by
-multiplicative weights: each length has a price that falls with the share of its demand already covered,
-and a knapsack dynamic programme finds, at the current prices, the best configuration around each length
-that lags behind. The solution is rounded down to whole sequences; what remains of the histogram is
-packed by best fit on counts. All of that works on the histogram, which has at most ``capacity`` rows
-however many documents there are; pieces then look up their places by length and rank.
-
-Defined results: a null or empty text is its closing token alone; repeated rows are packed separately;
-an empty table gives an empty result; further columns are ignored.
+the fewest sequences whose configurations cover the length histogram; its dual puts a price on every
+length such that no configuration is worth more than one sequence. It is solved by multiplicative
+weights: a length's price is multiplied down as its demand is covered, so that lengths that lag become
+dearer. A knapsack dynamic programme prices the configurations: its table says what every room is worth
+at the current prices, the dearest configuration is read off it, and its worth of a whole sequence turns
+the prices into a lower bound on any packing (the dual value). The table is made anew whenever a few
+hundredths of what was left are covered. The solution is rounded down to whole, full sequences; those
+that are not full are taken apart and their pieces packed by best fit on counts.
+
+All of that works on the histogram, which has at most ``capacity`` rows however many documents there
+are; pieces then look up their places by length and rank.
+
+Defined results: a null or empty text is its closing token alone; repeated rows, repeated and null ids are packed
+separately; a string of a special token becomes that token, as the vocabulary's own library has it; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,42 +33,43 @@ from pyspark.sql import functions as F
 from .shared import column, saved, table
 
 CAPACITY = 2048
-ROUNDS = 24
-#: How fast a price falls as its length runs ahead of the others.
-RATE = 12.0
-#: Pieces of one length that are ranked together.
-RANKED = 65_536
+#: The power of the share still to be covered that a price is multiplied by.
+RATE = 0.06
+#: The table of the dynamic programme is renewed when this share of what was left has been covered.
+RENEWED = 0.03
+#: A configuration is used until it covers 1/4 of what is left of a length, or 1/64 of all of it.
+STEP, LEAST_STEP = 4, 64
 
 
 def tokenizer(vocabulary: str):
-    """A function text -> ids for a byte-level BPE file of the ``tokenizers`` library. The ranks in the file are
-    given to ``tiktoken``, which yields the same ids several times faster; where it gives up on a text the
-    file's own library takes over. Strings of special tokens are ordinary text."""
+    """A function text -> ids for a byte-level BPE file of the ``tokenizers`` library, special tokens in the text
+    included. The ranks in the file are given to ``tiktoken``, which yields the same ids several times faster; where
+    it gives up on a text, or the file asks for more than it knows, the file's own library does the work."""
     import json
 
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
     plain = lambda text: slow.encode(text, add_special_tokens=False).ids
     with open(vocabulary, encoding="utf-8") as file:
         spec = json.load(file)
     kinds = {x.get("type") for x in ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}])}
-    special = {x["id"] for x in spec.get("added_tokens", [])}
-    if kinds != {"ByteLevel"} or spec.get("normalizer"):
+    added = spec.get("added_tokens", [])
+    if kinds != {"ByteLevel"} or spec.get("normalizer") or any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
         return plain
+    special = {x["content"]: x["id"] for x in added}
     # the printable stand-ins of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the split of byte-level BPE
-    fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode(text, allowed_special="all")
         except BaseException as e:  # a panic of the splitting engine on a very long run is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
@@ -89,62 +98,98 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: most price that pieces of total length at most c can have; took[c]: which length ends there (-1: none)."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            value = best[c - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[c] + 1e-15:
-                best[c], took[c] = value[i], i
-    return best, took
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Configurations (positions in ``lengths``, longest first) and how many sequences of each, fractionally; covers all counts."""
-    covered = np.zeros(len(lengths))
-    out: dict[tuple[int, ...], float] = defaultdict(float)
-    for t in range(1, rounds + 1):
-        share = covered / counts
-        prices = lengths / capacity * np.exp(-rate * np.clip(share - share.mean(), -1, 1))
-        _, took = knapsack(lengths, prices, capacity)
-        for i in np.argsort(-lengths, kind="stable"):
-            lag = counts[i] * t / rounds - covered[i]
-            if lag <= 1e-9 * counts[i]:
-                continue
-            config, c = [int(i)], capacity - int(lengths[i])
-            while c > 0:
-                if took[c] < 0:
-                    c -= 1
-                else:
-                    config.append(int(took[c]))
-                    c -= int(lengths[took[c]])
-            amount = lag / config.count(int(i))
-            out[tuple(sorted(config, reverse=True))] += amount
-            np.add.at(covered, config, amount)
-    return out
-
-
-def rounded(lengths: np.ndarray, counts: np.ndarray, solution: dict[tuple[int, ...], float], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Whole sequences: each configuration's floor, fullest first, as far as there are pieces; the rest by best fit."""
+Config = tuple[int, ...]
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """best[c]: the highest price that pieces of total length at most c can have. ``lengths`` rise."""
+    best = np.zeros(capacity + 1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for c in range(int(lengths[0]), capacity + 1):
+        k = fits[c]
+        best[c] = max(best[c - 1], (best[c - lengths[:k]] + prices[:k]).max())
+    return best
+
+
+@dataclass
+class Solution:
+    """Configurations (positions in the lengths, longest first) with their numbers of sequences, in the order in which they were
+    found; the value of that solution; and the dual value, which no packing can be below."""
+
+    uses: dict[Config, float]
+    value: float
+    bound: float
+
+
+def dual_value(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 8) -> float:
+    """A lower bound on any packing. Prices start as lengths; a length whose dearest configuration is worth less than a sequence
+    is made dearer, by half of what it could be alone, and all prices are scaled to the dearest configuration of all."""
+    price, bound = lengths / capacity, 0.0
+    for _ in range(rounds):
+        best = knapsack(lengths, price, capacity)
+        bound = max(bound, float((counts * price).sum() / best[capacity]))
+        price = price * np.sqrt(np.maximum(1, (best[capacity] - best[capacity - lengths]) / price))
+    return bound
+
+
+def solved(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = RATE, renewed: float = RENEWED) -> Solution:
+    """The configuration linear program. ``lengths`` rise; every count is covered exactly."""
+    counts = counts.astype(np.float64)
+    size = lengths / capacity
+    mass = todo = float((counts * size).sum())
+    bound, renew_at = dual_value(lengths, counts, capacity), mass
+    least = np.maximum(1, np.ceil(counts / LEAST_STEP))
+    left, used = counts.copy(), np.zeros(len(lengths))
+    uses: dict[Config, float] = defaultdict(float)
+    while (left > 0).any():
+        if todo <= renew_at:
+            is_open = left > 0
+            price = size * (left / counts * (mass / max(todo, 1e-9))) ** rate
+            best = knapsack(lengths[is_open], price[is_open], capacity)
+            bound = max(bound, float((counts * price).sum() / best[capacity]))
+            renew_at, drawn = min(todo * (1 - renewed), todo - min(1, todo / 20)), mass / max(todo, 1e-9)
+        # the dearest configuration: every piece is the one with the highest price together with the worth of the room behind it
+        room, config = capacity, []
+        used[:] = 0
+        while k := int(np.searchsorted(lengths, room, side="right")):
+            worth = price[:k] + best[room - lengths[:k]]
+            worth[used[:k] + 1 > left[:k]] = -1
+            i = k - 1 - int(worth[::-1].argmax())  # the longest on ties
+            if worth[i] < 0:
+                break
+            config.append(i)
+            used[i] += 1
+            room -= int(lengths[i])
+        kinds, times = np.unique(config, return_counts=True)
+        step = np.minimum(np.maximum(least[kinds], left[kinds] / STEP), left[kinds])
+        amount = max(1.0, float(np.floor((step / times).min())))
+        uses[tuple(sorted(config, reverse=True))] += amount
+        left[kinds] -= amount * times
+        todo -= amount * (capacity - room) / capacity
+        price[kinds] = size[kinds] * (left[kinds] / counts[kinds] * drawn) ** rate
+    return Solution(uses, sum(uses.values()), bound)
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, solution: Solution, capacity: int) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """The solution's full configurations in whole sequences, and the counts of what they leave."""
     left = counts.astype(np.int64).copy()
     out = []
-    size = {c: int(lengths[list(c)].sum()) for c in solution}
-    for whole in (np.floor, np.ceil):  # full configurations may also be rounded up while pieces last
-        for config in sorted(solution, key=lambda c: (-size[c], -solution[c], c)):
-            if whole is np.ceil and size[config] < capacity:
-                break
-            kinds, times = np.unique(config, return_counts=True)
-            n = min(int(whole(solution[config])) if whole is np.floor else 1, int((left[kinds] // times).min()))
-            if n > 0:
-                left[kinds] -= n * times
-                out.append((config, n))
-    # best fit, longest first, on counts: bins of equal content are one entry under the room that is left in them
-    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    for config, n in solution.uses.items():
+        kinds, times = np.unique(config, return_counts=True)
+        whole = min(int(np.floor(n + 1e-9)), int((left[kinds] // times).min()))
+        if whole and int((lengths[kinds] * times).sum()) == capacity:
+            left[kinds] -= whole * times
+            out.append((config, whole))
+    return out, left
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """Best fit, longest first, on counts: bins of equal content are one entry under the room that is left in them."""
+    left = counts.astype(np.int64).copy()
+    rooms: dict[int, list[tuple[Config, int]]] = defaultdict(list)
     for i in np.argsort(-lengths, kind="stable"):
+        if not left[i]:
+            continue
         size_i = int(lengths[i])
         for room in sorted(r for r in rooms if r >= size_i):
             while left[i] and rooms.get(room):
@@ -163,7 +208,7 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, solution: dict[tuple[int, .
         if left[i] % each:
             rooms[capacity - int(left[i] % each) * size_i].append(((int(i),) * int(left[i] % each), 1))
         left[i] = 0
-    return out + [x for bins in rooms.values() for x in bins if x[1]]
+    return [x for bins in rooms.values() for x in bins if x[1]]
 
 
 def places(lengths: np.ndarray, packed: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -180,28 +225,29 @@ def places(lengths: np.ndarray, packed: list[tuple[tuple[int, ...], int]]) -> di
     return {k: np.array(v, np.int64) for k, v in zip(("length", "first", "sequence", "offset"), zip(*rows, strict=True), strict=True)}
 
 
-def planned(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
     lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[int(x)] for x in lengths], np.float64)
-    return rounded(lengths, counts, fractional(lengths, counts, capacity, rounds), capacity)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    full, left = rounded(lengths, counts, solved(lengths, counts, capacity), capacity)
+    return full + best_fit(lengths, left, capacity)
+
 
+def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to a saved table of pieces with a row number ``__row``, which goes.
 
-def packed(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """Add sequence_id and offset to a saved table of pieces."""
+    A length is ranked in about as many slices as the root of its count, so that neither the slices of a length nor the
+    pieces of a slice are many, whichever length is common and whatever ids repeat."""
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    kind = cut.schema
-    names = cut.columns
+    names = [c for c in cut.columns if c != "__row"]
     if not histogram:
-        return cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    lengths = np.array(sorted(histogram), np.int64)
-    where = places(lengths, planned(histogram, capacity, rounds))
-    slices = F.create_map(*[F.lit(x) for n, c in sorted(histogram.items()) if c > RANKED for x in (n, -(-c // RANKED))]) if max(histogram.values()) > RANKED else None
-    many = F.coalesce(slices[F.col("length")], F.lit(1)) if slices is not None else F.lit(1)
-    dealt = cut.withColumn("__slice", F.pmod(F.xxhash64(names[0], "piece"), many))
+        return cut.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    where = places(np.array(sorted(histogram), np.int64), planned(histogram, capacity))
+    many = cut.sparkSession.createDataFrame([(n, isqrt(c)) for n, c in sorted(histogram.items())], "length long, __many int")
+    dealt = cut.join(F.broadcast(many), "length").withColumn("__slice", F.pmod(F.xxhash64("__row"), F.col("__many")))
     counts = dealt.groupBy("length", "__slice").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("length", "__slice").orderBy(names[0], "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("__rank", F.row_number().over(inner) - 1).join(before.drop("count"), ["length", "__slice"]).select(*names, (F.col("__before") + F.col("__rank")).alias("__rank"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__slice").orderBy("__row")) - 1)
+    ranked = ranked.join(before.drop("count"), ["length", "__slice"]).select(*names, (F.col("__before") + F.col("__rank")).alias("__rank"))
     key = where["length"] << 40 | where["first"]
 
     def run(batches):
@@ -212,12 +258,12 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
             added = [pa.array(where["sequence"][at] + rank - where["first"][at]), pa.array(where["offset"][at])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *added], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields)
+    fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in names)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return packed(saved(pieces(docs, vocabulary, id_col, text, capacity), "pieces"), capacity)
+    return packed(saved(pieces(docs, vocabulary, id_col, text, capacity).withColumn("__row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def public_vocabulary() -> str:
