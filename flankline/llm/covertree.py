@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, components, saved, some_rows, table
+from .shared import column, components, saved, some_rows, table, unite
 from .topk import whole
 
 #: Vectors of a block, and most pivots that blocks are built around.
@@ -112,18 +112,6 @@ class CoverTree:
         return np.flatnonzero(self.member[level] == node)
 
 
-def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the classes of i[k] and j[k]; ``label`` points at the least member and stays compressed."""
-    while True:
-        a, b = label[i], label[j]
-        differ = a != b
-        if not differ.any():
-            return
-        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while (label != label[label]).any():
-            label[:] = label[label]
-
-
 def linked(a: CoverTree, b: CoverTree, same: bool, cosine: float, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights linked to each point of a, to each of b, and classes over a's points followed by b's (over a's alone if
     ``same``). ``exact(i, j)`` says which of the given point pairs truly reach the threshold."""

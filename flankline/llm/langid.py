@@ -13,7 +13,7 @@ that transitions between languages occur. Every word of a piece carries its docu
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null labels are not learned
 from; with no labels at all everything is ``und``; repeated rows get equal results; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored, and a kept column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, column, table
+from .shared import bucket_of, clear_of, column, saved, table
 
 #: Most documents of a language, and most words of it, that the field is fitted on.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 30_000
@@ -45,7 +45,7 @@ EPOCHS = 12
 #: Longer runs of letters are cut into successive words of so many.
 LONGEST = 40
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[A-Za-z]+")
 _KINDS = 10
 
 
@@ -53,10 +53,11 @@ def cores(token: str) -> list[str]:
     """A token's words: its runs of letters in lower case, long runs in successive pieces. Combining marks are dropped."""
     if token.isalpha():
         runs = [token.lower()]
-    else:
-        if not token.isascii():
-            token = "".join(c for c in token if unicodedata.category(c)[0] != "M")
-        runs = [x.lower() for x in _LETTERS.findall(token)]
+    elif token.isascii():
+        runs = _ASCII.findall(token.lower())
+    else:  # letters are what str.isalpha says: fractions, superscripts and circled numbers are none
+        plain = (c for c in token if unicodedata.category(c)[0] != "M")
+        runs = "".join(c if c.isalpha() else " " for c in plain).lower().split()
     return [x[i : i + LONGEST] for x in runs for i in range(0, len(x), LONGEST)]
 
 
@@ -261,14 +262,15 @@ def spliced(documents: list[tuple[str, list[str]]], languages: list[str]) -> lis
 
 def fitted(docs: DataFrame, where, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Field | None:
     known = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    languages = sorted(r[0] for r in known.select(lang).distinct().collect())
+    ids = saved(known.select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang")), "known")
+    languages = sorted(r[0] for r in ids.select("__lang").distinct().collect())
     if not languages:
         return None
     share = min(1, FULL_LANGUAGES / len(languages))
     sample, most_words = max(1, int(sample * share)), max(100, int(SAMPLE_WORDS * share))
     least = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(5), F.col("__id")), F.col("__id"))
-    ids = known.select(F.col(id_col).alias("__id"), F.col(lang).alias("__lang"))
-    chosen = ids.withColumn("__no", F.row_number().over(least)).where(F.col("__no") <= sample).drop("__no")  # ids first, then only the chosen rows' texts
+    # ids first, then only the chosen rows' texts; partitions cut their rows to ``sample`` before they meet by language
+    chosen = ids.withColumn("__no", F.row_number().over(least)).where(F.col("__no") <= sample).drop("__no")
 
     def run(batches):
         for batch in batches:
@@ -340,13 +342,15 @@ def label_documents(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np
 def languages_of(docs: DataFrame, model: Field | None, keep: list[str], text: str = "text", most_words: int = 400_000) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row of ``docs``."""
 
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
+    (body,) = clear_of([*keep, "lang_pred", "score"], "text")
     many = len(model.languages) if model else 0
     most_chars = 6 * most_words * FULL_LANGUAGES**2 // max(many, FULL_LANGUAGES) ** 2  # blocks hold products of languages x languages
 
     def run(batches):
         memo = Memo(model) if model else None
         for batch in batches:
-            texts = column(batch, "__text")
+            texts = column(batch, body)
             names, scores, i = [], [], 0
             while i < len(texts):  # so many documents at a time as bound the memory
                 j, held = i, 0
@@ -365,7 +369,7 @@ def languages_of(docs: DataFrame, model: Field | None, keep: list[str], text: st
             rest = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(body))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
 

@@ -3,13 +3,16 @@
 Within a source the documents stand in one fixed order; each has the same expected number of copies
 ``e = target / size of the source``. The running sum of ``e`` after the i-th document is ``i * e``;
 with one random offset ``u`` for the source a document is emitted once for every integer boundary
-that lies between its predecessor's sum and its own: ``floor(i*e + u) - floor((i-1)*e + u)`` copies.
+that lies between its predecessor's sum and its own: ``floor(i*e + u) - floor((i-1)*e + u)`` copies
+(never over ``ceil(e)``, whatever doubles make of very large ``i``).
 As the order runs through size classes, large and small documents are drawn in equal shares and the
-words taken come near the target.
+words taken come near the target. Inside a class the order is that of a digest of id and text, so ids may be
+of any type, repeat or be null.
 
 Defined results: a null or blank text has size 0; a null source is a source of its own, the last;
 repeated rows are separate documents; a source without words has target 0 and takes nothing; an empty
-table gives an empty result; further columns pass through (columns named like the results are replaced).
+table gives an empty result. :func:`mixed` replaces columns named like its results; :func:`emitted` passes all columns
+on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from .shared import WORD, saved, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Sub-buckets of a size class, so that no class of a hot source is ranked in one task.
-SLICES = 64
+MADE = ["size", "source_size", "target", "copies", "taken"]
+#: Rows, about, for each slice that a size class is ranked in; a slice is the documents whose digest begins alike.
+SLICE_ROWS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -52,77 +56,82 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], share: floa
     )
 
 
-def mixed(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text: str | None = "text",
-    source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = 1.5,
-    cap: float = 2.0,
-    seed: str = "mix",
-    narrow: DataFrame | None = None,
-) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken.
-
-    With ``text`` None the column ``size`` is already there, and ``narrow`` may be a saved table of id, source and size
-    to plan from. Ranks come from three levels: counts by (source, size class, slice) are summed first, their
-    running sum gives each group's first rank, and ``row_number`` ranks inside a group. Only the counts, at most
-    some thousand rows for a source, meet by source.
+def digest(id_col: str, text: str) -> Column:
+    """Sixteen hexadecimal digits that order the documents of a size class."""
+    return F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))), 1, 16)
+
+
+def sized(docs: DataFrame, id_col: str, text: str, source: str, more: list[Column] | None = None) -> DataFrame:
+    """(id, source, size, digest) of every document: what a mix is planned from."""
+    return docs.select(*(more or []), F.col(id_col).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), digest(id_col, text).alias("digest"))
+
+
+def planned(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """``rows`` (source, size, digest and others) with source_size, target, copies and taken; ``narrow`` is a saved table of
+    the same documents.
+
+    Ranks come from three levels: counts by (source, size class, slice) give sums by (source, size class), whose running sum
+    gives each class's first rank; the running sum inside a class gives each slice's; ``row_number`` ranks inside a slice.
+    Only the classes of a source, some ninety for every factor of ten in size, meet by source.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    names = [c for c in docs.columns if c not in made]
+    digits = 0
+    while narrow.count() > SLICE_ROWS * 16**digits:
+        digits += 1
     group = ["__key", "__class", "__slice"]
 
     def grouped(df: DataFrame) -> DataFrame:
-        digits = F.greatest(F.length(F.col("size").cast("string")) - 2, F.lit(0))
+        zeros = F.greatest(F.length(F.col("size").cast("string")) - 2, F.lit(0))
         return (
-            df.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
-            .withColumn("__class", F.col("size") - F.col("size") % F.pow(F.lit(10), digits).cast("long"))
-            .withColumn("__slice", F.coalesce(F.pmod(F.col(id_col), F.lit(SLICES)), F.lit(0)).cast("int"))
+            df.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+            .withColumn("__class", F.col("size") - F.col("size") % F.pow(F.lit(10), zeros).cast("long"))
+            .withColumn("__slice", F.substring("digest", 1, 2 + digits))
         )
 
-    rows = docs.select(*names, "size" if text is None else words(F.col(text)).alias("size"))
-    if narrow is None:
-        narrow = rows if text is None else saved(rows.select(source, id_col, "size"), "sizes")
-    counts = grouped(narrow).groupBy(source, *group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    per_source = targets(counts.groupBy(source, "__key").agg(F.sum("words").alias("source_size")), source, weights, share, cap)
-    running = Window.partitionBy("__key").orderBy("__class", "__slice").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("__before", F.coalesce(F.sum("n").over(running), F.lit(0))).select(*group, "__before")
-    plan = firsts.join(per_source.select("__key", "source_size", "target"), "__key")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col(id_col).asc_nulls_last(), "size"))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(source), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    counts = grouped(narrow).groupBy("source", *group).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    classes = counts.groupBy("source", "__key", "__class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    before = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = classes.select("__key", "__class", before(Window.partitionBy("__key").orderBy("__class")).alias("__start"))
+    slices = counts.select(*group, before(Window.partitionBy("__key", "__class").orderBy("__slice")).alias("__before"))
+    per_source = targets(classes.groupBy("source", "__key").agg(F.sum("words").alias("source_size")), "source", weights, share, cap)
+    plan = slices.join(starts, ["__key", "__class"]).join(per_source, "__key").select(*group, (F.col("__start") + F.col("__before")).alias("__first"), "source_size", "target")
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("digest", "size"))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (
-        grouped(rows)
-        .withColumn("__rank", rank)
-        .join(plan, group)  # the rank has dealt the rows by these keys already
-        .withColumn("__i", F.col("__before") + F.col("__rank"))
-        .withColumn("copies", F.floor(F.col("__i") * expected + offset) - F.floor((F.col("__i") - 1) * expected + offset))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*names, *made)
-    )
+    i = F.col("__first") + F.col("__rank")
+    crossed = F.floor(i * expected + offset) - F.floor((i - 1) * expected + offset)
+    out = grouped(rows).withColumn("__rank", rank).join(plan, group)  # the rank has dealt the rows by these keys already
+    out = out.withColumn("copies", F.least(crossed, F.ceil(expected)))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(*group, "__rank", "__first")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken."""
+    names = [c for c in docs.columns if c.lower() not in MADE]
+    narrow = saved(sized(docs, id_col, text, source), "sizes")
+    rows = sized(docs, id_col, text, source, [F.struct(*docs.columns).alias("row")])
+    return planned(rows, narrow, **options).select(*(F.col(f"row.`{c}`").alias(c) for c in names), *MADE)
 
 
 def emitted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as it has copies, with its columns as they are."""
-    narrow = saved(docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), words(F.col(text)).alias("size")), "sizes")
-    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source).alias("__source"), words(F.col(text)).alias("size"))
-    taken = mixed(held, "__id", None, "__source", narrow=narrow, **options).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    narrow = saved(sized(docs, id_col, text, source), "sizes")
+    rows = sized(docs, id_col, text, source, [F.struct(*docs.columns).alias("row")])
+    taken = planned(rows, narrow, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
-    return mixed(saved(docs, "sizes"), text=None).select("doc_id", "size", "source_size", "target", "taken")
+    narrow = saved(sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "sizes")
+    return planned(narrow, narrow).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 16) AS digest
+  FROM documents
 ), c AS (
-  SELECT *, size - size % (10 ** greatest(length(size::VARCHAR) - 2, 0))::BIGINT AS cls,
-         coalesce(((doc_id % 64) + 64) % 64, 0) AS slice
+  SELECT *, size - size % (10 ** greatest(length(size::VARCHAR) - 2, 0))::BIGINT AS cls
   FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM c GROUP BY source
@@ -140,10 +149,10 @@ WITH d AS (
 ), k AS (
   SELECT doc_id, size, source_size, target, u,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
-         row_number() OVER (PARTITION BY c.source ORDER BY cls, slice, doc_id NULLS LAST, size) AS i
+         row_number() OVER (PARTITION BY c.source ORDER BY cls, digest, size) AS i
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       ((floor(i * e + u) - floor((i - 1) * e + u)) * size)::BIGINT AS taken
+       (least(floor(i * e + u) - floor((i - 1) * e + u), ceil(e)) * size)::BIGINT AS taken
 FROM k
 """

@@ -8,7 +8,8 @@ counts once), calibrated again, and score every document in one pass over whole
 Defined results: null and empty texts are scored by features of zero; null or unseen metadata count as the
 overall rate; null labels are ignored, contradicting labels of one id count as low quality; with no
 usable labels every score is 1 (nothing is rejected); repeated rows get equal scores; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored, and a kept column named like a result gives way to it (put rows into
+a struct to keep them whole).
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .boosting import fit_logit, fit_steps, fit_trees
-from .shared import column, some_rows, table
+from .shared import clear_of, column, saved, some_rows, table
 
 #: Most labelled rows of each class, and most unlabelled rows in the pool.
 SAMPLE, POOL = 4000, 6000
@@ -158,7 +160,8 @@ def fitted(docs: DataFrame, labels: DataFrame, where, label: str, id_col: str, t
     # which documents are in the pool does not depend on what their labels say
     others = docs.select(id_col).where(F.col(id_col).isNotNull()).join(known, id_col, "left_anti").distinct()
     chosen = some_rows(known.where("y = 1"), id_col, sample, 2).union(some_rows(known.where("y = 0"), id_col, sample, 2)).union(some_rows(others, id_col, pool, 3).withColumn("y", F.lit(None).cast("int")))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), F.struct(*metadata).alias("__meta")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
+    chosen = saved(chosen.select(F.col(id_col).alias("__id"), "y"), "chosen")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), F.struct(*metadata).alias("__meta")).join(F.broadcast(chosen), "__id")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(9), "__id"), F.lit(FOLDS)).cast("int"))
 
     def run(batches):
@@ -193,18 +196,19 @@ def quality_scores(
     ``by_metadata``. The last column of ``metadata`` is a size, the others are categories."""
     model = fitted(docs, labels, F.lit(True) if where is None else where, label, id_col, text, list(metadata), sample, pool)
     made = ["quality_score", "by_content", "by_metadata"]
+    keep = [c for c in keep if c.lower() not in made]
+    body, meta = clear_of([*keep, *made], "text", "meta")
     if model is None:
         return docs.select(*keep, *(F.lit(1.0).alias(c) for c in made))
 
     def run(batches):
         for batch in batches:
-            x = np.array([content(t) for t in column(batch, "__text")]).reshape(-1, len(CONTENT))
-            scores = model(x, [tuple(m.values()) for m in column(batch, "__meta")]) if len(x) else (np.empty(0),) * 3
+            x = np.array([content(t) for t in column(batch, body)]).reshape(-1, len(CONTENT))
+            scores = model(x, [tuple(m.values()) for m in column(batch, meta)]) if len(x) else (np.empty(0),) * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *map(pa.array, scores)], names=[*keep, *made])
 
-    source = docs.select(*keep, F.struct(*(F.col(c).alias(f"m{i}") for i, c in enumerate(metadata))).alias("__meta"), F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(run, ", ".join([fields, *(f"{c} double" for c in made)]))
+    source = docs.select(*keep, F.struct(*(F.col(c).alias(f"m{i}") for i, c in enumerate(metadata))).alias(meta), F.col(text).alias(body))
+    return source.mapInArrow(run, StructType([*source.schema.fields[: len(keep)], *(StructField(c, DoubleType()) for c in made)]))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

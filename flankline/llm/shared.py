@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +16,28 @@ from pyspark.sql import functions as F
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder is made."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN.get(spark.sparkContext.applicationId)
+    """The folder that driver and executors share, as a full address: that of ``spark.checkpoint.dir`` or else of
+    ``setCheckpointDir``. Where neither is set, one machine (a local master) makes a temporary folder; a cluster fails, since
+    executors would not see each other's files."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN.get(context.applicationId)
     if not folder:
-        folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="flankline-")
-    return folder.rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="flankline-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/flankline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/flankline/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -35,12 +48,47 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`saved` that nothing needs any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _deleted(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever is put into the shared folder inside goes in the end: for work whose result is stored elsewhere by then.
+    Without it a session's folders stay until :func:`cleared`."""
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[mark:]:
+            _deleted(spark, path)
+        del _MADE[mark:]
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete everything that this driver has put into the shared folder and not deleted yet."""
+    for path in _MADE:
+        _deleted(spark, path)
+    _MADE.clear()
+
+
+def clear_of(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, lengthened where needed so that they clash with none of ``taken`` (case aside, as Spark compares them)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while f"__{name}" in used:
+            name += "_"
+        out.append(f"__{name}")
+        used.add(out[-1])
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +153,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the classes of i[k] and j[k]; ``label`` points at the least member and stays compressed."""
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 def forest(linked: np.ndarray) -> np.ndarray:
     """Root (least position) of each row of a small symmetric boolean link matrix."""
     n = len(linked)

@@ -3,11 +3,17 @@
 The 64 bits are dealt into partitions of correlated bits. Partition ``i`` has an own threshold
 ``t_i`` with ``sum(t_i) = limit - partitions + 1``; by the generalised pigeonhole principle two
 fingerprints at most ``limit`` bits apart are within ``t_i`` in some partition. The number of
-partitions and the thresholds come from a dynamic programme over estimated work.
+partitions and the thresholds come from a dynamic programme over estimated work. Rows are probed by
+the bits of each partition and verified by all their bits.
 
-Defined results: a null, empty or blank text has fingerprint zero and links like any other; fewer
-than three words make one shingle; repeated rows share fingerprint and component; an empty table
-gives an empty result; further columns are ignored.
+:func:`simhash_groups` links fingerprints of three-word shingles at 3 bits. :func:`one_of_each_group` links documents
+whose sets of five-word shingles are alike by 0.8 (Jaccard): fingerprints within 10 bits are candidates, and the
+texts decide.
+
+Defined results: a null, empty or blank text has fingerprint zero and links like any other (in
+:func:`one_of_each_group` only with its like); fewer words than a shingle has make one shingle; repeated rows share
+fingerprint and component; an empty table gives an empty result; further columns are ignored or passed on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, components, forest, saved
+from .shared import clear_of, column, components, saved, table, unite
 
 BITS = 64
-#: Rows of one bucket handled together; larger buckets are cut into pairs of blocks of this size.
+#: Rows of one bucket that are compared together; larger buckets are cut into blocks of this size, which meet in pairs.
 BLOCK = 2048
 #: Cost of comparing two fingerprints inside a bucket, in units of one shuffled row.
 COMPARE_COST = 0.02
@@ -39,6 +45,11 @@ def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> np.nda
     return np.array([xxhash.xxh64_intdigest(b" ".join(g), seed) for g in grams], np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int) -> set[tuple[bytes, ...]]:
+    words = (text or "").encode().lower().split()
+    return set(zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)} - {()}
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit k is 1 if it is set in over half of the hashes. Sums eight one-byte counters at a time, 255 rows deep."""
     if not len(hashes):
@@ -55,14 +66,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, seed: int = 42, into: str = "fp") -> DataFrame:
     """``keep`` columns and ``into`` (the fingerprint as a signed long) for every row of ``docs``."""
+    (body,) = clear_of([*keep, into], "text")
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(shingle_hashes(t, shingle, seed)) for t in column(batch, "__text")], np.uint64)
+            values = np.array([fingerprint(shingle_hashes(t, shingle, seed)) for t in column(batch, body)], np.uint64)
             rest = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(values.view(np.int64))], names=[*keep, into])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    source = docs.select(*keep, F.col(text).alias(body))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, `{into}` long" if fields else f"`{into}` long")
 
@@ -159,91 +171,160 @@ def _keys(part: int, bits: list[int], threshold: int) -> list:
     return out
 
 
-def links(fps: DataFrame, limit: int = 3) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints at most ``limit`` bits apart: enough of them to connect
-    whatever is connected, and no others (an edge may stand for a path inside one bucket). ``fps`` has one row for each distinct fingerprint, column fp."""
-    counts, n = bit_counts(fps)
+def spanning(n: int, u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Positions of the pairs (u, v) that make a minimum spanning forest of ``n`` nodes: nearest pairs first."""
+    label, out = np.arange(n), []
+    for d in np.unique(distance):
+        at = np.flatnonzero(distance == d)
+        while len(at):
+            a, b = label[u[at]], label[v[at]]
+            at, a, b = at[a != b], a[a != b], b[a != b]
+            if len(at):
+                _, first = np.unique(np.maximum(a, b), return_index=True)  # each class joins one lesser class
+                out.append(at[first])
+                unite(label, u[at[first]], v[at[first]])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame:
+    """Edges (a, b) between nodes whose fingerprints are at most ``limit`` bits apart: of all such pairs, those of a minimum
+    spanning forest in each block, so whatever is connected stays so. ``rows`` has one row for each node: node (long), fp and
+    size; pairs whose sizes differ by more than ``size_ratio`` allows are no pairs.
+
+    A bucket's own rows meet all its rows, those that ask for the bucket included. Each side is cut into blocks.
+    A pair that meets in several partitions counts in the first."""
+    counts, n = bit_counts(rows)
     plan = allocation(counts, n, limit)
     keys = [k for part, (bits, threshold) in enumerate(plan) for k in _keys(part, bits, threshold)]
     if not keys:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    rows = fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.part", "k.key", "k.own")
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size"), F.max("own").alias("asked")).where("size > 1 AND asked")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    salt = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    probes = rows.select("fp", "node", "size", F.explode(F.concat(*keys)).alias("k")).select("fp", "node", "size", "k.part", "k.key", "k.own")
+    sizes = probes.groupBy("part", "key").agg(F.count_if("own").alias("mine"), F.count("*").alias("all")).where("mine > 0 AND `all` > 1")
+    sizes = sizes.select("part", "key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("mine", "all")))
+    salt = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    as_mine = F.transform(upto("all"), lambda j: place(salt("mine"), j, 0))
+    as_any = F.transform(upto("mine"), lambda i: F.struct(i.alias("i"), salt("all").alias("j"), F.when(F.col("own"), 1).otherwise(2).alias("role")))
     met = (
-        rows.join(sizes, ["part", "key"])
-        .withColumn("blocks", blocks)
-        .withColumn("salt", salt)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .groupBy("part", "key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-        .agg(F.collect_list("fp").alias("fps"))
-        .where(F.size("fps") > 1)
-        .select("fps")
+        probes.join(sizes, ["part", "key"])
+        .select("part", "key", "fp", "node", "size", F.explode(F.when(F.col("own"), F.concat(as_mine, as_any)).otherwise(as_any)).alias("p"))
+        .groupBy("part", "key", F.col("p.i"), F.col("p.j"))
+        .agg(F.collect_list(F.struct("p.role", "fp", "node", "size")).alias("rows"))
+        .where(F.size("rows") > 2)
+        .select("part", "rows")
     )
+    earlier = [(np.uint64(sum(1 << b for b in bits)), threshold) for bits, threshold in plan]
+
+    def block(part: int, role: np.ndarray, fp: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine, other = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
+        found = []
+        step = max(1, (1 << 20) // max(1, len(other)))
+        for s in range(0, len(mine), step):
+            some = mine[s : s + step]
+            differing = fp[some, None] ^ fp[None, other]
+            u, v = np.nonzero(np.bitwise_count(differing) <= limit)
+            bits, i, j = differing[u, v], some[u], other[v]
+            good = (role[j] == 2) | (node[i] < node[j])  # two of the bucket's own meet twice
+            good &= np.minimum(size[i], size[j]) >= size_ratio * np.maximum(size[i], size[j])
+            for mask, threshold in earlier[:part]:
+                good &= np.bitwise_count(bits & mask) > threshold
+            if good.any():
+                found.append((node[i[good]], node[j[good]], np.bitwise_count(bits[good])))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        take = spanning(len(names), at[: len(a)], at[len(a) :], d)
+        return a[take], b[take]
 
     def run(batches):
         for batch in batches:
-            column = batch.column(0)
-            values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-            sizes = np.diff(ends, prepend=0)
-            out = []
-            for n in np.unique(sizes):
-                starts = (ends - sizes)[sizes == n]
-                if n <= 12:
-                    x = values[starts[:, None] + np.arange(n)]
-                    for i, j in combinations(range(n), 2):
-                        near = np.bitwise_count(x[:, i] ^ x[:, j]) <= limit
-                        out.append(np.stack([x[near, i], x[near, j]]))
-                    continue
-                for s in starts:
-                    x = np.unique(values[s : s + n])
-                    root = forest(np.bitwise_count(x[:, None] ^ x) <= limit)
-                    moved = root != np.arange(len(x))
-                    out.append(np.stack([x[root[moved]], x[moved]]))
-            a, b = np.concatenate(out, axis=1).view(np.int64) if out else np.empty((2, 0), np.int64)
+            lists = batch.column(1)
+            role, fp, node, size = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("role", "fp", "node", "size"))
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            starts = np.concatenate([[0], ends[:-1]])
+            out = [block(p, role[s:e], fp[s:e].view(np.uint64), node[s:e], size[s:e]) for p, s, e in zip(batch.column(0).to_numpy(), starts, ends, strict=True)]
+            a, b = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def alike(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts (node, text) have sets of shingles of a Jaccard similarity of ``least`` or more. Only
+    texts of nodes on edges travel."""
+    ends = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    wanted = texts.join(ends, "node", "left_semi")
+    pairs = edges.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            held: tuple[str | None, set] = (None, set())
+            for one, two in zip(column(batch, "one"), column(batch, "two"), strict=True):
+                if held[0] != two:  # a node's edges mostly come one after another
+                    held = (two, shingle_set(two, shingle))
+                x, y = shingle_set(one, shingle), held[1]
+                both = len(x & y)
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_duplicates(marked: DataFrame, id_col: str = "doc_id", limit: int = 3) -> DataFrame:
-    """Add ``component_id`` (least id of the component) to rows that carry ``fp``; ``marked`` must be a saved table."""
-    distinct = saved(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 3) -> DataFrame:
+    """(id, fingerprint, component_id) for every document."""
+    marked = saved(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), ["id"], into="fp"), "fingerprints")
+    distinct = saved(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp", F.col("fp").alias("node"), F.lit(1).alias("size")), limit)).withColumnRenamed("node", "fp")
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = labelled.join(ids, "root").select("fp", "component_id")
-    return marked.join(per_fp, "fp")
+    out = marked.join(labelled.join(ids, "root").select("fp", "component_id"), "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 3) -> DataFrame:
-    """(id, fingerprint, component_id) for every document."""
-    marked = saved(fingerprints(docs, [id_col], text), "fingerprints")
-    out = near_duplicates(marked, id_col, limit)
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def described(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(id, row, text) with the fingerprint ``fp``, a digest of the set of shingles and its size."""
 
+    def run(batches):
+        for batch in batches:
+            fps, digests, sizes = [], [], []
+            for t in column(batch, "text"):
+                hashes = shingle_hashes(t, shingle, seed)
+                kinds = np.unique(hashes)
+                fps.append(fingerprint(hashes))
+                digests.append(xxhash.xxh3_128_digest(kinds.tobytes()))
+                sizes.append(len(kinds))
+            added = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *added], names=["id", "row", "text", "fp", "digest", "size"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, fp long, digest binary, size int")
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one row left of each group: that with the least id, null ids last.
 
-    The rows are written once with their fingerprint and a row number, so that repeated rows and
-    repeated ids are told apart.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = 10, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one row left of each group of near-duplicates: that with the least id, null ids last.
+
+    Texts with equal sets of shingles are one node. The rows are written once with a row number, so that
+    repeated rows and repeated ids are told apart.
     """
-    names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    held = saved(fingerprints(numbered, [*names, "__row"], text, into="__fp"), "held")
-    marked = held.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("who"), F.col("__fp").alias("fp"))
-    firsts = near_duplicates(marked, "who", limit).where(F.col("who") == F.col("component_id"))
-    return held.join(firsts.select(F.col("who.row").alias("__row")), "__row", "left_semi").select(*names)
+    kept, who = clear_of(docs.columns, "row", "held")
+    held = saved(docs.select(F.struct(*docs.columns).alias(who), F.monotonically_increasing_id().alias(kept)), "held")
+    marked = saved(described(held.select(F.col(f"{who}.`{id_col}`").alias("id"), F.col(kept).alias("row"), F.col(f"{who}.`{text}`").alias("text")), shingle).drop("text"), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = saved(marked.groupBy("fp", "digest").agg(F.min(order).alias("least"), F.first("size").alias("size")).select("fp", "size", "least", F.col("least.row").alias("node")), "nodes")
+    candidates = saved(links(nodes.select("fp", "node", "size"), limit, least), "candidates")
+    texts = held.select(F.col(kept).alias("node"), F.col(f"{who}.`{text}`").alias("text"))
+    roots = components(alike(candidates, texts, shingle, least))
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = labelled.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(kept))
+    return held.join(firsts, kept, "left_semi").select(f"{who}.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .shared import table
-
     return simhash_groups(table(spark, sf_dir, "documents"))

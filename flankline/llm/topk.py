@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import saved, table
 
-#: Rows of a block of candidates, and queries that share one build of its index.
-BLOCK, QUERIES = 16_384, 2_048
+#: Rows of a block of candidates, and bytes of the queries that share one build of its index.
+BLOCK, QUERY_BYTES = 16_384, 1 << 25
 #: Levels that the impacts of a dimension are quantised to.
 LEVELS = 16
 #: Segments that are processed between two attempts at the proof.
@@ -94,8 +94,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     """(query_id, rank, id, score) of integer vectors; a query's own id is left out."""
     rows, asked = (df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")) for df in (candidates, queries))
     blocks = max(1, -(-rows.count() // BLOCK))
-    groups = max(1, -(-asked.count() // QUERIES))
-    # all queries meet all candidates, block by block: each side is repeated for the other's blocks
+    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    groups = max(1, -(-shape["n"] * 8 * (shape["width"] or 0) // QUERY_BYTES))
+    # all queries meet all candidates, block by block: each side is repeated for the other's blocks, so groups of queries are as
+    # large as a task's memory allows (65,536 queries of 64 components)
     left = rows.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = asked.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 

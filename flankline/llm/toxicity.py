@@ -7,7 +7,8 @@ calibration by folds, so that neither sees the rows that it describes; scoring i
 
 Defined results: null and empty texts have all features zero and get the model's score for that;
 equal texts get equal scores; null labels are ignored and contradicting labels of one id count as toxic;
-with no usable labels every score is 0; an empty table gives an empty result; further columns are ignored.
+with no usable labels every score is 0; an empty table gives an empty result; further columns are ignored, and a kept
+column named like the result gives way to it (put rows into a struct to keep them whole).
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .boosting import fit_steps, fit_trees
-from .shared import bucket_of, column, some_rows, table
+from .shared import bucket_of, clear_of, column, saved, some_rows, table
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 4000
@@ -171,7 +173,7 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
     evidence = 2 * (part(bad, all_bad / (all_bad + all_good)) + part(good, all_good / (all_bad + all_good)))
     enough = min(LEAST_EVIDENCE, all_bad * float(np.log((all_bad + all_good) / max(all_bad, 1))))
     best = counts.where(F.col("term") != "").where((bad >= least) & (evidence >= enough)).withColumn("odds", odds).where(F.col("odds") >= float(np.log(LEAST_RATIO)))
-    got = best.orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    got = best.withColumn("evidence", evidence).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).collect()
     out = []
     for left in range(FOLDS + 1):
         use = [k for k in range(FOLDS) if k != left]
@@ -190,6 +192,7 @@ def fitted(docs: DataFrame, labels: DataFrame, where, label: str = "toxic", id_c
     """The lexicon and a function from features to calibrated scores. A row's features come from the lexicon of the
     other folds, and what the calibration sees of a row from trees of the other folds."""
     rows, sizes = sampled(docs, labels, label, id_col, text, sample, where)
+    rows = saved(rows, "sample")  # read twice, and few
     lexicons = learn_lexicons(rows)
 
     def run(batches):
@@ -216,18 +219,19 @@ def fitted(docs: DataFrame, labels: DataFrame, where, label: str = "toxic", id_c
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], where=None, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``keep`` columns of ``docs`` and ``toxic_score``; ``where`` says which labelled rows may be learned from."""
+    keep = [c for c in keep if c.lower() != "toxic_score"]
+    (body,) = clear_of([*keep, "toxic_score"], "text")
     lexicon, model = fitted(docs, labels, F.lit(True) if where is None else where, id_col=id_col, text=text, sample=sample)
 
     def run(batches):
         tokens = Tokens(lexicon)
         for batch in batches:
-            x = np.array([features(t, tokens) for t in column(batch, "__text")]).reshape(-1, len(FEATURES))
+            x = np.array([features(t, tokens) for t in column(batch, body)]).reshape(-1, len(FEATURES))
             rest = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(model(x))], names=[*keep, "toxic_score"])
 
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, toxic_score double")
+    source = docs.select(*keep, F.col(text).alias(body))
+    return source.mapInArrow(run, StructType([*source.schema.fields[:-1], StructField("toxic_score", DoubleType())]))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

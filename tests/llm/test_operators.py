@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flankline.llm import boosting, covertree, langid, licenses, mixing, packing, quality, queries, simhash, topk, toxicity, warc
+from flankline.llm import boosting, covertree, langid, licenses, mixing, packing, quality, queries, shared, simhash, topk, toxicity, warc
 from flankline.llm.shared import bucket_of, components, forest, table
 from tests.conftest import same
 
@@ -282,7 +282,7 @@ def test_trees_find_every_link(seed):
             if len(here) and (there is None or len(there)):
                 rep, links, other = covertree.meet(here, there, cosine)
                 np.add.at(got, rep, links)
-                covertree.unite(label, rep, other)
+                shared.unite(label, rep, other)
         assert (got == sums).all() and (label == root).all()
 
 
@@ -295,7 +295,7 @@ def test_over_200000_child_pairs():
     rep, links, other = covertree.meet(pd.DataFrame({"rep": np.arange(2000), "m": m, "v": list(x)}), None, 0.9)
     got, label = np.zeros(2000, int), np.arange(2000)
     np.add.at(got, rep, links)
-    covertree.unite(label, rep, other)
+    shared.unite(label, rep, other)
     assert (got == sums).all() and (label == root).all()
 
 
@@ -353,10 +353,10 @@ def test_links_connect_all(spark, limit):
     rng = np.random.default_rng(limit)
     seeds = rng.integers(0, 2**63, 20).astype(np.uint64)
     fps = np.unique([int(s) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 7))) for s in seeds for _ in range(15)]).astype(np.uint64)
-    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), limit).toPandas()
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").selectExpr("fp", "fp AS node", "1 AS size"), limit).toPandas()
     a, b = (np.searchsorted(fps, edges[c].to_numpy().view(np.uint64)) for c in "ab")
     label = np.arange(len(fps))
-    covertree.unite(label, a, b)
+    shared.unite(label, a, b)
     assert (label == forest(np.bitwise_count(fps[:, None] ^ fps) <= limit)).all()
 
 
@@ -375,7 +375,45 @@ def test_one_of_each_group(odd):
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.one_of_each_group(odd).select("doc_id").collect())
     assert kept == [(False, 1), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
     assert simhash.one_of_each_group(odd).columns == odd.columns
-    assert simhash.simhash_groups(odd.where("false")).count() == 0
+    assert simhash.simhash_groups(odd.where("false")).count() == 0 and simhash.one_of_each_group(odd.where("false")).count() == 0
+    clash = odd.withColumnsRenamed({"fp": "__row", "size": "__held", "length": "node"}).withColumn("text_", F.lit(1))
+    again = simhash.one_of_each_group(clash)
+    assert again.columns == clash.columns
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_similar_documents_by_brute_force(spark, monkeypatch, block):
+    """No document goes unless a kept one's chain of copies is alike by 0.8; most of those that could go do."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) < 5000")
+    rng = np.random.default_rng(1)
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for k, (_, text) in enumerate(list(rows.items())[:300]):  # further near copies: some words of each are changed
+        words = (text or "").split(" ")
+        for i in rng.integers(0, len(words), max(1, len(words) // int(rng.integers(40, 200)))):
+            words[i] = f"changed{k}"
+        rows[100_000 + k] = " ".join(words)
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    sets = {k: simhash.shingle_set(t, 5) for k, t in rows.items()}
+    by_shingle = defaultdict(set)
+    for k, x in sets.items():
+        for g in x:
+            by_shingle[g].add(k)
+    ids = sorted(rows)
+    at = {k: i for i, k in enumerate(ids)}
+    label = np.arange(len(ids))
+    for k, x in sets.items():
+        counts = defaultdict(int)
+        for g in x:
+            for other in by_shingle[g]:
+                counts[other] += other > k
+        near = [o for o, both in counts.items() if both and both >= 0.8 * (len(x) + len(sets[o]) - both)]
+        near += [o for o in ids if not x and not sets[o] and o > k]
+        shared.unite(label, np.array([at[k]] * len(near), int), np.array([at[o] for o in near], int))
+    must = {ids[i] for i in range(len(ids)) if label[i] != i}
+    gone = set(ids) - kept
+    print(f"{len(must)} rows could go, {len(gone)} went")
+    assert gone <= must and len(gone) > 0.85 * len(must)
 
 
 # ---- 7 licences
@@ -466,6 +504,33 @@ def test_every_letter_counts():
     assert langid.cores("Don't_stop-" + "x" * 41 + "e\u0301a 12") == ["don", "t", "stop", "x" * 40, "xea"]
 
 
+def test_true_letters_and_long_words(spark):
+    docs = spark.createDataFrame([(k, x, lang) for k in range(40) for x, lang in ((f"das ist ein wort{'abcdefgh'[k % 8]}", "de"), (f"that was some word{'abcdefgh'[k % 8]}", "en"))], "doc_id long, text string, lang string")
+    model = langid.fitted(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ ٣ 42 _ -"), (2, "²a"), (3, "das" * 4000), (4, "das" * 14 + "some" * 4000)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages_of(odd, model, ["doc_id"]).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] != "und" and got[3] != got[4]
+
+
+def test_query_by_hand(spark):
+    """The whole labelling of tiny documents against sums over all label sequences."""
+    from itertools import product
+
+    docs = spark.createDataFrame([(k, x, lang) for k in range(30) for x, lang in (("uno dos tres", "es"), ("one two three", "en"))], "doc_id long, text string, lang string")
+    model = langid.fitted(docs, F.lit(True))
+    texts = ["uno two", "one-dos, three!", "x", "tres tres one dos"]
+    got = langid.languages_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).toPandas().set_index("doc_id")
+    for k, t in enumerate(texts):
+        words = [w for token in t.split() for w in langid.cores(token)]
+        e = model.emissions(words)
+        share, total = np.zeros(2), 0.0
+        for y in product(range(2), repeat=len(words)):
+            p = np.exp(sum(e[i, c] for i, c in enumerate(y)) + sum(model.transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += p
+            share += p * np.bincount(y, minlength=2) / len(y)
+        assert got.lang_pred[k] == model.languages[int(share.argmax())] and abs(got.score[k] - share.max() / total) < 1e-5
+
+
 def test_many_languages_and_long_documents(spark):
     rng = np.random.default_rng(0)
     vocabulary = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(20)] for k in range(70)}
@@ -518,6 +583,11 @@ def test_mix_odd_rows(odd):
     mix = mixing.emitted(odd).toPandas()
     assert len(mix) == out.copies.sum() and set(mix["size"]) == {"y"} and set(mix.fp) == {"x"}
     assert mixing.mixed(odd.where("false")).count() == 0
+    named = mixing.mixed(odd.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))).toPandas()
+    assert len(named) == len(ODD) and named.doc_id.isna().sum() == 1
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    taken = mixing.mixed(hot).toPandas()
+    assert len(taken) == 3000 and set(taken.taken) <= {3, 6} and abs(taken.taken.sum() / 13_500 - 1) < 0.01
 
 
 def test_taken_is_near_target(spark):
@@ -576,13 +646,66 @@ def test_pipeline(spark, sf):
         counts.append(docs.count())
         if k + 1 < len(pipeline.STAGES):
             assert docs.columns == names
-        if k == 2:  # what the filters and the dedup leave, by plain loops over their input
-            fps = np.array([slow_fingerprint(r.text) for r in docs.collect()], np.uint64)
-            assert (np.bitwise_count(fps[:, None] ^ fps)[np.triu_indices(len(fps), 1)] > 3).all()
     check_packed(docs.toPandas(), 2048)
     assert counts[0] >= counts[1] >= counts[2] > 0
 
 
+CLASHES = ["quality_score", "by_content", "toxic_score", "size", "target", "copies", "row", "__row", "__text", "__meta", "sequence_id"]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, sf, k):
+    """Nulls, empties, repeats, clashing names and an empty table through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(*r[:5], *CLASHES) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)).repartition(2)
+    name, stage = pipeline.STAGES[k]
+    out = stage(spark, docs, sf)
+    rows = out.toPandas()
+    if name == "packing":
+        check_packed(rows, 2048)
+        assert len(rows.drop_duplicates(["doc_id", "piece"])) >= 10
+    else:
+        assert out.columns == docs.columns and all(set(rows[c]) <= {c} for c in CLASHES)
+    if name == "near-duplicates":
+        assert sorted(rows.doc_id.dropna()) == [1, 4, 5, 7, 8, 9] and len(rows) == 7
+    assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_filters_by_hand(spark, sf):
+    """The filters keep exactly the rows whose scores, computed here without Spark, say so."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = docs.toPandas()
+    model = quality.fitted(docs, labels, F.lit(True), "quality", "doc_id", "text", ["source", "lang", "n_chars"], quality.SAMPLE, quality.POOL)
+    score, _, _ = model(np.array([quality.content(t) for t in rows.text]), list(rows[["source", "lang", "n_chars"]].itertuples(index=False, name=None)))
+    assert {r.doc_id for r in pipeline.quality_filter(spark, docs, sf).collect()} == set(rows.doc_id[score >= 0.5])
+    lexicon, judge = toxicity.fitted(docs, labels, F.lit(True))
+    score = judge(np.array([toxicity.features(t, toxicity.Tokens(lexicon)) for t in rows.text]))
+    assert {r.doc_id for r in pipeline.toxicity_filter(spark, docs, sf).collect()} == set(rows.doc_id[score < 0.7])
+
+
+def test_shared_folder(spark, tmp_path):
+    assert shared.shared_folder(spark).startswith("file:///")
+    with shared.scratch(spark):
+        kept = shared.saved(spark.range(3), "gone")
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists()
+    assert not folder.exists()
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://somewhere"
+            applicationId = "other"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(dict)
+
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Cluster)
+
+
 def test_guard():
     entry = Path(__file__).resolve().parents[2] / "__spark_entry__.py"
     assert "except ImportError" in entry.read_text()
