@@ -36,21 +36,70 @@ def best_hits(hits: DataFrame, query: str, order: Sequence[Column]) -> DataFrame
 
 
 def seed_matches(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: str, identity: float = 0.95, coverage: float = 0.95) -> DataFrame:
-    """Proteins against seeds, position by position. Seeds are configuration and broadcast; the length ratio that the
-    coverage demands is compared before any letter is."""
+    """Proteins against seeds, position by position; the length ratio that the coverage demands is compared before any letter
+    is. Spark broadcasts the seeds if their size allows."""
     long, short = F.greatest(F.length(sequence), F.length(seed)), F.least(F.length(sequence), F.length(seed))
-    near = proteins.join(F.broadcast(seeds), short >= long * coverage)
+    near = proteins.join(seeds, short >= long * coverage)
     return near.withColumn("identity", position_identity(F.col(sequence), F.col(seed))).withColumn("coverage", length_coverage(F.col(sequence), F.col(seed))).where((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
 
 
 def back_confirmed(hits: DataFrame, seeds: DataFrame, key: Sequence[str], sequence: str, seed: str, family: str, seed_family: str, seed_no: str, identity: float, coverage: float) -> DataFrame:
     """For each hit the best seed by (identity, coverage), earlier seeds first on ties, and whether it confirms the hit's family."""
-    each = hits.join(F.broadcast(seeds)).withColumn("__i", position_identity(F.col(sequence), F.col(seed))).withColumn("__c", length_coverage(F.col(sequence), F.col(seed)))
+    each = hits.crossJoin(seeds).withColumn("__i", position_identity(F.col(sequence), F.col(seed))).withColumn("__c", length_coverage(F.col(sequence), F.col(seed)))
     best = each.groupBy(*key).agg(F.max(F.struct("__i", "__c", (-F.col(seed_no)).alias("n"), F.col(seed_family).alias("f"))).alias("b"), F.first(family).alias(family))
     sure = (F.col("b.f") == F.col(family)) & (F.col("b.__i") >= identity) & (F.col("b.__c") >= coverage)
     return best.select(*key, family, F.col("b.f").alias("best_family"), F.col("b.__i").alias("identity"), F.col("b.__c").alias("coverage"), F.when(sure, "seed_back_confirmed").otherwise("profile_match").alias("evidence_type"))
 
 
+def hits_with_metadata(hits: DataFrame, metadata: DataFrame, target: str = "target_id", key: str = "protein_accession") -> DataFrame:
+    """Each hit with its target's metadata, if there is any; a target that several datasets have gives a row for each."""
+    side = metadata.withColumnRenamed(key, "__key")
+    return hits.join(side, F.col(target) == F.col("__key"), "left").withColumn(key, F.coalesce("__key", F.col(target))).drop("__key")
+
+
+def best_hits_with_metadata(best: DataFrame, metadata: DataFrame, order: Sequence[str] = ("dataset_name",), target: str = "target_id", key: str = "protein_accession") -> DataFrame:
+    """Best hits that have metadata; of several rows of an accession the first by ``order`` is used."""
+    one = best_hits(metadata, key, [F.col(c) for c in order])
+    return best.join(one.withColumnRenamed(key, target), target).withColumn(key, F.col(target))
+
+
+def shard_proteins(proteins: DataFrame, features: DataFrame, datasets: Sequence[str], phylum: str | None = None) -> DataFrame:
+    """Proteins of some datasets with their features' columns, if any; the filters prune both tables' folders."""
+    keys = ["dataset_name", "protein_accession"]
+    some = lambda t: t.where(F.col("dataset_name").isin(*datasets) & (F.lit(True) if phylum is None else F.col("phylum") == phylum))
+    more = [c for c in features.columns if c in keys or c not in proteins.columns]
+    return some(proteins).join(some(features).select(*more), keys, "left")
+
+
+def rescued(hits: DataFrame, metadata: DataFrame, order: Sequence[Column], evalue: float, haystack: Sequence[str] = (), terms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Seed search hits to anchor hits: threshold, best hit of each query, metadata, the family's guard, one row for each key."""
+    best = best_hits(passing(hits, "e_value", evalue), "query_id", order)
+    found = best_hits_with_metadata(best, metadata)
+    if haystack:
+        found = found.where(guard(haystack, F.col("anchor_family"), terms or {}))
+    keys = [c for c in HIT_KEYS if c in found.columns]
+    return best_hits(found.withColumn("__all", F.concat_ws("|", *keys)), "__all", order).drop("__all")
+
+
+def detect(mode: str, **runs) -> DataFrame:
+    """Anchor hits by mode: ``smoke`` (term scan) or ``profile`` (also ``hmmer``; profile hits). ``runs`` are functions without
+    arguments; only that of the mode is called."""
+    name = {"hmmer": "profile"}.get(mode, mode)
+    if name not in ("smoke", "profile") or name not in runs:
+        raise NotImplementedError(f"anchor detection by {mode!r}")
+    return runs[name]()
+
+
+def numbered(hits: DataFrame) -> DataFrame:
+    """``cluster_id``: 1-based place in the order of dataset, analyte, family, accession and locus tag. Counted by dataset first, so
+    that only one row of each dataset meets in one place."""
+    before = Window.orderBy("dataset_name").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hits.groupBy("dataset_name").agg(F.count("*").alias("__n"))
+    firsts = counts.select("dataset_name", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    rank = F.row_number().over(Window.partitionBy("dataset_name").orderBy("analyte", "anchor_family", "protein_accession", "locus_tag"))
+    return hits.withColumn("__rank", rank).join(firsts, "dataset_name").withColumn("cluster_id", (F.col("__first") + F.col("__rank")).cast("int")).drop("__rank", "__first")
+
+
 def resolve(anchors: DataFrame, features: DataFrame, key: str, by: Sequence[tuple[str, str]], within: Sequence[tuple[str, str]], order: Sequence[str]) -> DataFrame:
     """One feature for each anchor: by the first identifier that matches, then by ``order``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
@@ -29,6 +29,16 @@ def annotate_domains(genes: DataFrame, key: str, *tables: DataFrame) -> DataFram
     return genes
 
 
+def unannotated(genes: DataFrame, locus: str = "locus_id") -> DataFrame:
+    """How many genes of each locus have no domain at all."""
+    return genes.groupBy(locus).agg(F.count_if((F.size("pfam_ids") <= 0) & (F.size("interpro_ids") <= 0)).alias("n_unannotated"))
+
+
+def with_ordinal(rows: DataFrame, order: Sequence[str], into: str = "ordinal", group: Sequence[str] = ("locus_id",)) -> DataFrame:
+    """An explicit place of each row in its group, so that results can be put back in order whatever was shuffled since."""
+    return rows.withColumn(into, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+
+
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are evaluated once for each row. A filter on a plain column is pushed below it with a copy of its
     expression, and rule expressions are long; nothing is pushed below a generator."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +26,42 @@ def recovery(truth: DataFrame, hits: DataFrame, truth_id: str, needles: Sequence
     return out.withColumn("hit", F.when(F.col(negative), ~F.col("recovered")).otherwise(F.col("recovered"))) if negative else out.withColumn("hit", F.col("recovered"))
 
 
+def first_candidates(truth: DataFrame, ranked: DataFrame, truth_id: str, name: str, accession: str = "gene_accession", rank: str = "rank") -> DataFrame:
+    """For each truth row the best-ranked candidate whose accession holds its name, if any: rank, candidate_id and scores. A gene
+    that is several candidates counts at its best rank. The curated truth is the small side, which Spark sees."""
+    best = ranked.groupBy(accession).agg(F.min_by(F.struct(*ranked.columns), rank).alias("__c")).select("__c.*")
+    asked = truth.where(F.coalesce(F.col(name), F.lit("")) != "").select(truth_id, name)
+    found = best.join(asked, F.contains(F.col(accession), F.col(name)))
+    shown = [c for c in (rank, "candidate_id", "candidate_score", "regulation_logit_score") if c in ranked.columns]
+    first = found.groupBy(truth_id).agg(F.min_by(F.struct(*shown), rank).alias("__c")).select(truth_id, "__c.*")
+    return truth.join(first, truth_id, "left")
+
+
+def metric_rows(summary_row: DataFrame, counts: Mapping[str, Column], rows: DataFrame, notes: Mapping[str, str] | None = None) -> DataFrame:
+    """A one-row summary as (metric, value, n, notes); ``counts`` say over how many of ``rows`` each metric runs."""
+    names = summary_row.columns
+    sizes = rows.agg(*(F.count_if(counts[c]).alias(f"__{c}") if c in counts else F.count("*").alias(f"__{c}") for c in names))
+    entries = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.col(f"__{c}").alias("n"), F.lit((notes or {}).get(c, "")).alias("notes")) for c in names))
+    return summary_row.crossJoin(F.broadcast(sizes)).select(F.explode(entries).alias("e")).select("e.*")  # one row each
+
+
 def ranks(rows: DataFrame, score: str, tie: Sequence[str], into: str = "rank") -> DataFrame:
-    """1-based rank by score. Rank over everything: use it on candidates, or on groups through ``top_k``."""
-    return rows.withColumn(into, F.row_number().over(Window.orderBy(F.desc_nulls_last(score), *tie)))
+    """1-based rank by score over everything. Rows are cut into ranges of the score; a window ranks inside a range, and the ranges'
+    counts, some hundreds, say what stands before it."""
+    ranged = rows.withColumn("__range", score_range(rows, score))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc_nulls_last("__range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc_nulls_last(score), *tie))
+    ranked = ranged.withColumn("__rank", inner).join(F.broadcast(before), "__range")
+    return ranked.withColumn(into, (F.col("__before") + F.col("__rank")).cast("int")).drop("__range", "__rank", "__before")
+
+
+def score_range(rows: DataFrame, score: str, ranges: int = 200) -> Column:
+    """The number of the range that a score falls into, from approximate quantiles: at most ``ranges`` of them; nulls are -1.
+    Rows of one score are never parted."""
+    edges = sorted(set(rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
+    inside = F.size(F.filter(F.lit(edges or [0.0]), lambda e: e <= F.col(score).cast("double")))
+    return F.when(F.col(score).isNull(), -1).otherwise(inside if edges else F.lit(0))
 
 
 def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -48,10 +82,18 @@ def auroc(rows: DataFrame, label: str, score: str, group: Sequence[str] = ()) ->
 
 
 def average_precision(rows: DataFrame, label: str, score: str, tie: Sequence[str], group: Sequence[str]) -> DataFrame:
-    by = Window.partitionBy(*group).orderBy(F.desc(score), *tie)
+    """Mean over the positives of the precision at their rank. Groups are cut into ranges of the score, so that a large group is
+    not one task; counts of ranges, some hundreds for a group, are summed before them."""
+    rows = rows.withColumn("__range", score_range(rows, score))
+    counts = rows.groupBy(*group, "__range").agg(F.count("*").alias("__n"), F.sum(F.col(label).cast("long")).alias("__p"))
+    over = Window.partitionBy(*group).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__n", F.coalesce(F.sum("__n").over(over), F.lit(0))).withColumn("__p", F.coalesce(F.sum("__p").over(over), F.lit(0)))
+    by = Window.partitionBy(*group, "__range").orderBy(F.desc(score), *tie)
     ranked = rows.withColumn("__r", F.row_number().over(by)).withColumn("__tp", F.sum(F.col(label).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*group, "__range")]
+    ranked = ranked.alias("r").join(counts.alias("c"), reduce(lambda x, y: x & y, same)).select("r.*", (F.col("r.__r") + F.col("c.__n")).alias("__rank"), (F.col("r.__tp") + F.col("c.__p")).alias("__hits"))
     hit = F.col(label).cast("int") == 1
-    return ranked.groupBy(*group).agg((F.sum(F.when(hit, F.col("__tp") / F.col("__r"))) / F.count_if(hit)).alias("average_precision"))
+    return ranked.groupBy(*group).agg((F.sum(F.when(hit, F.col("__hits") / F.col("__rank"))) / F.count_if(hit)).alias("average_precision"))
 
 
 def summary(rows: DataFrame, positive: Column, hit: Column, rank: Column, tops: Sequence[int] = (1, 5, 10), more: Mapping[str, Column] | None = None) -> DataFrame:
@@ -82,8 +124,8 @@ def share_of_top(rows: DataFrame, value: str, order: Sequence[Column], k: int) -
     return rows.agg(F.sum(value).alias("total")).crossJoin(top).select("top", "total", (F.col("top") / F.col("total")).alias("share"))
 
 
-def markdown(rows: DataFrame, limit: int = 200) -> str:
-    """A report table as Markdown; reports are short, ``limit`` rows at most."""
+def markdown(rows: DataFrame) -> str:
+    """A report table as Markdown, all of its rows, read a partition at a time."""
     names = rows.columns
-    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in joined_lists(rows).limit(limit).collect()]
+    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in joined_lists(rows).toLocalIterator()]
     return "\n".join(["| " + " | ".join(names) + " |", "| " + " | ".join("---" for _ in names) + " |", *body])

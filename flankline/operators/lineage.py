@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flankline.session import checkpoint_folder
@@ -51,8 +51,24 @@ def lookup_lineage(pivot: DataFrame, node: str, value) -> dict[str, str]:
     return {k: v for k, v in row.asDict().items() if v} if row else {}
 
 
+def taxonomy_value(rank: str, columns: Sequence[str], default: str) -> Column:
+    """A rank's name, or what stands in for it: the organism's first word for genus, the taxon's number for family, and for
+    phylum the analyte where ``default`` is empty; else ``default``."""
+    given = F.nullif(F.trim(F.col(rank)), F.lit("")) if rank in columns else F.lit(None).cast("string")
+    stand_in = F.lit(None).cast("string")
+    if rank == "genus" and "organism" in columns:
+        stand_in = F.nullif(F.substring_index(F.trim(F.col("organism")), " ", 1), F.lit(""))
+    elif rank == "family" and "taxon_id" in columns:
+        stand_in = F.col("taxon_id").cast("string")
+    elif rank == "phylum" and "analyte" in columns and default == "":
+        stand_in = F.nullif(F.col("analyte"), F.lit(""))
+    return F.coalesce(given, stand_in, F.lit(default))
+
+
 def fill_taxonomy(rows: DataFrame, lineage: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Left join of the columns that ``rows`` lacks; one lineage row for each key is used."""
+    """Left join of the columns that ``rows`` lacks; of several lineage rows of a key the least in those columns is used."""
     missing = [c for c in columns if c not in rows.columns]
-    side = lineage.select(key, *missing).dropDuplicates([key])
+    if not missing:
+        return rows
+    side = lineage.groupBy(key).agg(F.min(F.struct(*missing)).alias("__l")).select(key, "__l.*")
     return rows.join(side, key, "left")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
 from flankline.operators.annotate import once
+from flankline.session import checkpoint_folder
 
 LOCUS_COMPONENTS = {
     "anchor_marker": "anchor_marker_score",
@@ -60,10 +60,12 @@ def attach_enrichment(rows: DataFrame, key: str, features: Column, enrichment: D
 
 
 def score_candidates(loci: DataFrame, genes: DataFrame, weights: Mapping[str, float], catalog: Sequence[Mapping] | None = None, rules: Sequence[Mapping] = (), expected: Mapping[str, Sequence[str]] | None = None, enrichment: DataFrame | None = None, cap: float = 3.0) -> DataFrame:
-    """Regulator candidates near scored loci, ordered by score. A gene whose locus is missing is left out by the join."""
+    """Regulator candidates near scored loci. A gene whose locus is missing is an error, found where the rows are used."""
     mine = genes.where("is_regulator_candidate")
     locus = loci.select("locus_id", "analyte", "organism", "cluster_id", "anchor_family", "locus_score", *(c for c in ("superkingdom",) if c in loci.columns))
-    rows = mine.join(locus, "locus_id")
+    rows = mine.join(locus.withColumn("__known", F.lit(True)), "locus_id", "left")
+    orphan = F.raise_error(F.concat(F.lit("no locus for candidate gene "), F.col("gene_accession"))).cast("boolean")
+    rows = rows.where(F.when(F.col("__known"), True).otherwise(orphan)).drop("__known")
     domains, pfams = F.col("sensory_domains"), F.col("pfam_ids")
     if catalog is None or expected is None:
         score = F.least(F.size(domains).cast("double"), F.lit(2.0))
@@ -97,7 +99,7 @@ def score_candidates(loci: DataFrame, genes: DataFrame, weights: Mapping[str, fl
     rows = candidate_score(rows, weights)
     rows = rows.drop("__found", "__expected")
     text = F.format_string("%s regulator %s of %s locus; %d sensory domain(s); candidate score %.3f", "regulator_class", "position", "anchor_family", F.size(domains), "candidate_score")
-    return rows.withColumn("rationale", text).orderBy(F.desc("candidate_score"), "candidate_id")
+    return rows.withColumn("rationale", text)
 
 
 def candidate_token(index: Column, kind: Column, chemistries: Column, distance: Column) -> Column:
@@ -123,30 +125,65 @@ def architecture_distance(a: Column, b: Column) -> Column:
 def archetype_ids(loci: DataFrame, architecture: str, threshold: float = 0.0) -> DataFrame:
     """(architecture, archetype_no): leader clusters in order of the architecture strings.
 
-    At threshold 0 a cluster is one architecture, numbered in order. Above it the leaders depend on each other in
-    sequence; only the distinct architectures go through that, in one task.
+    At threshold 0 a cluster is one architecture, numbered in order. Above it an architecture leads unless a leader before it
+    is within the threshold, and follows the first such leader. Pairs within the threshold share labels of much
+    weight, so they are found by an equality join on each side's rarest labels, those without which too little
+    weight would be left to share. Leaders are settled in rounds: whoever has only settled followers before it leads, whoever
+    has a leader before it follows. From a threshold of 1 on everything follows the first.
     """
-    distinct = loci.select(architecture).distinct()
+    distinct = loci.select(F.col(architecture).alias("text")).distinct()
     if threshold <= 0:
-        return distinct.withColumn("archetype_no", F.dense_rank().over(Window.orderBy(architecture)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[dict[int, str]] = []
-        numbers = []
-        for text in sorted(pdf[architecture]):
-            mine = dict((int(p), label) for p, _, label in (t.partition(":") for t in text.split(">") if ":" in t))
-            for k, other in enumerate(leaders):
-                places = mine.keys() | other.keys()
-                total = sum(1 / (1 + abs(p)) for p in places)
-                if not total or sum(1 / (1 + abs(p)) for p in places if mine.get(p) != other.get(p)) / total <= threshold:
-                    numbers.append((text, k + 1))
-                    break
-            else:
-                leaders.append(mine)
-                numbers.append((text, len(leaders)))
-        return pd.DataFrame(numbers, columns=[architecture, "archetype_no"])
-
-    return distinct.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, f"`{architecture}` string, archetype_no int")
+        return distinct.select(F.col("text").alias(architecture), F.dense_rank().over(Window.orderBy("text")).alias("archetype_no"))
+    if threshold >= 1:
+        return distinct.select(F.col("text").alias(architecture), F.lit(1).alias("archetype_no"))
+    checkpoint_folder(loci.sparkSession)
+    parsed = distinct.withColumn("m", parsed_architecture(F.col("text"))).checkpoint()
+    labels = parsed.select("text", F.explode("m").alias("k", "v")).withColumn("w", F.lit(1.0) / (F.lit(1.0) + F.abs("k")))
+    common = labels.groupBy("k", "v").agg(F.count("*").alias("n"))
+    rare = Window.partitionBy("text").orderBy("n", "k", "v")
+    ordered = labels.join(common, ["k", "v"]).withColumn("before", F.sum("w").over(rare.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy("text")))
+    probes = ordered.where(F.col("all") - F.col("before") >= (1 - threshold) * F.col("all") - 1e-9).select("text", "k", "v")
+    a, b = probes.select("k", "v", F.col("text").alias("one")), probes.select("k", "v", F.col("text").alias("two"))
+    pairs = a.join(b, ["k", "v"]).where("one < two").select("one", "two").distinct()
+    near = pairs.join(parsed.select(F.col("text").alias("one"), F.col("m").alias("x")), "one").join(parsed.select(F.col("text").alias("two"), F.col("m").alias("y")), "two")
+    near = near.where(architecture_distance(F.col("x"), F.col("y")) <= threshold).select("one", "two")
+    blank = parsed.where(F.size("m") == 0).select("text")  # texts without labels are at distance 0 of each other
+    near = near.union(blank.agg(F.min("text").alias("one")).crossJoin(F.broadcast(blank.select(F.col("text").alias("two")))).where("one < two")).checkpoint()
+    state = parsed.select("text", F.lit(None).cast("boolean").alias("leads")).checkpoint()
+    while not state.where("leads IS NULL").isEmpty():
+        before = near.join(state.select(F.col("text").alias("one"), F.col("leads").alias("led")), "one").groupBy(F.col("two").alias("text")).agg(F.max(F.coalesce("led", F.lit(False))).alias("any"), F.max(F.col("led").isNull()).alias("open"))
+        settled = F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = state.join(before, "text", "left").select("text", F.coalesce("leads", settled).alias("leads")).checkpoint()
+    leaders = state.where("leads").select("text", F.row_number().over(Window.orderBy("text")).alias("archetype_no"))  # clusters, not loci
+    first = near.join(leaders.withColumnRenamed("text", "one"), "one").groupBy(F.col("two").alias("text")).agg(F.min("archetype_no").alias("followed"))
+    return state.join(leaders, "text", "left").join(first, "text", "left").select(F.col("text").alias(architecture), F.coalesce("archetype_no", "followed").alias("archetype_no"))
+
+
+def archetype_ids_in_order(texts: Sequence[str], threshold: float) -> dict[str, int]:
+    """The same by hand, one text after the other: what tests compare with."""
+    leaders: list[dict[int, str]] = []
+    out = {}
+    for text in sorted(texts):
+        mine = dict((int(p), label) for p, _, label in (t.partition(":") for t in text.split(">") if ":" in t))
+        for k, other in enumerate(leaders):
+            places = mine.keys() | other.keys()
+            total = sum(1 / (1 + abs(p)) for p in places)
+            if not total or sum(1 / (1 + abs(p)) for p in places if mine.get(p) != other.get(p)) / total <= threshold + 1e-12:
+                out[text] = k + 1
+                break
+        else:
+            leaders.append(mine)
+            out[text] = len(leaders)
+    return out
+
+
+def with_archetypes(candidates: DataFrame, archetypes: DataFrame, architecture: str = "architecture") -> DataFrame:
+    """Candidates with the archetype of (analyte, architecture), else of ("", architecture), else the id that they have."""
+    one = archetypes.groupBy("analyte", F.col("architecture_string").alias(architecture)).agg(F.min("archetype_id").alias("__id"))
+    mine, any_ = one, one.where("analyte = ''").drop("analyte").withColumnRenamed("__id", "__any")
+    joined = candidates.join(mine, ["analyte", architecture], "left").join(any_, architecture, "left")
+    old = [F.col("archetype_id")] if "archetype_id" in candidates.columns else []
+    return joined.withColumn("archetype_id", F.coalesce("__id", "__any", *old)).drop("__id", "__any")
 
 
 def archetype_summary(loci: DataFrame, candidates: DataFrame, group: Sequence[str], locus: str, score: str, taxon: str, kind: str, candidate: str) -> DataFrame:

@@ -14,7 +14,7 @@ from flankline.functions.scalars import logit_score
 def contingency(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str] = ()) -> DataFrame:
     """a, b, c, d for each feature (and stratum): cases with, cases without, controls with, controls without.
 
-    ``rows`` may repeat (locus, feature); a locus counts once. The totals of a side are its distinct loci, so loci
+    ``rows`` may repeat (locus, feature); a locus counts once. A stratum has rows for the features that occur in it. The totals of a side are its distinct loci, so loci
     without any feature (null) count as without.
     """
     # the stratum's totals first; a stratum where one side or a margin is empty stays in with its zeros
@@ -25,11 +25,8 @@ def contingency(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Co
         present &= F.col(c).isNotNull()
     seen = marked.where(present).select(locus, "__case", *strata, *feature).distinct()
     counts = seen.groupBy(*strata, *feature).agg(F.count_if("__case").alias("a"), F.count_if(~F.col("__case")).alias("c"))
-    if strata:
-        every = seen.select(*feature).distinct().join(F.broadcast(totals))
-        joined = every.join(counts, [*strata, *feature], "left")
-    else:
-        joined = counts.crossJoin(F.broadcast(totals))
+    # strata without the feature are left out: see ``stratified``, which accounts for them by their totals
+    joined = counts.join(totals, list(strata)) if strata else counts.crossJoin(F.broadcast(totals))  # one row
     a, c = F.coalesce("a", F.lit(0)), F.coalesce("c", F.lit(0))
     return joined.select(*strata, *feature, a.alias("a"), (F.col("cases") - a).alias("b"), c.alias("c"), (F.col("controls") - c).alias("d"))
 
@@ -69,6 +66,57 @@ def cmh(strata_counts: DataFrame, feature: Sequence[str]) -> DataFrame:
     return out.withColumn("p_value", erfc_udf(F.sqrt(F.col("statistic") / 2))).drop("__dev", "__var", "__num", "__den")
 
 
+def stratified(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str]) -> DataFrame:
+    """:func:`cmh` over every stratum of ``rows``, those without the feature included, without writing features x strata.
+
+    A stratum without the feature adds terms that depend on its totals alone. They are summed once over all strata; each
+    feature takes that sum, less those of the strata where it occurs, plus its own terms there."""
+    present = contingency(rows, feature, locus, is_case, strata)
+    marked = rows.withColumn("__case", is_case)
+    totals = marked.select(locus, "__case", *strata).distinct().groupBy(*strata).agg(F.count_if("__case").alias("cases"), F.count_if(~F.col("__case")).alias("controls"))
+
+    def terms(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+        shift = F.when((a == 0) | (b == 0) | (c == 0) | (d == 0), 0.5).otherwise(0.0)
+        a, b, c, d = (x.cast("double") + shift for x in (a, b, c, d))
+        n = a + b + c + d
+        return {"dev": a - (a + b) * (a + c) / n, "var": (a + b) * (a + c) * (b + d) * (c + d) / (n * n * (n - 1)), "num": a * d / n, "den": b * c / n}
+
+    zero = F.lit(0)
+    absent = terms(zero, F.col("cases"), zero, F.col("controls"))
+    everywhere = totals.agg(*(F.sum(v).alias(f"all_{k}") for k, v in absent.items()), F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
+    here = terms(*(F.col(x) for x in "abcd"))
+    instead = terms(zero, F.col("a") + F.col("b"), zero, F.col("c") + F.col("d"))
+    sums = present.groupBy(*feature).agg(*(F.sum(here[k] - instead[k]).alias(k) for k in here), F.sum("a").alias("n_a"), F.sum("c").alias("n_c"))
+    out = sums.crossJoin(F.broadcast(everywhere))  # one row
+    dev, var, num, den = (F.col(k) + F.col(f"all_{k}") for k in ("dev", "var", "num", "den"))
+    out = out.withColumn("statistic", F.when(var > 1e-12, F.pow(F.abs(dev) - 0.5, 2) / var).otherwise(0.0)).withColumn("odds_ratio", F.when(den > 1e-12, num / den).otherwise(0.0))
+    out = out.withColumn("n_b", F.col("cases") - F.col("n_a")).withColumn("n_d", F.col("controls") - F.col("n_c"))
+    return out.select(*feature, "n_a", "n_b", "n_c", "n_d", "statistic", "odds_ratio").withColumn("p_value", erfc_udf(F.sqrt(F.col("statistic") / 2)))
+
+
+def enrichment(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str] = (), test: str = "fisher") -> DataFrame:
+    """Counts, odds ratio, p and q of every feature: stratified where ``test`` is ``cmh`` and there are strata, Fisher's exact test
+    otherwise. A column ``test`` says which."""
+    if test == "cmh" and strata:
+        tested = stratified(rows, feature, locus, is_case, strata)
+    else:
+        test = "fisher"
+        tested = fisher(contingency(rows, feature, locus, is_case)).withColumnsRenamed({x: f"n_{x}" for x in "abcd"})
+    return benjamini_hochberg(tested).withColumn("test", F.lit(test))
+
+
+def robustness(rows: DataFrame, feature: Sequence[str], locus: str, side: str, case: str, policies: dict[str, str | None], score: str, strata: Sequence[str] = (), test: str = "cmh") -> DataFrame:
+    """The test of every feature under each deduplication policy: deduplication_policy, stratum_column, test, odds ratio, p, q."""
+    out = None
+    for name, column in policies.items():
+        thinned = under_policies(rows, locus, side, {name: column}, score)
+        part = enrichment(thinned, feature, locus, F.col(side) == case, strata, test)
+        part = part.withColumn("deduplication_policy", F.lit(name)).withColumn("stratum_column", F.lit(",".join(strata)))
+        part = part.select("deduplication_policy", "stratum_column", "test", *feature, "n_a", "n_b", "n_c", "n_d", "odds_ratio", "p_value", "q_value", "interpretation")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value", run: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """q values and labels by run. ``rows`` are tested features, some thousands at most, not data rows."""
     by = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
-from flankline.operators import anchors, annotate, neighborhoods, scoring, stats
+from flankline.operators import anchors, annotate, evaluate, lineage, neighborhoods, scoring, stats
+from flankline.session import checkpoint_folder
 
 EMPTY = "array<string>"
 
 
+def locus_id_of_hit() -> Column:
+    family, name = S.safe_identifier(F.col("anchor_family")), F.coalesce(F.nullif(F.col("protein_accession"), F.lit("")), F.col("locus_tag"))
+    return F.concat_ws("__", F.lower("analyte"), "dataset_name", family, name)
+
+
 def extract(features: DataFrame, hits: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
     """(loci, genes) around anchor hits.
 
@@ -22,8 +28,7 @@ def extract(features: DataFrame, hits: DataFrame, window: int = 10) -> tuple[Dat
     blank = {c: F.coalesce(c, F.lit("")) for c in ("protein_accession", "locus_tag", "gene", "product")}
     coding = features.where("feature_type = 'CDS' AND protein_accession IS NOT NULL").withColumns(blank)
     placed = neighborhoods.ordinals(coding, ["dataset_name", "seqid"], ["start_nt", "end_nt", "protein_accession"])
-    family, name = S.safe_identifier(F.col("anchor_family")), F.coalesce(F.nullif(F.col("protein_accession"), F.lit("")), F.col("locus_tag"))
-    keyed = hits.withColumn("locus_id", F.concat_ws("__", F.lower("analyte"), "dataset_name", family, name))
+    keyed = hits.withColumn("locus_id", locus_id_of_hit())
     found = anchors.resolve(
         keyed.select("locus_id", "analyte", "anchor_family", *(F.col(c) for c in ("dataset_name", "protein_accession", "locus_tag", "gene"))),
         placed,
@@ -53,26 +58,45 @@ def extract(features: DataFrame, hits: DataFrame, window: int = 10) -> tuple[Dat
     return loci.join(integrity, "locus_id", "left").withColumn("operon_integrity_score", F.coalesce("operon_integrity_score", F.lit(0.0))), genes
 
 
-def discover(features: DataFrame, hits: DataFrame, domains: DataFrame, taxonomy: DataFrame, known: DataFrame, config: Mapping, case: str, control: str, window: int = 10) -> dict[str, DataFrame]:
+def discover(features: DataFrame, hits: DataFrame, domains: DataFrame, taxonomy: DataFrame, known: DataFrame, config: Mapping, case: str, control: str, window: int = 10, benchmark: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a run. ``domains``: gene_accession, position, pfam_id, pfam_description, interpro_id,
-    interpro_description; ``taxonomy``: organism and ranks; ``known``: analyte, organism. Case and control are analytes."""
+    interpro_description; ``taxonomy``: organism and ranks; ``known``: analyte, organism. Case and control are analytes; ``benchmark``: benchmark_id, protein_name."""
+    hits = anchors.numbered(hits)
     loci, genes = extract(features, hits, window)
-    loci = loci.join(F.broadcast(taxonomy), "organism", "left").withColumn("cluster_id", F.lit(0))
+    numbers = hits.select(locus_id_of_hit().alias("locus_id"), "cluster_id").groupBy("locus_id").agg(F.min("cluster_id").alias("cluster_id"))
+    loci = loci.join(taxonomy, "organism", "left").join(numbers, "locus_id", "left")
     loci = annotate.taxonomic_context(loci, known, [["analyte", "organism"]])
     lists = annotate.ordered_distinct(domains, ["gene_accession"], ["position"], ["pfam_id", "pfam_description", "interpro_id", "interpro_description"])
     lists = lists.toDF("gene_accession", "pfam_ids", "pfam_descriptions", "interpro_ids", "interpro_descriptions")
     genes = annotate.annotate_domains(genes, "gene_accession", lists)
     genes = genes.withColumns({"sensory_domains": F.array().cast(EMPTY), "functional_class": F.lit("unknown"), "is_regulator_candidate": F.lit(False), "regulator_class": F.lit("none")})
     genes = annotate.assign_sensor_roles(annotate.classify_regulators(genes, config["regulator_families"]), config["regulator_families"], config["sensory_domains"], config["paired_evidence"])
+    checkpoint_folder(features.sparkSession)
+    genes = genes.checkpoint()  # every later table reads these; their rules are long
     scoring_config = config["scoring"]
-    loci = scoring.score_loci(loci, scoring_config["locus_score_weights"], scoring_config["confidence_thresholds"])
+    loci = scoring.score_loci(loci, scoring_config["locus_score_weights"], scoring_config["confidence_thresholds"]).checkpoint()
     sides = loci.where(F.col("analyte").isin(case, control)).select("locus_id", "analyte")
     feature_rows = genes.join(sides, "locus_id").select("locus_id", "analyte", F.explode_outer(F.concat(F.array(F.struct(F.lit("regulator_class").alias("t"), F.col("regulator_class").alias("n"))), F.transform("sensory_domains", lambda d: F.struct(F.lit("sensory_domain").alias("t"), d.alias("n"))))).alias("f")).select("locus_id", "analyte", F.col("f.t").alias("feature_type"), F.when(F.col("f.n") != "none", F.col("f.n")).alias("feature_name"))
     tested = stats.benjamini_hochberg(stats.fisher(stats.contingency(feature_rows, ["feature_type", "feature_name"], "locus_id", F.col("analyte") == case)))
     expected = {a["analyte"]: a.get("expected_sensory_chemistry") or [] for a in config["analytes"]}
-    candidates = scoring.score_candidates(loci, genes, scoring_config["candidate_score_weights"], config["sensory_domains"], config["paired_evidence"], expected, tested, scoring_config.get("enrichment", {}).get("score_cap", 3.0))
+    candidates = scoring.score_candidates(loci, genes, scoring_config["candidate_score_weights"], config["sensory_domains"], config["paired_evidence"], expected, tested, scoring_config.get("enrichment", {}).get("score_cap", 3.0)).checkpoint()
     pairs = annotate.sensor_regulator_pairs(genes, loci, config["sensory_domains"], config["paired_evidence"])
-    return {"loci": loci, "genes": genes, "enrichment": tested, "candidates": stats.score_bands(candidates, "candidate_score"), "sensor_regulator_pairs": pairs}
+    token = scoring.candidate_token(F.col("relative_index"), F.col("regulator_class"), F.col("sensory_domains"), F.col("distance_nt"))
+    shapes = neighborhoods.architectures(candidates.withColumn("token", token), loci.select("locus_id", F.concat(F.lit("0:"), "anchor_family").alias("anchor_token")), "locus_id", ["relative_index", "gene_accession"], "token", "anchor_token")
+    numbered = scoring.archetype_ids(shapes, "architecture", scoring_config.get("archetype_threshold", 0.0))
+    placed = loci.join(shapes.join(numbered, "architecture"), "locus_id")
+    known_as = F.format_string("%s_arch_%04d", "analyte", "archetype_no")
+    archetypes = scoring.archetype_summary(placed, candidates.select("locus_id", "regulator_class", "candidate_score"), ["analyte", "archetype_no", "architecture"], "locus_id", "locus_score", "organism", "regulator_class", "candidate_score")
+    archetypes = archetypes.select(known_as.alias("archetype_id"), "analyte", F.lit("locus_neighborhood").alias("architecture_scope"), F.col("architecture").alias("architecture_string"), "n_loci", "n_taxa", F.col("representative").alias("representative_locus_id"), F.col("dominant_class").alias("dominant_regulator_class"), "mean_locus_score", "mean_candidate_score")
+    candidates = scoring.with_archetypes(candidates.join(shapes, "locus_id"), archetypes)
+    taxa = loci.select("locus_id", *(lineage.taxonomy_value(r, loci.columns, "").alias(r) for r in ("genus", "family", "phylum")))
+    candidates = scoring.conservation(candidates, taxa, "locus_id", "architecture", "analyte", "relative_index", "regulator_class", "genus", "family", "phylum")
+    candidates = scoring.candidate_score(candidates, scoring_config["candidate_score_weights"])
+    out = {"loci": loci, "genes": genes, "enrichment": tested, "archetypes": archetypes, "candidates": stats.score_bands(candidates, "candidate_score"), "sensor_regulator_pairs": pairs}
+    if benchmark is not None:
+        ranked = evaluate.ranks(candidates, "candidate_score", ["candidate_id"])
+        out["benchmark_recovery"] = evaluate.first_candidates(benchmark, ranked, "benchmark_id", "protein_name").withColumn("hit", F.col("rank").isNotNull())
+    return out
 
 
 def write(tables: Mapping[str, DataFrame], folder: str, only: Sequence[str] | None = None) -> None:

@@ -160,32 +160,22 @@ def archetypes_threshold(spark, sf_dir):
     return loci.join(scoring.archetype_ids(loci, "architecture", 0.4), "architecture").groupBy("archetype_no").agg(F.count("*").alias("n_loci"), F.min("architecture").alias("leader"))
 
 
-@query("""
-WITH p AS (
-  SELECT e.event_id, e.user_id, list(struct_pack(k := n.event_id % 4 - 2, v := n.event_type) ORDER BY n.event_id) AS xs
-  FROM events e JOIN events n ON n.user_id = e.user_id AND n.event_id BETWEEN e.event_id - 200 AND e.event_id AND e.event_id % 7 = 0 GROUP BY ALL
-), l AS (
-  SELECT event_id, user_id, k, arg_max(v, i) AS v FROM (
-    SELECT event_id, user_id, unnest(xs).k AS k, unnest(xs).v AS v, generate_subscripts(xs, 1) AS i FROM p) GROUP BY ALL
-), a AS (SELECT min(event_id) AS ref, user_id FROM p GROUP BY user_id),
-r AS (SELECT user_id, k, v FROM l JOIN a USING (user_id) WHERE event_id = ref),
-u AS (
-  SELECT coalesce(l.event_id, b.event_id) AS event_id, coalesce(l.k, b.k) AS k, l.v AS v, b.v AS w
-  FROM l FULL JOIN (SELECT p.event_id, r.user_id, r.k, r.v FROM p JOIN r USING (user_id)) b ON l.event_id = b.event_id AND l.k = b.k
-)
-SELECT event_id, round(sum(CASE WHEN v IS DISTINCT FROM w THEN 1.0::DOUBLE / (1 + abs(k)) ELSE 0 END) / sum(1.0::DOUBLE / (1 + abs(k))), 6) AS distance
-FROM u GROUP BY event_id
+@query(f"""
+WITH {GENES}, l AS (SELECT locus_id, user_id, relative_index AS k, g.event_type AS v FROM g JOIN f ON f.event_id = locus_id),
+a AS (SELECT user_id, min(locus_id) AS ref FROM l GROUP BY user_id),
+r AS (SELECT l.user_id, k, v FROM l JOIN a ON l.locus_id = a.ref),
+b AS (SELECT locus_id, k, r.v FROM (SELECT DISTINCT locus_id, user_id FROM l) JOIN r USING (user_id)),
+u AS (SELECT coalesce(l.locus_id, b.locus_id) AS locus_id, coalesce(l.k, b.k) AS k, l.v AS v, b.v AS w FROM l FULL JOIN b ON l.locus_id = b.locus_id AND l.k = b.k)
+SELECT locus_id, round(sum(CASE WHEN v IS DISTINCT FROM w THEN 1.0::DOUBLE / (1 + abs(k)) ELSE 0 END) / sum(1.0::DOUBLE / (1 + abs(k))), 6) AS distance FROM u GROUP BY locus_id
 """)
 def architecture_distance(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    mine = e.where("event_id % 7 = 0").select("event_id", "user_id")
-    other = e.select(F.col("event_id").alias("n"), "user_id", "event_type")
-    near = mine.join(other, "user_id").where("n BETWEEN event_id - 200 AND event_id")
-    token = F.format_string("%+d:%s", (F.col("n") % 4 - 2), F.col("event_type"))
-    texts = near.groupBy("event_id", "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", token.alias("t")))), lambda x: x["t"]), ">").alias("text"))
-    parsed = texts.select("event_id", "user_id", scoring.parsed_architecture(F.col("text")).alias("m"))
-    first = parsed.groupBy("user_id").agg(F.min_by("m", "event_id").alias("ref"))
-    return parsed.join(first, "user_id").select("event_id", r6(scoring.architecture_distance(F.col("m"), F.col("ref"))).alias("distance"))
+    """Every locus against the first one of its contig."""
+    users = read(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("locus_id"), "user_id")
+    token = F.format_string("%+d:%s", "relative_index", "event_type")
+    listed = genes(spark, sf_dir).groupBy("locus_id").agg(F.array_sort(F.collect_list(F.struct("relative_index", token.alias("t")))).alias("l"))
+    parsed = listed.join(users, "locus_id").select("locus_id", "user_id", scoring.parsed_architecture(F.array_join(F.transform("l", lambda x: x["t"]), ">")).alias("m"))
+    first = parsed.groupBy("user_id").agg(F.min_by("m", "locus_id").alias("ref"))
+    return parsed.join(first, "user_id").select("locus_id", r6(scoring.architecture_distance(F.col("m"), F.col("ref"))).alias("distance"))
 
 
 # ---------------------------------------------------------------- catalogs
@@ -549,13 +539,17 @@ def score_bands(spark, sf_dir):
     return stats.score_bands(distinct, "locus_score")
 
 
-@query(f"""WITH {LOCI_SQL}, b AS (SELECT c_mktsegment AS analyte, o_orderkey, locus_score, c_nationkey FROM lo)
-SELECT analyte, c_nationkey, count(*) AS n_loci, arg_min(o_orderkey, (-locus_score, o_orderkey)) AS representative, round(avg(locus_score), 6) AS mean_locus_score FROM b GROUP BY ALL""")
+@query(f"""WITH {LOCI_SQL}, m AS (SELECT l_orderkey, max(l_quantity)::DOUBLE AS best FROM lineitem GROUP BY 1),
+b AS (SELECT c_mktsegment AS analyte, o_orderkey, locus_score, c_nationkey, c_name, coalesce(best, 0) AS best FROM lo LEFT JOIN m ON l_orderkey = o_orderkey),
+k AS (SELECT c_mktsegment AS analyte, c_nationkey, l_returnflag, count(*) AS n FROM lineitem JOIN lo ON l_orderkey = o_orderkey GROUP BY ALL),
+t AS (SELECT analyte, c_nationkey, arg_min(l_returnflag, (-n, l_returnflag)) AS top FROM k GROUP BY ALL)
+SELECT analyte, c_nationkey, count(*) AS n_loci, count(DISTINCT c_name) AS n_taxa, arg_min(o_orderkey, (-locus_score, o_orderkey)) AS representative, coalesce(any_value(top), 'none') AS dominant_class,
+  round(avg(locus_score), 6) AS mean_locus_score, round(avg(best), 6) AS mean_candidate_score FROM b LEFT JOIN t USING (analyte, c_nationkey) GROUP BY ALL""")
 def archetype_summary(spark, sf_dir):
     loci = scored_loci(spark, sf_dir).withColumn("c_nationkey", F.col("cluster_id"))
-    none = loci.select("locus_id", F.lit("x").alias("k"), F.lit(0.0).alias("s")).limit(0)
-    s = scoring.archetype_summary(loci, none, ["analyte", "c_nationkey"], "locus_id", "locus_score", "organism", "k", "s")
-    return s.select("analyte", "c_nationkey", "n_loci", "representative", r6("mean_locus_score").alias("mean_locus_score"))
+    genes = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("locus_id"), F.col("l_returnflag").alias("k"), F.col("l_quantity").cast("double").alias("s"))
+    s = scoring.archetype_summary(loci, genes, ["analyte", "c_nationkey"], "locus_id", "locus_score", "organism", "k", "s")
+    return s.select("analyte", "c_nationkey", "n_loci", "n_taxa", "representative", "dominant_class", r6("mean_locus_score").alias("mean_locus_score"), r6("mean_candidate_score").alias("mean_candidate_score"))
 
 
 @query("""
@@ -625,16 +619,31 @@ w AS (SELECT f.feature, t.n_name, coalesce(a, 0) AS a, n1 - coalesce(a, 0) AS b,
 v AS (SELECT feature, a + h AS a, b + h AS b, c + h AS c, d + h AS d, a + b + c + d + 4 * h AS n FROM (SELECT *, CASE WHEN a * b * c * d = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS h FROM w WHERE a + b + c + d > 0))"""
 
 
+# a chi-square tail with one degree of freedom is the complementary error function: its continued fraction, evaluated from the end
+_TAIL = "0.0"
+for _k in range(60, 0, -1):
+    _TAIL = f"({_k} / 2.0::DOUBLE / (z + {_TAIL}))"
+CMH_BH_SQL = f"""WITH {STRATA_SQL}, m AS (
+  SELECT feature, (abs(sum(a - (a + b) * (a + c) / n)) - 0.5) ** 2 / sum((a + b) * (a + c) * (b + d) * (c + d) / (n * n * (n - 1))) AS statistic, sum(a * d / n) / sum(b * c / n) AS odds_ratio FROM v GROUP BY feature
+), i AS (SELECT *, sqrt(statistic / 2) AS z FROM m),
+s AS (SELECT feature, z, unnest(range(0, 60)) AS k FROM i),
+y AS (SELECT feature, sum(power(-1.0::DOUBLE, k) * power(z, 2 * k + 1) / ((2 * k + 1) * exp(lgamma(k + 1)))) * 2 / sqrt(pi()) AS erf FROM s GROUP BY feature),
+p AS (SELECT feature, statistic, odds_ratio, CASE WHEN z < 2 THEN 1 - erf ELSE exp(-z * z) / sqrt(pi()) / (z + {_TAIL}) END AS p FROM i JOIN y USING (feature)),
+q AS (SELECT *, p * count(*) OVER () / max(rk) OVER (PARTITION BY p) AS adj FROM (SELECT *, row_number() OVER (ORDER BY p) AS rk FROM p)),
+w2 AS (SELECT *, least(1.0, min(adj) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q)
+SELECT feature, round(statistic, 6) AS statistic, round(odds_ratio, 6) AS odds_ratio, round(p, 6) AS p_value, round(q, 6) AS q_value, CASE WHEN q <= 0.05 THEN 'enriched' ELSE 'not_enriched' END AS interpretation FROM w2"""
+
+
 @query(f"WITH {STRATA_SQL} SELECT feature, round((abs(sum(a - (a + b) * (a + c) / n)) - 0.5) ** 2 / sum((a + b) * (a + c) * (b + d) * (c + d) / (n * n * (n - 1))), 6) AS statistic, round(sum(a * d / n) / sum(b * c / n), 6) AS odds_ratio FROM v GROUP BY feature")
 def cmh_stratified(spark, sf_dir):
-    t = stats.cmh(stats.contingency(enrichment_rows(spark, sf_dir), ["feature"], "o_orderkey", is_case(), ["n_name"]), ["feature"])
+    t = stats.stratified(enrichment_rows(spark, sf_dir), ["feature"], "o_orderkey", is_case(), ["n_name"])
     return t.select("feature", r6("statistic").alias("statistic"), r6("odds_ratio").alias("odds_ratio"))
 
 
-@query()
+@query(CMH_BH_SQL)
 def cmh_bh(spark, sf_dir):
-    t = stats.cmh(stats.contingency(enrichment_rows(spark, sf_dir), ["feature"], "o_orderkey", is_case(), ["n_name"]), ["feature"])
-    return stats.benjamini_hochberg(t)
+    t = stats.stratified(enrichment_rows(spark, sf_dir), ["feature"], "o_orderkey", is_case(), ["n_name"])
+    return stats.benjamini_hochberg(t).select("feature", r6("statistic").alias("statistic"), r6("odds_ratio").alias("odds_ratio"), r6("p_value").alias("p_value"), r6("q_value").alias("q_value"), "interpretation")
 
 
 @query("""
@@ -697,14 +706,14 @@ def matched_controls(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT n_nationkey AS id, n_name AS needle, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS segment, n_nationkey % 5 = 0 AS negative FROM nation),
-h AS (SELECT c_mktsegment, 'x nation_' || (c_custkey % 17) || ' ' || c_name AS hay FROM customer WHERE c_custkey % 3 = 0),
+h AS (SELECT c_mktsegment, 'x nation_' || (c_custkey % 17) || ' ' || c_name AS hay FROM customer),
 r AS (SELECT id, negative, EXISTS (SELECT 1 FROM h WHERE (negative OR segment = c_mktsegment) AND contains(lower(hay), lower(needle))) AS recovered FROM t)
 SELECT id, recovered, CASE WHEN negative THEN NOT recovered ELSE recovered END AS hit FROM r
 """)
 def benchmark_recovery(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     truth = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("needle"), F.when(F.col("n_nationkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("segment"), (F.col("n_nationkey") % 5 == 0).alias("negative"))
-    hits = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_mktsegment", F.concat(F.lit("x nation_"), (F.col("c_custkey") % 17).cast("string"), F.lit(" "), "c_name").alias("hay"))
+    hits = read(spark, sf_dir, "customer").select("c_mktsegment", F.concat(F.lit("x nation_"), (F.col("c_custkey") % 17).cast("string"), F.lit(" "), "c_name").alias("hay"))
     return evaluate.recovery(truth, hits, "id", ["needle"], "hay", [("segment", "c_mktsegment")], "negative").select("id", "recovered", "hit")
 
 
@@ -781,29 +790,29 @@ def pwm_scan(spark, sf_dir):
     return sequence.pwm_scan(dna(spark, sf_dir), ["item_id"], "s", PWM, 1.2).select("item_id", "strand", "start", "site", r6("score").alias("score"))
 
 
-@query("""WITH c AS (SELECT i AS "column", substr(a, i, 1) AS r FROM (SELECT translate(lower(left(text, 40)), ' ', '-') AS a, unnest(range(1, 41)) AS i FROM benchmark WHERE len(text) >= 40)),
+@query("""WITH c AS (SELECT i AS "column", substr(a, i, 1) AS r FROM (SELECT translate(lower(text), ' ', '-') AS a, unnest(range(1, len(text) + 1)) AS i FROM benchmark)),
 m AS (SELECT "column", r, count(*) AS n FROM c WHERE r <> '-' GROUP BY "column", r), n AS (SELECT *, sum(n) OVER (PARTITION BY "column") AS total FROM m)
 SELECT CAST("column" AS INTEGER) AS "column", r AS residue, n AS n_residue, CAST(total AS BIGINT) AS n_residues, round(n / total::DOUBLE, 6) AS conservation FROM n QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, r) = 1""")
 def msa_conservation(spark, sf_dir):
-    a = read(spark, sf_dir, "benchmark").where(F.length("text") >= 40).select(F.translate(F.lower(F.substring("text", 1, 40)), " ", "-").alias("a"))
+    a = read(spark, sf_dir, "benchmark").select(F.translate(F.lower("text"), " ", "-").alias("a"))
     return sequence.column_conservation(a, "a").select("column", "residue", "n_residue", "n_residues", r6("conservation").alias("conservation"))
 
 
 @query("""
-WITH s(no, family, seed) AS (SELECT row_number() OVER (ORDER BY item_id), 'f' || item_id, left(text, 60) FROM benchmark WHERE item_id < 5), p AS (SELECT item_id, left(text, 50 + item_id::INT % 20) AS q FROM benchmark),
+WITH s(no, family, seed) AS (SELECT item_id, 'f' || item_id, text FROM benchmark), p AS (SELECT item_id, text AS q FROM benchmark),
 j AS (SELECT item_id, family, no, q, seed, least(len(q), len(seed)) AS n FROM p CROSS JOIN s WHERE least(len(q), len(seed)) >= greatest(len(q), len(seed)) * 0.9)
 SELECT item_id, family, round((SELECT count(*) FROM unnest(range(1, n + 1)) u(i) WHERE substr(q, i, 1) = substr(seed, i, 1)) / n::DOUBLE, 6) AS identity, round(n / greatest(len(q), len(seed))::DOUBLE, 6) AS coverage FROM j
 """)
 def seed_match(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
-    seeds = b.where("item_id < 5").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("family"), F.substring("text", 1, 60).alias("seed"))
-    p = b.select("item_id", F.expr("substring(text, 1, 50 + item_id % 20)").alias("q"))
+    seeds = b.select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("family"), F.col("text").alias("seed"))
+    p = b.select("item_id", F.col("text").alias("q"))
     return anchors.seed_matches(p, seeds, "q", "seed", 0.0, 0.9).select("item_id", "family", r6("identity").alias("identity"), r6("coverage").alias("coverage"))
 
 
 @query("""
-WITH s AS (SELECT item_id AS no, 'f' || item_id AS family, left(text, 60) AS seed FROM benchmark WHERE item_id < 5),
-h AS (SELECT item_id, 'f' || (item_id % 5) AS family, left(text, 60) AS q FROM benchmark),
+WITH s AS (SELECT item_id AS no, 'f' || item_id AS family, text AS seed FROM benchmark),
+h AS (SELECT item_id, 'f' || (item_id - item_id % 2) AS family, text AS q FROM benchmark),
 j AS (SELECT h.item_id, h.family, s.family AS best, s.no, least(len(q), len(seed)) AS n, least(len(q), len(seed)) / greatest(len(q), len(seed))::DOUBLE AS cov, q, seed FROM h CROSS JOIN s),
 m AS (SELECT *, (SELECT count(*) FROM unnest(range(1, n + 1)) u(i) WHERE substr(q, i, 1) = substr(seed, i, 1)) / n::DOUBLE AS ident FROM j)
 SELECT item_id, family, best AS best_family, round(ident, 6) AS identity, round(cov, 6) AS coverage, CASE WHEN best = family AND ident >= 0.95 AND cov >= 0.95 THEN 'seed_back_confirmed' ELSE 'profile_match' END AS evidence_type
@@ -811,15 +820,15 @@ FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ident DESC, cov
 """)
 def back_confirm(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
-    seeds = b.where("item_id < 5").select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("seed_family"), F.substring("text", 1, 60).alias("seed"), F.col("item_id").alias("seed_no"))
-    hits = b.select("item_id", F.concat(F.lit("f"), (F.col("item_id") % 5).cast("string")).alias("family"), F.substring("text", 1, 60).alias("q"))
+    seeds = b.select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("seed_family"), F.col("text").alias("seed"), F.col("item_id").alias("seed_no"))
+    hits = b.select("item_id", F.concat(F.lit("f"), (F.col("item_id") - F.col("item_id") % 2).cast("string")).alias("family"), F.col("text").alias("q"))
     out = anchors.back_confirmed(hits, seeds, ["item_id"], "q", "seed", "family", "seed_family", "seed_no", 0.95, 0.95)
     return out.withColumn("identity", r6("identity")).withColumn("coverage", r6("coverage"))
 
 
 @query()
 def residue_map(spark, sf_dir):
-    p = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 5, 40).alias("b"))
+    p = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substring(text, 5)").alias("b"))
     return sequence.residue_map(p, ["item_id"], "a", "b")
 
 

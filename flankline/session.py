@@ -30,12 +30,15 @@ def local_session(cores: int | None = None, memory: str = "8g", partitions: int
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where none is set (tests on one machine) a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, one machine (a local master) makes a temporary one and a cluster
+    fails: executors would not see each other's files."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="flankline-")
             context.setCheckpointDir(folder)
     return folder

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITIONS = ["phylum", "dataset_name"]
+SHARD_COLUMNS = ["shard_id", "shard_no", "n_datasets", "dataset_names", "group"]
 
 
 def write_partitions(rows: DataFrame, root: str, table: str) -> None:
@@ -38,8 +41,36 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A filter on phylum or dataset_name reads only those folders."""
-    return spark.read.parquet(f"{root}/{table}")
+    """A table of the store with whatever has been ingested into it since. A filter on phylum or dataset_name reads only
+    those folders."""
+    parts = [p for p in (f"{root}/{table}", f"{root}/{table}_batches") if _exists(spark, p)] or [f"{root}/{table}"]
+    tables = [spark.read.parquet(p) for p in parts]
+    tables = [t.drop("batch_id") if p.endswith("_batches") else t for t, p in zip(tables, parts, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_shards(shards: DataFrame, path: str) -> None:
+    """The shard manifest: one row for each shard, its datasets as a list."""
+    shards.select(*SHARD_COLUMNS).write.mode("overwrite").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    if missing := [c for c in SHARD_COLUMNS if c not in rows.columns]:
+        raise ValueError(f"{path} is no shard manifest: missing {missing}")
+    return rows.select(*SHARD_COLUMNS)
+
+
+def dataset_taxonomy(spark: SparkSession, root: str, dataset: str) -> dict:
+    """The row of one dataset in the table of datasets; nothing for an unknown one."""
+    datasets = read_datasets(spark, root)
+    row = None if datasets is None else datasets.where(F.col("dataset_name") == dataset).first()
+    return row.asDict() if row else {}
 
 
 def register_views(spark: SparkSession, root: str) -> None:

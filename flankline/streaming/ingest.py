@@ -12,8 +12,8 @@ def ingest(spark: SparkSession, incoming: str, schema: str, root: str, table: st
     """Append new Parquet files of feature or protein rows to the store, each file once; ends when all are in."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        # the batch id makes a batch that runs again overwrite itself
-        batch.repartition(*PARTITIONS).write.partitionBy(*PARTITIONS).mode("overwrite").parquet(f"{root}/{table}_batches/batch_id={batch_id}")
+        # the batch id makes a batch that runs again overwrite itself; ``store.read`` reads these folders with the table
+        batch.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).mode("overwrite").parquet(f"{root}/{table}_batches/batch_id={batch_id}")
 
     return spark.readStream.schema(schema).parquet(incoming).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
