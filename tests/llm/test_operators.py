@@ -703,4 +703,4 @@ def test_shared_folder(spark, tmp_path):
 
 def test_guard():
     entry = Path(__file__).resolve().parents[2] / "__spark_entry__.py"
-    assert "except ImportError" in entry.read_text()
+    assert "except ModuleNotFoundError" in entry.read_text()
