@@ -410,10 +410,33 @@ def test_similar_documents_by_brute_force(spark, monkeypatch, block):
 
 
 def test_licences_odd_rows(odd):
-    assert [(r.doc_id, r.license, r.dice, r.passages) for r in licenses.scan(odd).collect()] == [(9, "Apache-2.0", 1.0, 1)]
+    assert [(r.doc_id, r.license, r.dice, r.passages, r.windows) for r in licenses.scan(odd).collect()] == [(9, "Apache-2.0", 1.0, 1, 1)]
     assert licenses.scan(odd.where("false")).count() == 0
 
 
+def test_licences_within_lines_and_across_paragraphs(spark):
+    apache = max((b for n, b in licenses.TEMPLATES if n == "Apache-2.0"), key=len)
+    parted = apache.replace(" Unless", "\n\nUnless").replace(" See", "\n\nSee")
+    rows = [
+        (1, "Copyright 2020 Foo. Licensed under the Apache License, Version 2.0. See the LICENSE file for details."),
+        (2, "Made with care. SPDX-License-Identifier: CC-BY-SA-4.0 is its tag; all rights reserved."),
+        (3, "We licensed under pressure; the license was released yesterday."),
+        (4, parted),
+        (5, "license " * 30_000),
+        (6, "word " * 3_000 + "Released under the MIT License. " * 2 + "word " * 3_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.passages, r.windows) for r in licenses.scan(docs).collect()}
+    assert got == {(1, "Apache-2.0"): (0, 1), (2, "CC-BY-SA-4.0"): (0, 1), (2, "proprietary"): (0, 1), (4, "Apache-2.0"): (0, 1), (6, "MIT"): (0, 2)}
+
+
+def test_licence_anchors_leave_no_match_without_one():
+    for _, body in licenses.TEMPLATES:
+        grams = licenses.bigrams(body)
+        lo, _ = licenses.bounds(len(grams), 0.8)
+        assert len(grams - {g for g, _ in licenses.anchors(body, 0.8)}) < lo
+
+
 def test_near_wording_and_bounds(spark):
     mit = dict((len(b), b) for n, b in licenses.TEMPLATES if n == "MIT")
     long = mit[max(mit)]
