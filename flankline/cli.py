@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flankline import config
-from flankline.operators import catalog, evaluate, lineage
+from flankline.operators import catalog, evaluate, lineage, reports
 from flankline.plans import discovery
 from flankline.session import local_session
 from flankline.sources import files, generate, store
@@ -39,6 +39,19 @@ def scan(spark: SparkSession, root: str, targets: str) -> DataFrame:
     return catalog.anchor_hits_of_scan(found, "dataset_name", "protein_accession", "locus_tag", "gene", "product")
 
 
+def report(spark: SparkSession, run: str, out: str) -> None:
+    """Tables of the top candidates of each analyte, of enrichment and archetypes, and the captions, from a run's folder."""
+    loci, archetypes, enrichment, candidates = (spark.read.parquet(f"{run}/{t}") for t in ("loci", "archetypes", "enrichment", "candidates"))
+    analytes = sorted(r.analyte for r in loci.select("analyte").distinct().collect())  # the configured ones, a handful
+    for analyte in analytes:
+        reports.write_csv(reports.table(reports.top_candidates(candidates, analyte), "T2_top30_co_candidates"), f"{out}/top30_{analyte}")
+    reports.write_csv(reports.table(enrichment, "T4_regulator_family_enrichment"), f"{out}/T4_regulator_family_enrichment")
+    reports.write_csv(reports.table(archetypes, "T5_archetype_catalog"), f"{out}/T5_archetype_catalog")
+    texts = reports.captions(loci, archetypes, spark.createDataFrame([], "analyte string, hit boolean"), analytes, enrichment, candidates)
+    texts = {figure: text for figure, text in texts.items() if figure != "recovery"}  # a run need not have a benchmark
+    reports.write_captions(texts, spark, f"{out}/captions")
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="flankline")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -66,6 +79,14 @@ def main(argv: Sequence[str] | None = None) -> int:
     for name in ("root", "hits", "out"):
         extract.add_argument(f"--{name}", required=True)
     extract.add_argument("--window", type=int, default=10)
+    discover = commands.add_parser("discover", help="the whole run: loci, genes, enrichment, archetypes, candidates")
+    for name in ("root", "hits", "domains", "taxonomy", "known", "config", "case", "control", "out"):
+        discover.add_argument(f"--{name}", required=True)
+    discover.add_argument("--benchmark")
+    discover.add_argument("--window", type=int, default=10)
+    tables = commands.add_parser("report", help="report tables and captions of a run's folder")
+    for name in ("run", "out"):
+        tables.add_argument(f"--{name}", required=True)
     commands.add_parser("summary", help="counts for each dataset of the store").add_argument("--root", required=True)
     commands.add_parser("validate-config", help="read a configuration and name its faults").add_argument("--config", required=True)
     simulate = commands.add_parser("simulate", help="loci, genes and truth with planted regulators")
@@ -103,6 +124,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif args.command == "extract":
         loci, genes = discovery.extract(store.read(spark, args.root, "features"), spark.read.parquet(args.hits), args.window)
         discovery.write({"loci": loci, "genes": genes}, args.out)
+    elif args.command == "discover":
+        domains, taxonomy, known = (spark.read.parquet(p) for p in (args.domains, args.taxonomy, args.known))
+        benchmark = spark.read.parquet(args.benchmark) if args.benchmark else None
+        run = discovery.discover(store.read(spark, args.root, "features"), spark.read.parquet(args.hits), domains, taxonomy, known, config.load(args.config), args.case, args.control, args.window, benchmark)
+        discovery.write(run, args.out)
+    elif args.command == "report":
+        report(spark, args.run, args.out)
     elif args.command == "summary":
         features, proteins = (store.read(spark, args.root, t) for t in ("features", "proteins"))
         print(evaluate.markdown(catalog.summary(features, proteins, "dataset_name", "feature_type", "CDS", "protein_accession", "length_aa")))

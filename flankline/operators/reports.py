@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flankline.operators.evaluate import joined_lists, selected, top_k
@@ -17,6 +17,7 @@ TABLES: dict[str, Sequence[str]] = {
     "T2_top30_co_candidates": _CANDIDATES,
     "T3_top30_cyd_control_candidates": _CANDIDATES,
     "T4_regulator_family_enrichment": ["analyte", "feature_type", "feature_name", "odds_ratio", "p_value", "q_value", "interpretation"],
+    "T5_archetype_catalog": ["archetype_id", "analyte", "architecture_scope", "architecture_string", "n_loci", "n_taxa", "dominant_regulator_class"],
 }
 # end of fixed values
 
@@ -68,19 +69,67 @@ def family_chemistry(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("analyte", "regulator_class", chemistry.alias("chemistry")).agg(F.count("*").alias("n")).orderBy("analyte", "regulator_class", "chemistry")
 
 
-def captions(loci: DataFrame, archetypes: DataFrame, recovery: DataFrame, analytes: Sequence[str]) -> Mapping[str, str]:
-    """Short sentences for figures from four small aggregates."""
+def short_number(value: float | None, digits: int = 2) -> str:
+    return "not scored" if value is None else f"{value:.{digits}g}"
+
+
+def enrichment_caption(enrichment: DataFrame) -> str:
+    """The feature of the least q value; ties by p value, then by name."""
+    order = [F.asc_nulls_last(c) for c in ("q_value", "p_value", "feature_type", "feature_name")]
+    best = enrichment.orderBy(*order).limit(1).collect()
+    if not best:
+        return "No feature was tested for enrichment."
+    top = best[0]
+    whose = f" in {top['analyte']}" if "analyte" in enrichment.columns else ""
+    return f"The strongest enrichment{whose} is {top['feature_type']} {top['feature_name']} (odds ratio {short_number(top['odds_ratio'])}, q {short_number(top['q_value'])})."
+
+
+def ranking_caption(candidates: DataFrame, least: float = 0.8) -> str:
+    """How many candidates reach ``least`` (without logit scores: a q value of 0.05), and the first of all; ties by candidate_id."""
+    logit = "regulation_logit_score" in candidates.columns
+    score = "regulation_logit_score" if logit else "candidate_score"
+    high = F.col(score) >= least if logit else F.col("candidate_score_q") <= 0.05 if "candidate_score_q" in candidates.columns else F.lit(False)
+    first = F.min_by(F.struct("*"), F.struct(-F.coalesce(score, F.lit(float("-inf"))), "candidate_id"))
+    got = candidates.agg(F.count_if(high).alias("n"), first.alias("top")).first()
+    if got.top is None:
+        return "There are no candidates."
+    band = f", band {short_number(got.top['score_band_low'])} to {short_number(got.top['score_band_high'])}" if {"score_band_low", "score_band_high"} <= set(candidates.columns) else ""
+    return f"{got.n} candidates score high; the first is {got.top['candidate_id']} of {got.top['organism']} ({short_number(got.top[score])}{band})."
+
+
+def structure_caption(candidates: DataFrame, score: str = "structural_plausibility_score") -> str:
+    """How many candidates have a structure score, and the best; ties by candidate_id."""
+    if score in candidates.columns:
+        got = candidates.where(F.col(score).isNotNull()).agg(F.count("*").alias("n"), F.min(F.struct((-F.col(score)).alias("s"), F.col("candidate_id").alias("id"))).alias("top")).first()
+        if got.n:
+            return f"{got.n} candidates have a structure score; the best is {got.top.id} ({short_number(-got.top.s)})."
+    return "No candidate has a structure score."
+
+
+def write_captions(texts: Mapping[str, str], spark: SparkSession, folder: str) -> None:
+    """One table (figure, caption) as one file: six short rows."""
+    spark.createDataFrame(sorted(texts.items()), "figure string, caption string").coalesce(1).write.mode("overwrite").csv(folder, header=True)
+
+
+def captions(loci: DataFrame, archetypes: DataFrame, recovery: DataFrame, analytes: Sequence[str], enrichment: DataFrame | None = None, candidates: DataFrame | None = None) -> Mapping[str, str]:
+    """Short sentences for figures from small aggregates; those on enrichment and candidates only where these are given."""
     counts = {r["analyte"]: r["count"] for r in loci.groupBy("analyte").count().collect()}
     strong = loci.agg(F.count_if(F.col("locus_confidence") == "high").alias("n")).first().n
     hits = recovery_figures(recovery).agg(F.sum("recovered").alias("r"), F.sum("total").alias("t")).first()
     kinds = archetypes.groupBy("analyte").agg(F.count("*").alias("n"), F.sum("n_loci").alias("all")).collect()
     top = {r["analyte"]: r["top"] for r in top_k(archetypes, ["analyte"], [F.desc("n_loci"), F.col("archetype_id")], 6).groupBy("analyte").agg(F.sum("n_loci").alias("top")).collect()}
     percent = lambda a, b: f"{100 * (a or 0) / b:.1f}%" if b else "0.0%"
-    return {
+    out = {
         "recovery": f"{hits.r or 0} of {hits.t or 0} benchmark rows are recovered ({percent(hits.r, hits.t)}).",
         "loci": ", ".join(f"{a}: {counts.get(a, 0)} loci" for a in analytes) + f"; {strong} with high confidence.",
         "archetypes": "; ".join(f"{r['analyte']}: {r['n']} archetypes, the six largest hold {percent(top.get(r['analyte']), r['all'])} of the loci" for r in sorted(kinds, key=lambda r: r["analyte"])) + ".",
     }
+    if enrichment is not None:
+        out["enrichment"] = enrichment_caption(enrichment)
+    if candidates is not None:
+        out |= {"ranking": ranking_caption(candidates), "structures": structure_caption(candidates)}
+    return out
+
 
 
 def fallback_benchmark(candidates: DataFrame) -> DataFrame:

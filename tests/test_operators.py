@@ -390,3 +390,29 @@ def test_command_line_from_manifest_to_neighbourhoods(spark, tmp_path, capsys):
     assert cli.main(["simulate", "--out", str(tmp_path / "sim"), "--genomes", "6", "--positives", "2"]) == 0
     assert spark.read.parquet(str(tmp_path / "sim/truth")).count() == 2
     assert cli.main(["validate-config", "--config", str(tmp_path / "none.yaml")]) == 1
+
+
+def test_captions_of_enrichment_ranking_and_structures(spark, tmp_path):
+    from flankline import cli
+    from flankline.operators import reports
+
+    tested = spark.createDataFrame([("sensory_domain", "PAS", 3.25, 0.01, 0.02), ("sensory_domain", "GAF", None, 0.01, 0.02)], "feature_type string, feature_name string, odds_ratio double, p_value double, q_value double")
+    assert "GAF (odds ratio not scored, q 0.02)" in reports.enrichment_caption(tested)
+    assert reports.enrichment_caption(tested.where("false")) == "No feature was tested for enrichment."
+    rows = spark.createDataFrame([("b", "o2", 0.9, 0.5), ("a", "o1", 0.9, None), ("c", "o3", None, 0.7)], "candidate_id string, organism string, regulation_logit_score double, structural_plausibility_score double")
+    assert reports.ranking_caption(rows) == "2 candidates score high; the first is a of o1 (0.9)."
+    assert reports.ranking_caption(rows.where("false")) == "There are no candidates."
+    assert reports.structure_caption(rows) == "2 candidates have a structure score; the best is c (0.7)."
+    assert reports.structure_caption(rows.drop("structural_plausibility_score")) == "No candidate has a structure score."
+    made = {
+        "loci": scoring.score_loci(locus(spark), LOCUS_WEIGHTS, LADDER),
+        "archetypes": spark.createDataFrame([("CO_arch_0001", "CO", "locus_neighborhood", "[0:coxL]", 1, 1, "none")], "archetype_id string, analyte string, architecture_scope string, architecture_string string, n_loci long, n_taxa long, dominant_regulator_class string"),
+        "enrichment": tested,
+        "candidates": rows.withColumns({"analyte": F.lit("CO"), "candidate_score": F.col("regulation_logit_score")}),
+    }
+    discovery.write(made, str(tmp_path / "run"))
+    assert cli.main(["report", "--run", str(tmp_path / "run"), "--out", str(tmp_path / "out")]) == 0
+    shown = spark.read.csv(str(tmp_path / "out" / "captions"), header=True)
+    assert {r.figure for r in shown.collect()} == {"archetypes", "enrichment", "loci", "ranking", "structures"}
+    assert spark.read.csv(str(tmp_path / "out" / "top30_CO"), header=True).count() == 3
+    assert spark.read.csv(str(tmp_path / "out" / "T5_archetype_catalog"), header=True).count() == 1
