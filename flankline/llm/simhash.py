@@ -32,6 +32,8 @@ from .shared import clear_of, column, components, saved, table, unite
 BITS = 64
 #: Rows of one bucket that are compared together; larger buckets are cut into blocks of this size, which meet in pairs.
 BLOCK = 2048
+#: A plan may probe a partition with at most so many keys a fingerprint; plans of `limit` + 1 exact partitions always stay below.
+MOST_KEYS = 1 << 14
 #: Cost of comparing two fingerprints inside a bucket, in units of one shuffled row.
 COMPARE_COST = 0.02
 _LOW = np.uint64(0x0101010101010101)
@@ -138,7 +140,8 @@ def allocation(counts: np.ndarray, n: int, limit: int) -> list[tuple[list[int],
             chance = np.array([1.0])
             for b in bits:
                 chance = np.convolve(chance, [1 - differ[b], differ[b]])
-            rows = [n * sum(comb(len(bits), d) for d in range(t + 1)) for t in range(limit + 1)]
+            probes = [sum(comb(len(bits), d) for d in range(t + 1)) for t in range(limit + 1)]
+            rows = [max(n, 1) * k if k <= MOST_KEYS else float("inf") for k in probes]
             costs.append([0.0] + [rows[t] + COMPARE_COST * n * n / 2 * chance[: t + 1].sum() for t in range(limit + 1)])
         total = limit - parts + 1
         # least[s]: cost and thresholds of the groups so far when they sum to s; s may be negative
@@ -194,10 +197,10 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
     A bucket's own rows meet all its rows, those that ask for the bucket included. Each side is cut into blocks.
     A pair that meets in several partitions counts in the first."""
     counts, n = bit_counts(rows)
+    if n < 2:
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     plan = allocation(counts, n, limit)
     keys = [k for part, (bits, threshold) in enumerate(plan) for k in _keys(part, bits, threshold)]
-    if not keys:
-        return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     probes = rows.select("fp", "node", "size", F.explode(F.concat(*keys)).alias("k")).select("fp", "node", "size", "k.part", "k.key", "k.own")
     sizes = probes.groupBy("part", "key").agg(F.count_if("own").alias("mine"), F.count("*").alias("all")).where("mine > 0 AND `all` > 1")
     sizes = sizes.select("part", "key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("mine", "all")))

@@ -655,7 +655,7 @@ def test_pipeline(spark, sf):
     counts = []
     for k, (_, stage) in enumerate(pipeline.STAGES):
         names = docs.columns
-        docs = pipeline.saved(stage(spark, docs, sf), "test")
+        docs = shared.saved(stage(spark, docs, sf), "test")
         counts.append(docs.count())
         if k + 1 < len(pipeline.STAGES):
             assert docs.columns == names
@@ -681,11 +681,16 @@ def test_stages_on_odd_rows(spark, sf, k):
         assert out.columns == docs.columns and all(set(rows[c]) <= {c} for c in CLASHES)
     if name == "near-duplicates":
         assert sorted(rows.doc_id.dropna()) == [1, 4, 5, 7, 8, 9] and len(rows) == 7
-    assert k == 2 or stage(spark, docs.where("false"), sf).count() == 0
+    assert stage(spark, docs.where("false"), sf).count() == 0
+    assert stage(spark, docs.where("doc_id = 9"), sf).count() <= 2
 
 
 def test_no_document_no_group(spark):
     none = spark.createDataFrame([], DOCS)
+    for limit in (3, 10):  # no plan of astronomically many probes, whatever there is to estimate from
+        for n in (0, 1, 2, 1000):
+            plan = simhash.allocation(np.zeros((64, 64)), n, limit)
+            assert all(sum(simhash.comb(len(bits), d) for d in range(t + 1)) <= simhash.MOST_KEYS for bits, t in plan)
     assert simhash.one_of_each_group(none).count() == 0 and simhash.simhash_groups(none).count() == 0
 
 
