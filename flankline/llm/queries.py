@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, langid, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+from . import covertree, divergence, langid, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_crf": langid.op8,
     "op9_source_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_source_divergence": divergence.op11,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_cover_tree_near_dedup": covertree.SQL,
     "op7_license_scan": licenses.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op11_source_divergence": divergence.SQL,
 }
