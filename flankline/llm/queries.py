@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, divergence, langid, licenses, mixing, packing, quality, simhash, topk, toxicity, warc
+from . import covertree, divergence, langid, licenses, mixing, packing, quality, repeats, simhash, spelling, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_cotraining": quality.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_source_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
     "op11_source_divergence": divergence.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_suffix_dedup": repeats.op13,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op7_license_scan": licenses.SQL,
     "op9_source_mixing": mixing.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
