@@ -826,7 +826,24 @@ def back_confirm(spark, sf_dir):
     return out.withColumn("identity", r6("identity")).withColumn("coverage", r6("coverage"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS MATERIALIZED (SELECT item_id, text AS a, substr(text, 5) AS b FROM benchmark),
+m AS MATERIALIZED (
+  SELECT item_id, 0 AS i, list_transform(range(length(b) + 1), lambda j: -2 * j) AS s FROM p
+  UNION ALL
+  SELECT item_id, CAST(i + 1 AS INTEGER), list(v ORDER BY j) FROM (
+    SELECT item_id, i, j, max(best + 2 * j) OVER (PARTITION BY item_id ORDER BY j ROWS UNBOUNDED PRECEDING) - 2 * j AS v FROM (
+      SELECT item_id, i, j, greatest(s[j + 1] - 2, CASE WHEN j > 0 THEN s[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 2 ELSE -1 END END) AS best
+      FROM (SELECT m.item_id, m.i, m.s, a, b, unnest(range(length(b) + 1)) AS j FROM m JOIN p USING (item_id) WHERE m.i < length(a)))) GROUP BY item_id, i),
+t AS (
+  SELECT item_id, CAST(length(a) AS BIGINT) AS i, CAST(length(b) AS BIGINT) AS j, 0 AS step, false AS pair FROM p
+  UNION ALL
+  SELECT item_id, i - (way > 0)::INT, j - (way <> 1)::INT, CAST(step + 1 AS INTEGER), way = 2 FROM (
+    SELECT t.*, CASE WHEN t.i > 0 AND j > 0 AND x.s[j + 1] = y.s[j] + CASE WHEN substr(a, t.i, 1) = substr(b, j, 1) THEN 2 ELSE -1 END THEN 2
+                     WHEN t.i > 0 AND x.s[j + 1] = y.s[j + 1] - 2 THEN 1 ELSE 0 END AS way
+    FROM t JOIN p USING (item_id) JOIN m x ON x.item_id = t.item_id AND x.i = t.i LEFT JOIN m y ON y.item_id = t.item_id AND y.i = t.i - 1 WHERE t.i > 0 OR t.j > 0))
+SELECT item_id, CAST(max(step) OVER (PARTITION BY item_id) - step + 1 AS INTEGER) AS alignment_index, CAST(i + 1 AS INTEGER) AS a_index, CAST(j + 1 AS INTEGER) AS b_index FROM t QUALIFY pair
+""")
 def residue_map(spark, sf_dir):
     p = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"), F.expr("substring(text, 5)").alias("b"))
     return sequence.residue_map(p, ["item_id"], "a", "b")

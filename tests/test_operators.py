@@ -246,7 +246,7 @@ def test_sequences(spark):
     got = {(r.id, r.strand, r.start, r.end, r.site) for r in sequence.iupac_scan(rows, ["id"], "s", "AC-GT").collect()}
     assert (1, "+", 7, 10, "ACGT") in got and (1, "-", 1, 4, "ACGT") in got and (2, "+", 1, 4, "ACGT") in got
     with pytest.raises(ValueError):
-        sequence.iupac_regex("TTGTCA-N6")
+        sequence.iupac_table("TTGTCA-N6")
     assert sequence.align("ACGT", "AGT") == [(1, 1, 1), (3, 3, 2), (4, 4, 3)]
     msa = spark.createDataFrame([("AC-",), ("AG-",), ("A-T",)], "a string")
     assert [(r.column, r.residue, r.n_residue) for r in sequence.column_conservation(msa, "a").orderBy("column").collect()] == [(1, "A", 3), (2, "C", 1), (3, "T", 1)]
