@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,12 @@ GRAM = 64
 LEFT = WINDOW - GRAM
 #: Bytes that multikey quicksort orders before blind tries take over.
 SHALLOW = 32
-#: Different surroundings of one gram that are sorted in one task.
-BLOCK = 256
+#: Different surroundings of one gram that are sorted in one task: some 1.4 MB.
+BLOCK = 4096
 #: Bytes whose hashes are held at once.
 SLICE = 1 << 18
-#: Surroundings that are sorted at once.
-SORTED = 1 << 14
+#: Surroundings that are sorted at once, and bytes of texts whose anchors are held at once.
+SORTED, HELD = 1 << 14, 1 << 23
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones(SLICE + 2 * WINDOW, np.uint64)
@@ -117,8 +118,18 @@ def anchors(texts: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
 def anchored(docs: DataFrame) -> DataFrame:
     """(row, digest, places, grams, around) for each text of 200 bytes or more; ``around`` hashes an anchor's surroundings."""
 
-    def run(batches):
+    def parts(batches):
+        """Batches of bounded bytes."""
         for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + HELD, "right")))
+                yield batch.slice(start, end - start)
+                start = end
+
+    def run(batches):
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             out: dict[int, list] = {}
             for t, places, grams in anchors(texts):
@@ -264,9 +275,15 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for w in places.as_py():
                     p = w["place"]
                     out.append((w["gram"], w["around"], w["many"], body[max(0, p - LEFT) : p][::-1], body[p : p + WINDOW]))
+                if len(out) >= SORTED:
+                    yield rows(out)
+                    out = []
             if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["gram", "around", "many", "before", "after"])
+                yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "around", "many", "before", "after"])
 
     return docs.join(wanted, "digest").select("digest", "text", "wanted").mapInArrow(run, "gram long, around long, many long, before binary, after binary")
 

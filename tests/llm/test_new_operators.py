@@ -171,7 +171,7 @@ def kept_by_hand(texts, window=repeats.WINDOW):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [4096, 4])
 def test_repeats_by_hand(spark, monkeypatch, block):
     """Passages within and across documents, near copies, runs of a letter, passages at borders; small and large groups."""
     monkeypatch.setattr(repeats, "BLOCK", block)
