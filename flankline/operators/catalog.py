@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions.scalars import safe_identifier
+from flankline.operators import trigrams
 
 
 def any_ilike(columns: Sequence[str], pattern: Column) -> Column:
@@ -16,20 +17,27 @@ def any_ilike(columns: Sequence[str], pattern: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.ilike(F.col(c), pattern), F.lit(False)) for c in columns))
 
 
-def search(rows: DataFrame, query: str, columns: Sequence[str], order: Sequence[Column], limit: int = 20, per: str | None = None) -> DataFrame:
-    """Rows whose columns hold ``query``; the first ``limit`` by ``order``, overall or for each value of ``per``."""
-    found = rows.where(any_ilike(columns, F.lit(f"%{query}%")))
+def search(rows: DataFrame, query: str, columns: Sequence[str], order: Sequence[Column], limit: int = 20, per: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Rows whose columns hold ``query``; the first ``limit`` by ``order``, overall or for each value of ``per``. With the trigram
+    index of the columns only rows that have the query's rarest grams are compared; without it all are, in one scan."""
+    if index is None:
+        found = rows.where(any_ilike(columns, F.lit(f"%{query}%")))
+    else:
+        asked = rows.sparkSession.createDataFrame([(query,)], "__query string")
+        found = trigrams.matches(rows, asked, "__query", columns, index).select(*rows.columns)
     if per is None:
         return found.orderBy(*order).limit(limit)
     rank = F.row_number().over(Window.partitionBy(per).orderBy(*order))
     return found.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
 
 
-def term_scan(features: DataFrame, targets: DataFrame, columns: Sequence[str], required: str, keys: Sequence[str]) -> DataFrame:
-    """Features that hold a target's term, once for each of ``keys``. The list of terms is a configuration and small;
-    it is broadcast, and the features are read once for all terms."""
-    hit = any_ilike(columns, F.concat(F.lit("%"), F.col("term"), F.lit("%")))
-    return features.where(F.col(required).isNotNull()).join(F.broadcast(targets), hit).dropDuplicates(list(keys))
+def term_scan(features: DataFrame, targets: DataFrame, columns: Sequence[str], required: str, keys: Sequence[str], proteins: DataFrame | None = None, accession: str = "protein_accession", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Features that hold a target's term, once for each of ``keys``, found by equality of grams and verified. ``proteins`` (with
+    ``accession``) add their columns to the features first, by a left join; ``index`` is the trigram index of ``columns``."""
+    if proteins is not None:
+        more = [accession, *(c for c in proteins.columns if c not in features.columns)]
+        features = features.join(proteins.select(*more), accession, "left")
+    return trigrams.matches(features.where(F.col(required).isNotNull()), targets, "term", columns, index).dropDuplicates(list(keys))
 
 
 def anchor_hits_of_scan(scan: DataFrame, dataset: str, accession: str, locus_tag: str, gene: str, product: str) -> DataFrame:

@@ -8,32 +8,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flankline.operators import trigrams
+
 
 def recovery(truth: DataFrame, hits: DataFrame, truth_id: str, needles: Sequence[str], haystack: str, same: Sequence[tuple[str, str]] = (), negative: str | None = None) -> DataFrame:
-    """Each truth row and whether some hit holds one of its names. A curated truth table is small and broadcast; the hits are
-    read once. Rows marked ``negative`` are hits when nothing is found, and look at all hits."""
-    text = F.lower(F.col(haystack))
-    found = F.lit(False)
-    for n in needles:
-        found |= (F.coalesce(F.col(n), F.lit("")) != "") & F.contains(text, F.lower(F.coalesce(F.col(n), F.lit(""))))
+    """Each truth row and whether some hit holds one of its names. Names meet hits by equality of grams. Rows marked ``negative``
+    are hits when nothing is found, and look at all hits."""
+    mine = [a for a, _ in same]
+    asked = truth.select(F.col(truth_id).alias("__id"), *(F.col(a).alias(f"__own_{a}") for a in mine), (F.col(negative) if negative else F.lit(False)).alias("__any"), F.explode(F.array(*needles)).alias("__name"))
     equal = F.lit(True)
     for a, b in same:
-        equal &= F.col(f"t.{a}") == F.col(f"h.{b}")
-    if negative:
-        equal |= F.col(f"t.{negative}")
-    got = hits.alias("h").join(F.broadcast(truth.alias("t")), equal & found).select(F.col(f"t.{truth_id}").alias(truth_id)).distinct().withColumn("recovered", F.lit(True))
+        equal &= F.col(f"__own_{a}") == F.col(b)
+    seen = hits.select(haystack, *dict.fromkeys(b for _, b in same)).distinct()
+    got = trigrams.matches(seen, asked, "__name", [haystack], wildcards=False).where(equal | F.col("__any"))
+    got = got.select(F.col("__id").alias(truth_id)).distinct().withColumn("recovered", F.lit(True))
     out = truth.join(got, truth_id, "left").withColumn("recovered", F.coalesce("recovered", F.lit(False)))
     return out.withColumn("hit", F.when(F.col(negative), ~F.col("recovered")).otherwise(F.col("recovered"))) if negative else out.withColumn("hit", F.col("recovered"))
 
 
 def first_candidates(truth: DataFrame, ranked: DataFrame, truth_id: str, name: str, accession: str = "gene_accession", rank: str = "rank") -> DataFrame:
     """For each truth row the best-ranked candidate whose accession holds its name, if any: rank, candidate_id and scores. A gene
-    that is several candidates counts at its best rank. The curated truth is the small side, which Spark sees."""
+    that is several candidates counts at its best rank. Names meet accessions by equality of grams."""
     best = ranked.groupBy(accession).agg(F.min_by(F.struct(*ranked.columns), rank).alias("__c")).select("__c.*")
-    asked = truth.where(F.coalesce(F.col(name), F.lit("")) != "").select(truth_id, name)
-    found = best.join(asked, F.contains(F.col(accession), F.col(name)))
+    asked = truth.select(F.col(truth_id).alias("__id"), F.col(name).alias("__name"))
+    found = trigrams.matches(best, asked, "__name", [accession], wildcards=False).where(F.contains(F.col(accession), F.col("__name")))
     shown = [c for c in (rank, "candidate_id", "candidate_score", "regulation_logit_score") if c in ranked.columns]
-    first = found.groupBy(truth_id).agg(F.min_by(F.struct(*shown), rank).alias("__c")).select(truth_id, "__c.*")
+    first = found.groupBy(F.col("__id").alias(truth_id)).agg(F.min_by(F.struct(*shown), rank).alias("__c")).select(truth_id, "__c.*")
     return truth.join(first, truth_id, "left")
 
 
