@@ -60,6 +60,68 @@ def test_long_chain(spark):
 # ---- 1 quality
 
 
+def test_quality_by_hand(spark, sf):
+    """Every round's pseudo-labels, weights and the combined scores, by plain loops over all rows."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    folds = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(quality.FOLDS)).cast("int")).collect()}
+    described = quality.described(docs, "doc_id", "text", ["source", "lang", "n_chars"])
+    order = {r[0]: r[1] for r in described.select("id", F.xxhash64(F.lit(3), "id", "x")).collect()}
+    rows = docs.toPandas()
+    kind = {}
+    for r in labels.toPandas().itertuples():
+        if not pd.isna(r.quality):
+            kind[r.doc_id] = min(kind.get(r.doc_id, 1), int(r.quality))
+    x = {r.doc_id: quality.content(r.text) for r in rows.itertuples()}
+    meta = {r.doc_id: (r.source, r.lang, r.n_chars) for r in rows.itertuples()}
+    ids = sorted(set(kind) & set(x))
+    rest = sorted(set(x) - set(kind), key=lambda d: order[d])
+    many = [sum(v == k for v in kind.values()) for k in (0, 1)]
+    seen = [sum(kind[d] == k for d in ids) for k in (0, 1)]
+    weight = np.array([many[kind[d]] / seen[kind[d]] for d in ids])
+    labelled = quality.Rows(np.array([x[d] for d in ids]), [meta[d] for d in ids], np.array([float(kind[d]) for d in ids]), weight / weight.mean())
+    given = []
+
+    def exchange(views, mass):
+        handed = []
+        for teacher, scores in ((0, views[0](np.array([x[d] for d in rest]))), (1, views[1]([meta[d] for d in rest]))):
+            sure = {k: [d for d, p in zip(rest, scores, strict=True) if (p <= quality.CONFIDENT, p >= 1 - quality.CONFIDENT)[k]] for k in (0, 1)}
+            for k, some in sure.items():  # sources take turns; the order matters to sums of floats only
+                turns = defaultdict(int)
+                place = {d: (turns[meta[d][0]], order[d], turns.update({meta[d][0]: turns[meta[d][0]] + 1})) for d in some}
+                some.sort(key=lambda d, place=place: place[d][:2])
+            total = sum(map(len, sure.values()))
+            part = [(x[d], meta[d], float(k), mass * len(sure[k]) / total / len(sure[k])) for k in (0, 1) for d in sure[k]]
+            handed.append(quality.Rows(*map(list, zip(*part, strict=True))) if part else None)
+            if part:
+                handed[-1].x, handed[-1].y, handed[-1].weight = map(np.array, (handed[-1].x, handed[-1].y, handed[-1].weight))
+            given.append(total)
+        return handed[::-1]
+
+    model = quality.cotrained(labelled, np.array([folds[d] for d in ids]), exchange)
+    want, by_content, by_metadata = model(np.array([x[d] for d in rows.doc_id]), [meta[d] for d in rows.doc_id])
+    got = quality.op1(spark, sf).toPandas().set_index("doc_id").loc[rows.doc_id]
+    assert max(given) > 0 and len(rest) > 0
+    for name, values in (("by_content", by_content), ("by_metadata", by_metadata), ("quality_score", want)):
+        apart = np.flatnonzero(abs(got[name] - values) > 1e-9)
+        assert not len(apart), (name, [(rows.doc_id[k], rows.lang[k], got[name].iloc[k], values[k], kind.get(rows.doc_id[k])) for k in apart[:9]], given)
+    assert (got.kept == (want >= 0.5)).all()
+
+
+def test_rare_sources_are_handed_over(spark):
+    """All confident rows are counted; the rows that come back take the sources in turn."""
+    rows = [(i, "big" if i % 50 else f"rare{i}", float(i % 3 > 0)) for i in range(6000)]
+    df = spark.createDataFrame([(i, (s, "en", 1), [p] * len(quality.CONTENT)) for i, s, p in rows], "id long, meta struct<m0: string, m1: string, m2: int>, x array<double>").repartition(5)
+    handed = quality.exchanged(df, [lambda x: x[:, 0], lambda m: np.full(len(m), 0.5)], 60.0)
+    assert handed[0] is None and len(handed[1].y) == len(set(map(tuple, zip(handed[1].meta, handed[1].y, strict=True)))) - 2 + 2 * quality.OF_SOURCE
+    assert len({m[0] for m in handed[1].meta}) == 121
+    assert abs(handed[1].weight[handed[1].y == 1].sum() - 40) < 1e-9 and abs(handed[1].weight.sum() - 60) < 1e-9
+
+
+def test_a_repeated_id_counts_once(spark, labels):
+    docs = spark.createDataFrame([(5, "good words here", "s", "en", 1)] * 500 + [(7, "*** ***", "s", "en", 1)], "doc_id long, text string, source string, lang string, n_chars long")
+    assert quality.quality_scores(docs, labels, ["doc_id"]).count() == 501
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -699,7 +761,7 @@ def test_filters_by_hand(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     rows = docs.toPandas()
-    model = quality.fitted(docs, labels, F.lit(True), "quality", "doc_id", "text", ["source", "lang", "n_chars"], quality.SAMPLE, quality.POOL)
+    model = quality.fitted(docs, labels, F.lit(True), "quality", "doc_id", "text", ["source", "lang", "n_chars"])
     score, _, _ = model(np.array([quality.content(t) for t in rows.text]), list(rows[["source", "lang", "n_chars"]].itertuples(index=False, name=None)))
     assert {r.doc_id for r in pipeline.quality_filter(spark, docs, sf).collect()} == set(rows.doc_id[score >= 0.5])
     lexicon, judge = toxicity.fitted(docs, labels, F.lit(True))
