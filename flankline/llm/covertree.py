@@ -10,7 +10,7 @@ Only sums of links for each vector and spanning edges leave a task, never the pa
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label or id, link with nothing; vectors of different lengths do not link; rows that repeat a vector
-(ids too) are linked copies; an empty table gives an empty result; further columns are ignored.
+(ids too) are linked copies; rows that repeat an id with another vector or label are vectors of their own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -297,13 +297,16 @@ def vector_groups(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """(id, n_links, component_id, kept) for every row."""
     every = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     fit = whole(every, "v", floats=True).where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0.0))
-    distinct = saved(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).select("label", F.size("v").alias("dim"), "rep", "m", "v"), "vectors")
-    found = saved(threshold_links(distinct, cosine, block), "links")
+    distinct = fit.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("m"))
+    # an id may repeat with other vectors and labels: nodes are numbered here
+    distinct = saved(distinct.select("label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rep"), "least", "m", "v"), "vectors")
+    found = saved(threshold_links(distinct.drop("least"), cosine, block), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_rep = distinct.join(sums, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    per_rep = per_rep.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("component"))
-    linked_rows = fit.join(per_rep, ["label", "v"]).select("id", "n", "component")
+    per_rep = per_rep.select("label", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "rep").alias("root"))
+    ids = per_rep.groupBy("root").agg(F.min("least").alias("component"))
+    linked_rows = fit.join(per_rep.join(ids, "root").select("label", "v", "n", "component"), ["label", "v"]).select("id", "n", "component")
     zero = F.lit(0).cast("long")
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     usable &= F.forall(F.col("v").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0)

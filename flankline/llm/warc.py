@@ -113,8 +113,8 @@ def typed(pages: DataFrame, id_col: str, payload: str, min_bytes: int) -> DataFr
     body = pages.select(F.col(id_col).alias("id"), bytes_.alias("payload"), F.sha2(bytes_, 256).alias("digest"))
     digests = body.where(F.length("payload") >= min_bytes).select("id", "digest")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    repeats = saved(digests.join(firsts, "digest").where("id > first").distinct(), "repeats")
-    return body.join(repeats, ["id", "digest"], "left").select("id", "payload", "first")
+    repeats = saved(digests.join(firsts, "digest").where("first IS NOT NULL AND (id IS NULL OR id > first)").distinct().withColumnsRenamed({"id": "of", "digest": "has"}), "repeats")
+    return body.join(repeats, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("has")), "left").select("id", "payload", "first")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload: str = "html", min_bytes: int = 100) -> DataFrame:

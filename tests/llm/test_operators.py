@@ -165,7 +165,8 @@ def test_warc_round_trip(spark):
     members = warc.normalise(archives, folder + "-members")
     back = warc.read_records(members).toPandas()
     assert len(back) == len(rows)
-    assert sorted(back[back.type == "revisit"].uri) == ["page:5", "page:9"] and (back.uri == "page:").sum() == 1
+    assert sorted(back[back.type == "revisit"].uri) == ["page:", "page:5", "page:9"] and (back.uri == "page:").sum() == 1
+    assert list(back[back.uri == "page:"].refers_to) == ["page:3"]
     for _, r in back[~back.uri.isin(["page:", "page:9"])].iterrows():
         page = int(r.uri[5:])
         want = (dict(rows)[page] or "").encode()
@@ -380,6 +381,14 @@ def test_vector_groups(spark, block):
     assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_repeated_ids_of_other_vectors(spark):
+    """An id with several vectors or labels is several vectors; only linked rows have links."""
+    a, near, far = [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]
+    rows = [(5, a, "A"), (7, near, "A"), (5, far, "A"), (5, a, "B"), (3, far, "A"), (3, far, "A")]
+    got = covertree.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted(map(tuple, got.collect())) == [(3, 2, 3, True), (3, 2, 3, True), (5, 0, 5, True), (5, 1, 5, True), (5, 2, 3, False), (7, 1, 5, False)]
+
+
 # ---- 6 SimHash
 
 
