@@ -195,7 +195,7 @@ def position_identity(a: Column, b: Column) -> Column:
     """Share of equal letters at equal positions over the shorter of two sequences, ``*`` removed; 0 if one is empty."""
     x, y = F.replace(a, F.lit("*"), F.lit("")), F.replace(b, F.lit("*"), F.lit(""))
     n = F.least(F.length(x), F.length(y))
-    same = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + (F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))).cast("int"))
+    same = F.size(F.filter(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p == q), lambda z: z))
     return F.when(n > 0, same / n).otherwise(0.0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankline.functions.scalars import length_coverage, position_identity
+from flankline.operators.seeds import best_seeds, close_matches
 
 HIT_KEYS = ["dataset_name", "analyte", "anchor_family", "protein_accession", "locus_tag"]
 
@@ -36,19 +36,31 @@ def best_hits(hits: DataFrame, query: str, order: Sequence[Column]) -> DataFrame
 
 
 def seed_matches(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: str, identity: float = 0.95, coverage: float = 0.95) -> DataFrame:
-    """Proteins against seeds, position by position; the length ratio that the coverage demands is compared before any letter
-    is. Spark broadcasts the seeds if their size allows."""
-    long, short = F.greatest(F.length(sequence), F.length(seed)), F.least(F.length(sequence), F.length(seed))
-    near = proteins.join(seeds, short >= long * coverage)
-    return near.withColumn("identity", position_identity(F.col(sequence), F.col(seed))).withColumn("coverage", length_coverage(F.col(sequence), F.col(seed))).where((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
-
-
-def back_confirmed(hits: DataFrame, seeds: DataFrame, key: Sequence[str], sequence: str, seed: str, family: str, seed_family: str, seed_no: str, identity: float, coverage: float) -> DataFrame:
-    """For each hit the best seed by (identity, coverage), earlier seeds first on ties, and whether it confirms the hit's family."""
-    each = hits.crossJoin(seeds).withColumn("__i", position_identity(F.col(sequence), F.col(seed))).withColumn("__c", length_coverage(F.col(sequence), F.col(seed)))
-    best = each.groupBy(*key).agg(F.max(F.struct("__i", "__c", (-F.col(seed_no)).alias("n"), F.col(seed_family).alias("f"))).alias("b"), F.first(family).alias(family))
-    sure = (F.col("b.f") == F.col(family)) & (F.col("b.__i") >= identity) & (F.col("b.__c") >= coverage)
-    return best.select(*key, family, F.col("b.f").alias("best_family"), F.col("b.__i").alias("identity"), F.col("b.__c").alias("coverage"), F.when(sure, "seed_back_confirmed").otherwise("profile_match").alias("evidence_type"))
+    """Proteins with the seeds that they match position by position, found by unchanged segments (see :mod:`seeds`)."""
+    return close_matches(proteins, seeds, sequence, seed, identity, coverage)
+
+
+def seed_rescue(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: str, haystack: Sequence[str], terms: Mapping[str, Sequence[str]], identity: float = 0.95, coverage: float = 0.95, family: str = "anchor_family") -> DataFrame:
+    """Anchor hits of proteins that match a family's seed and pass the family's guard. ``seeds``: analyte, ``family`` and the
+    sequence; proteins: dataset_name, protein_accession, locus_tag, gene, product and the sequence. One row for each key, the best match."""
+    found = close_matches(proteins, seeds.select("analyte", family, F.col(seed).alias("__seed_text")), sequence, "__seed_text", identity, coverage)
+    found = found.where(guard(haystack, F.col(family), terms))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("locus_tag", "gene", "product")]
+    none = F.lit(None).cast("double")
+    hits = found.select("dataset_name", "analyte", F.col(family).alias("anchor_family"), "protein_accession", *texts, none.alias("bitscore"), none.alias("e_value"), "identity", "coverage", F.lit("seed_back_confirmed").alias("evidence_type"))
+    best = F.max(F.struct("identity", "coverage", "gene", "product")).alias("__b")
+    return hits.groupBy(*HIT_KEYS, "bitscore", "e_value", "evidence_type").agg(best).select("dataset_name", "analyte", "anchor_family", "protein_accession", "locus_tag", "__b.gene", "__b.product", "bitscore", "e_value", "__b.identity", "__b.coverage", "evidence_type")
+
+
+def back_confirmed(hits: DataFrame, seeds: DataFrame, key: Sequence[str], sequence: str, seed: str, family: str, seed_family: str, seed_no: str, identity: float, coverage: float, within: Sequence[str] = ()) -> DataFrame:
+    """For each hit the best seed by (identity, coverage), earlier seeds first on ties, and whether it confirms the hit's family.
+    ``key`` identifies hits; seeds compare with hits of the same values of ``within`` (the analyte, say)."""
+    best = best_seeds(hits, seeds, key, sequence, seed, seed_family, seed_no, within)
+    each = hits.groupBy(*key).agg(F.first(family).alias(family))
+    on = [F.col(f"h.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    joined = each.alias("h").join(best.alias("b"), on).select("h.*", "b.best_family", "b.identity", "b.coverage")
+    sure = (F.col("best_family") == F.col(family)) & (F.col("identity") >= identity) & (F.col("coverage") >= coverage)
+    return joined.select(*key, family, "best_family", "identity", "coverage", F.when(sure, "seed_back_confirmed").otherwise("profile_match").alias("evidence_type"))
 
 
 def hits_with_metadata(hits: DataFrame, metadata: DataFrame, target: str = "target_id", key: str = "protein_accession") -> DataFrame:

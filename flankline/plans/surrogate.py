@@ -798,16 +798,33 @@ def msa_conservation(spark, sf_dir):
     return sequence.column_conservation(a, "a").select("column", "residue", "n_residue", "n_residues", r6("conservation").alias("conservation"))
 
 
-@query("""
-WITH s(no, family, seed) AS (SELECT item_id, 'f' || item_id, text FROM benchmark), p AS (SELECT item_id, text AS q FROM benchmark),
-j AS (SELECT item_id, family, no, q, seed, least(len(q), len(seed)) AS n FROM p CROSS JOIN s WHERE least(len(q), len(seed)) >= greatest(len(q), len(seed)) * 0.9)
-SELECT item_id, family, round((SELECT count(*) FROM unnest(range(1, n + 1)) u(i) WHERE substr(q, i, 1) = substr(seed, i, 1)) / n::DOUBLE, 6) AS identity, round(n / greatest(len(q), len(seed))::DOUBLE, 6) AS coverage FROM j
-""")
-def seed_match(spark, sf_dir):
+RESCUE = """
+s AS (SELECT 'f' || item_id AS family, text AS seed FROM benchmark), p AS (SELECT item_id, translate(text, 'gp', 'qk') AS q FROM benchmark),
+j AS (SELECT item_id, family, q, seed, least(len(q), len(seed)) AS n FROM p CROSS JOIN s WHERE least(len(q), len(seed)) >= greatest(len(q), len(seed)) * 0.9),
+m AS (SELECT item_id, family, q, (SELECT count(*) FROM unnest(range(1, n + 1)) u(i) WHERE substr(q, i, 1) = substr(seed, i, 1)) / n::DOUBLE AS identity, n / greatest(len(q), len(seed))::DOUBLE AS coverage FROM j)"""
+
+
+def changed_items(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
-    seeds = b.select(F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("family"), F.col("text").alias("seed"))
-    p = b.select("item_id", F.col("text").alias("q"))
-    return anchors.seed_matches(p, seeds, "q", "seed", 0.0, 0.9).select("item_id", "family", r6("identity").alias("identity"), r6("coverage").alias("coverage"))
+    seeds = b.select(F.lit("CO").alias("analyte"), F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("family"), F.col("text").alias("seed"))
+    return b.select("item_id", F.translate("text", "gp", "qk").alias("q")), seeds
+
+
+@query(f"WITH {RESCUE} SELECT item_id, family, round(identity, 6) AS identity, round(coverage, 6) AS coverage FROM m WHERE identity >= 0.95")
+def seed_match(spark, sf_dir):
+    p, seeds = changed_items(spark, sf_dir)
+    return anchors.seed_matches(p, seeds, "q", "seed", 0.95, 0.9).select("item_id", "family", r6("identity").alias("identity"), r6("coverage").alias("coverage"))
+
+
+@query(f"""WITH {RESCUE} SELECT 'd' || (item_id % 3) AS dataset_name, 'CO' AS analyte, family AS anchor_family, CAST(item_id AS VARCHAR) AS protein_accession, round(identity, 6) AS identity, 'seed_back_confirmed' AS evidence_type
+FROM m WHERE identity >= 0.95 AND (contains(lower(q), 'qe') OR contains(lower(q), 'the'))""")
+def seed_rescue(spark, sf_dir):
+    p, seeds = changed_items(spark, sf_dir)
+    blank = F.lit(None).cast("string")
+    p = p.select("q", F.format_string("d%d", F.col("item_id") % 3).alias("dataset_name"), F.col("item_id").cast("string").alias("protein_accession"), blank.alias("locus_tag"), blank.alias("gene"), F.col("q").alias("product"))
+    terms = {r["family"]: ["qe", "the"] for r in seeds.select("family").toLocalIterator()}  # a configuration of guard terms
+    out = anchors.seed_rescue(p, seeds, "q", "seed", ["product"], terms, 0.95, 0.9, "family")
+    return out.select("dataset_name", "analyte", "anchor_family", "protein_accession", r6("identity").alias("identity"), "evidence_type")
 
 
 @query("""
