@@ -11,6 +11,10 @@ from flankline.functions.numerics import beta_quantile_udf, chi_square_tail_udf,
 from flankline.functions.scalars import logit_score
 
 
+#: Bits of one of Spark's bitmaps.
+BITMAP_BITS = 4096 * 8
+
+
 def contingency(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str] = ()) -> DataFrame:
     """a, b, c, d for each feature (and stratum): cases with, cases without, controls with, controls without.
 
@@ -157,6 +161,44 @@ def normalized_mutual_information(n11: Column, n10: Column, n01: Column, n00: Co
     return F.when((hx > 0) & (hy > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hx + hy - joint) / F.least(hx, hy)))).otherwise(0.0)
 
 
+def numbered_bits(values: DataFrame, column: str, n: int) -> DataFrame:
+    """(column, bucket, bit) of ``n`` distinct values: buckets by hash, so that none is counted in one task; a bucket that is over-full
+    goes on in further ones."""
+    many = max(1, -(-n // (BITMAP_BITS // 2)))
+    dealt = values.select(column, F.pmod(F.xxhash64(column), F.lit(many)).alias("__b"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
+    return dealt.withColumn("__r", rank).select(column, F.struct(F.col("__b"), F.floor(F.col("__r") / BITMAP_BITS).alias("more")).alias("bucket"), (F.col("__r") % BITMAP_BITS).cast("long").alias("bit"))
+
+
+def profile_scores(candidates: DataFrame, loci: DataFrame, key: Sequence[str] = ("analyte", "regulator_class"), within: str = "analyte", organism: str = "organism") -> DataFrame:
+    """Candidates with ``phylogenetic_profile_score``: the normalised mutual information, over all organisms, of having a locus of
+    the analyte and of having a candidate of the analyte and class.
+
+    Organisms are bits. A profile is a few bitmaps of 4 KiB, one for each bucket of organisms where it has any; profiles meet
+    by analyte and bucket, and the bits that both have are counted there. Rows without an organism count nowhere; with under two
+    organisms there is no profile and the score is 0.
+    """
+    organisms = loci.select(organism).union(candidates.select(organism)).where(F.col(organism).isNotNull()).distinct()
+    n = organisms.count()
+    rows = candidates.drop("phylogenetic_profile_score")
+    if n < 2:
+        return rows.withColumn("phylogenetic_profile_score", F.lit(0.0))
+    bits = numbered_bits(organisms, organism, n)
+    have = candidates.select(*key, organism).distinct().join(bits, organism).groupBy(*key, "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    mark = loci.select(within, organism).distinct().join(bits, organism).groupBy(within, "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    marks = mark.groupBy(within).agg(F.sum(F.bitmap_count("map")).alias("mark_n"))
+    other = mark.select(F.col(within).alias("__w"), F.col("bucket").alias("__bucket"), F.col("map").alias("__map"))
+    met = have.join(other, F.col(within).eqNullSafe(F.col("__w")) & (F.col("bucket") == F.col("__bucket")), "left")
+    pair = met.select(*key, F.bitmap_count("map").alias("own"), "bucket", F.explode(F.array("map", F.coalesce("__map", F.lit(bytes(BITMAP_BITS // 8))))).alias("map"))
+    both = pair.groupBy(*key, "bucket", "own").agg(F.bitmap_count(F.bitmap_and_agg("map")).alias("n11"))
+    counts = both.groupBy(*key).agg(F.sum("n11").alias("n11"), F.sum("own").alias("own"))
+    counts = counts.join(marks.withColumnRenamed(within, "__w"), F.col(within).eqNullSafe(F.col("__w")), "left").drop("__w").withColumn("mark_n", F.coalesce("mark_n", F.lit(0)))
+    n11, own, mark_n = F.col("n11"), F.col("own"), F.col("mark_n")
+    scores = counts.select(*(F.col(k).alias(f"__{k}") for k in key), normalized_mutual_information(n11, own - n11, mark_n - n11, F.lit(n) - own - mark_n + n11).alias("__score"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return rows.join(scores, on, "left").withColumn("phylogenetic_profile_score", F.coalesce("__score", F.lit(0.0))).drop("__score", *(f"__{k}" for k in key))
+
+
 def presence_counts(organisms: DataFrame, present: DataFrame, marked: DataFrame, organism: str, feature: Sequence[str]) -> DataFrame:
     """n11, n10, n01, n00 of every feature's presence against a mark, over all organisms; from counts alone."""
     all_n = organisms.select(organism).distinct().count()

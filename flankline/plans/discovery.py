@@ -91,7 +91,8 @@ def discover(features: DataFrame, hits: DataFrame, domains: DataFrame, taxonomy:
     candidates = scoring.with_archetypes(candidates.join(shapes, "locus_id"), archetypes)
     taxa = loci.select("locus_id", *(lineage.taxonomy_value(r, loci.columns, "").alias(r) for r in ("genus", "family", "phylum")))
     candidates = scoring.conservation(candidates, taxa, "locus_id", "architecture", "analyte", "relative_index", "regulator_class", "genus", "family", "phylum")
-    candidates = scoring.candidate_score(candidates, scoring_config["candidate_score_weights"])
+    candidates = stats.profile_scores(candidates, loci)
+    candidates = scoring.candidate_score(candidates, scoring_config["candidate_score_weights"]).checkpoint()  # bands, ranks and each written table read it
     out = {"loci": loci, "genes": genes, "enrichment": tested, "archetypes": archetypes, "candidates": stats.score_bands(candidates, "candidate_score"), "sensor_regulator_pairs": pairs}
     if benchmark is not None:
         ranked = evaluate.ranks(candidates, "candidate_score", ["candidate_id"])

@@ -528,6 +528,23 @@ def candidates(spark, sf_dir):
     return candidate_rows(spark, sf_dir).select("candidate_id", "position", "distance_nt", "primary_sensory_chemistry", r6("candidate_score").alias("candidate_score"))
 
 
+_ENTROPY = "(SELECT sum(CASE WHEN v > 0 THEN -(v / n::DOUBLE) * log2(v / n::DOUBLE) ELSE 0 END) FROM unnest([{}]) u(v))"
+CANDIDATE_ROWS_SQL = CANDIDATES_SQL[: CANDIDATES_SQL.index(", cs AS (")]
+
+
+@query(f"""WITH {CANDIDATE_ROWS_SQL},
+org AS (SELECT count(DISTINCT c_name) AS n FROM lo), m AS (SELECT c_mktsegment, count(DISTINCT c_name) AS mark FROM lo GROUP BY 1),
+h AS (SELECT c_mktsegment, rcls, count(DISTINCT c_name) AS n11 FROM ca GROUP BY ALL),
+x AS (SELECT c_mktsegment, rcls, n, n11, 0 AS n10, mark - n11 AS n01, n - mark AS n00 FROM h JOIN m USING (c_mktsegment), org),
+e AS (SELECT *, {_ENTROPY.format('n11 + n10, n01 + n00')} AS hx, {_ENTROPY.format('n11 + n01, n10 + n00')} AS hy, {_ENTROPY.format('n11, n10, n01, n00')} AS hxy FROM x)
+SELECT l_orderkey || '::' || gene AS candidate_id, round(CASE WHEN hx > 0 AND hy > 0 THEN greatest(0, least(1, (hx + hy - hxy) / least(hx, hy))) ELSE 0 END, 6) AS phylogenetic_profile_score
+FROM ca JOIN e USING (c_mktsegment, rcls)""")
+def candidate_profiles(spark, sf_dir):
+    """Candidates with the mutual information of their class and their analyte over organisms, by bitmaps."""
+    scored = stats.profile_scores(candidate_rows(spark, sf_dir), scored_loci(spark, sf_dir))
+    return scored.select("candidate_id", r6("phylogenetic_profile_score").alias("phylogenetic_profile_score"))
+
+
 @query(f"""WITH {LOCI_SQL} SELECT o_orderkey AS locus_id, round(greatest(0.001, least(0.999, 1.0::DOUBLE / (1 + exp(-(locus_score - 6) / 2)))), 6) AS logit FROM lo""")
 def logit_scores(spark, sf_dir):
     return scored_loci(spark, sf_dir).select("locus_id", r6(S.logit_score(F.col("locus_score"))).alias("logit"))
