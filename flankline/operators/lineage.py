@@ -1,10 +1,22 @@
-"""Taxonomy trees as tables: ancestor closure by pointer doubling, rank pivot, lookups."""
+"""Taxonomy trees as tables: depths and intervals by pointer jumping, ancestor closure, rank pivot, lookups.
+
+*Pointer jumping*: in each round every row skips to where its successor skips to, and adds what that has counted. A list of m
+steps takes log2(m) rounds of one equality join. On parent pointers it gives each node's depth, in log2(depth) rounds. Whoever
+still has a pointer after log2(n) rounds is on a cycle or below one: that is how cycles are found, and no depth is taken for one.
+
+*Intervals*: a walk around a tree goes down to each node and up from it. Each step of the walk is known from the tree alone: after
+going down to a node comes its first child or the way back up; after coming up from it its next sibling or its parent's way
+up. So the walk is a list of 2 n steps, and its ranks give every node ``pre`` (its number in depth-first order, from 1), ``last`` (the
+greatest number below it) and ``depth``. Then "below this node" is ``pre BETWEEN``, and there are as many rows as nodes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.session import checkpoint_folder
@@ -12,28 +24,90 @@ from flankline.session import checkpoint_folder
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
 
-def ancestor_closure(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id", max_depth: int = 128) -> DataFrame:
-    """(node, ancestor, distance) for every node and each of its ancestors, itself at 0.
+def parents(nodes: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, up): the parent of each node; null for a root, which is its own parent, has none or has one that is no node."""
+    pairs = nodes.select(F.col(child).alias("node"), F.col(parent).alias("up"))
+    known = pairs.select(F.col("node").alias("up")).distinct().withColumn("__known", F.lit(True))
+    return pairs.join(known, "up", "left").select("node", F.when(F.col("__known") & (F.col("up") != F.col("node")), F.col("up")).alias("up"))
+
+
+def jumped(steps: DataFrame, most: int) -> DataFrame:
+    """(step, next, the sums from each step to its list's end) of (step, next and columns to sum), after at most ``most`` rounds;
+    ``next`` is null unless the list has no end. Rounds are saved; rows that have arrived join no more."""
+    sums = [c for c in steps.columns if c not in ("step", "next")]
+    now = steps.checkpoint()
+    for _ in range(most):
+        moving = now.where("next IS NOT NULL")
+        if moving.isEmpty():
+            break
+        ahead = now.select(F.col("step").alias("next"), F.col("next").alias("__far"), *(F.col(c).alias(f"__{c}") for c in sums))
+        moved = moving.join(ahead, "next").select("step", F.col("__far").alias("next"), *((F.col(c) + F.col(f"__{c}")).alias(c) for c in sums))
+        now = now.where("next IS NULL").select("step", "next", *sums).union(moved).checkpoint()
+    return now
+
 
-    Path lengths double with each join, so a tree of depth d takes log2(d) rounds. A root is its own parent
-    or has none; a cycle shows as paths longer than ``max_depth`` and is an error.
-    """
+def depths(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
+    """(node, up, depth) of every node, roots at 0; cycles and nodes that are listed twice are errors."""
     checkpoint_folder(nodes.sparkSession)
-    pairs = nodes.select(F.col(child).alias("node"), F.col(parent).alias("up"))
-    known = pairs.select(F.col("node").alias("up"))
-    steps = pairs.where("up IS NOT NULL AND up <> node").join(known, "up", "left_semi").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
-    paths = steps
+    tree = parents(nodes, child, parent).checkpoint()
+    n = tree.count()
+    if tree.select("node").distinct().count() != n:
+        raise ValueError("a node is listed twice")
+    told = jumped(tree.select(F.col("node").alias("step"), F.col("up").alias("next"), F.col("up").isNotNull().cast("long").alias("depth")), ceil(log2(n + 1)) + 1)
+    if not told.where("next IS NOT NULL").isEmpty():
+        raise ValueError("the taxonomy has a cycle")
+    return tree.join(told.select(F.col("step").alias("node"), "depth"), "node").select("node", "up", "depth")
+
+
+def with_following(tree: DataFrame) -> DataFrame:
+    """Add ``following``, the next node with the same ``up``. Rows are sorted in ranges of (up, node), so that a node with very
+    many children is several tasks; the last row of a range looks at the first of the next."""
+    ranged = tree.repartitionByRange("up", "node").withColumn("__part", F.spark_partition_id()).checkpoint()
+    following = F.lead(F.struct("up", "node")).over(Window.partitionBy("__part").orderBy("up", "node"))
+    firsts = ranged.groupBy("__part").agg(F.min(F.struct(F.col("up").isNotNull().alias("o"), "up", "node")).alias("f"))  # one row for each range
+    border = firsts.select("__part", F.lead("f").over(Window.orderBy("__part")).alias("__next"))
+    rows = ranged.withColumn("__then", following).join(border, "__part")
+    then = F.coalesce("__then", F.struct(F.col("__next.up").alias("up"), F.col("__next.node").alias("node")))
+    return rows.withColumn("__then", then).select(*tree.columns, F.when(F.col("__then.up").eqNullSafe(F.col("up")), F.col("__then.node")).alias("following"))
+
+
+def intervals(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
+    """(node, up, pre, last, depth): the nodes' intervals; children stand in order of their ids, and so do the trees of a forest."""
+    tree = depths(nodes, child, parent).checkpoint()
+    n = tree.count()
+    if not n:
+        return tree.select("node", "up", F.col("depth").alias("pre"), F.col("depth").alias("last"), "depth")
+    eldest = tree.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.min("node").alias("eldest"))
+    known = with_following(tree).join(eldest, "node", "left")
+    step = lambda down, node: F.struct(F.lit(down).alias("down"), F.col(node).alias("node"))
+    down = known.select(step(True, "node").alias("step"), F.when(F.col("eldest").isNotNull(), step(True, "eldest")).otherwise(step(False, "node")).alias("next"), F.lit(1).cast("long").alias("down"))
+    up = known.select(step(False, "node").alias("step"), F.when(F.col("following").isNotNull(), step(True, "following")).when(F.col("up").isNotNull(), step(False, "up")).alias("next"), F.lit(0).cast("long").alias("down"))
+    walked = jumped(down.union(up), ceil(log2(2 * n)) + 1)
+    # ``down`` counts the nodes that are still to come
+    ends = walked.groupBy("step.node").agg(F.max(F.when(F.col("step.down"), F.col("down"))).alias("there"), F.max(F.when(~F.col("step.down"), F.col("down"))).alias("back"))
+    return tree.join(ends, "node").select("node", "up", (F.lit(n + 1) - F.col("there")).alias("pre"), (F.lit(n) - F.col("back")).alias("last"), "depth")
+
+
+def below(placed: DataFrame, node) -> DataFrame:
+    """The nodes below ``node``, itself first: a range of ``pre``, which a store in that order reads as a slice."""
+    found = placed.where(F.col("node") == node).select("pre", "last").first()
+    return placed.where(F.col("pre").between(found["pre"], found["last"])) if found else placed.where("false")
+
+
+def ancestor_closure(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
+    """(node, ancestor, distance) for every node and each of its ancestors, itself at 0.
+
+    Path lengths double with each join, so a tree of depth d takes log2(d) rounds. Depths come first, which find cycles."""
+    placed = depths(nodes, child, parent).checkpoint()
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    paths = placed.where("up IS NOT NULL").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
     reach = 1
-    while True:
+    while reach < deepest:
         jump = paths.where(F.col("distance") == reach).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
         longer = paths.join(jump, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + reach).alias("distance"))
-        if longer.isEmpty():
-            break
-        if reach > max_depth:
-            raise ValueError("the taxonomy has a cycle")
         paths = paths.union(longer).checkpoint()  # read by every later round; the plan must not double with it
         reach *= 2
-    return pairs.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(paths)
+    return placed.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(paths)
 
 
 def lineage_pivot(closure: DataFrame, names: DataFrame, ranks: Sequence[str], node: str = "node", rank: str = "rank", name: str = "name") -> DataFrame:
@@ -45,6 +119,46 @@ def lineage_pivot(closure: DataFrame, names: DataFrame, ranks: Sequence[str], no
     )
 
 
+def lineages(placed: DataFrame, names: DataFrame, ranks: Sequence[str], size: int = 1 << 14) -> DataFrame:
+    """(node, organism, a column for each rank): what :func:`lineage_pivot` makes of the closure, without writing that.
+
+    Nodes are cut into ranges of ``size`` numbers in depth-first order. A range needs the ranked nodes whose intervals reach into it:
+    those that hold all of it are one name for each rank, the others begin or end inside. ``names``: node, rank, name, one
+    row for a node; of two ancestors of one rank the greatest name counts."""
+    order = list(ranks)
+    every = placed.join(names, "node", "left").withColumn("range", F.floor(F.col("pre") / size)).checkpoint()
+    first, end = F.col("range") * size, (F.col("range") + 1) * size - 1
+    reached = F.explode(F.sequence(F.col("range"), F.floor(F.col("last") / size)))
+    ranked = every.where(F.col("rank").isin(*order) & F.col("name").isNotNull()).select("rank", "name", "pre", "last", reached.alias("range"))
+    holds = (F.col("pre") <= first) & (F.col("last") >= end)
+    around = ranked.where(holds).groupBy("range").agg(*(F.max(F.when(F.col("rank") == r, F.col("name"))).alias(f"r{k}") for k, r in enumerate(order)))
+    inside = ranked.where(~holds).groupBy("range").agg(F.sort_array(F.collect_list(F.struct("pre", "last", "rank", "name"))).alias("inside"))
+    nodes = every.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("pre", "node", "name"))).alias("nodes"))
+
+    def run(batches):
+        for batch in batches:
+            kind = batch.schema.field("nodes").type.value_type.field("node").type
+            for row in batch.to_pylist():
+                waiting, reaching, out = iter(row["inside"] or []), [], []
+                coming = next(waiting, None)
+                for n in row["nodes"]:
+                    while coming is not None and coming["pre"] <= n["pre"]:
+                        reaching.append(coming)
+                        coming = next(waiting, None)
+                    reaching = [o for o in reaching if o["last"] >= n["pre"]]
+                    values = [row[f"r{k}"] for k in range(len(order))]
+                    for o in reaching:
+                        k = order.index(o["rank"])
+                        values[k] = o["name"] if values[k] is None else max(values[k], o["name"])
+                    out.append((n["node"], n["name"], *values))
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.string()) for c in columns[1:])], names=["node", "organism", *order])
+
+    kind = placed.schema["node"].dataType.simpleString()
+    met = nodes.join(inside, "range", "left").join(around, "range", "left")
+    return met.mapInArrow(run, f"node {kind}, organism string, " + ", ".join(f"`{r}` string" for r in order))
+
+
 def lookup_lineage(pivot: DataFrame, node: str, value) -> dict[str, str]:
     """The filled ranks of one node; nothing for an unknown one."""
     row = pivot.where(F.col(node) == value).first()

@@ -309,6 +309,21 @@ def lineage_pivot(spark, sf_dir):
     return lineage.lineage_pivot(lineage.ancestor_closure(t, "id", "parent"), names, ["superkingdom", "phylum", "genus", "species"])
 
 
+@query(f"""WITH RECURSIVE {TREE}, w(id, path, depth) AS (
+  SELECT id, [id], 0 FROM n WHERE id = parent UNION ALL SELECT n.id, list_append(w.path, n.id), w.depth + 1 FROM w JOIN n ON n.parent = w.id AND n.id <> n.parent),
+k AS (SELECT ancestor, count(*) AS below FROM closure GROUP BY ancestor)
+SELECT id AS node, row_number() OVER (ORDER BY path) AS pre, row_number() OVER (ORDER BY path) + below - 1 AS last, CAST(depth AS BIGINT) AS depth FROM w JOIN k ON ancestor = id""")
+def lineage_intervals(spark, sf_dir):
+    return lineage.intervals(tree(spark, sf_dir), "id", "parent").select("node", "pre", "last", "depth")
+
+
+@query(ORACLE_SQL["lineage_pivot"])
+def lineage_by_intervals(spark, sf_dir):
+    t = tree(spark, sf_dir)
+    names = t.select(F.col("id").alias("node"), "rank", "name")
+    return lineage.lineages(lineage.intervals(t, "id", "parent"), names, ["superkingdom", "phylum", "genus", "species"])
+
+
 @query("""
 WITH k AS (SELECT c_mktsegment AS segment, n_name AS organism, c_nationkey AS taxon FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500)
 SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.segment = c.c_mktsegment AND k.organism = n_name)
