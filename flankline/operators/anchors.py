@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flankline.operators import scans
 from flankline.operators.seeds import best_seeds, close_matches
 
 HIT_KEYS = ["dataset_name", "analyte", "anchor_family", "protein_accession", "locus_tag"]
@@ -103,13 +104,8 @@ def detect(mode: str, **runs) -> DataFrame:
 
 
 def numbered(hits: DataFrame) -> DataFrame:
-    """``cluster_id``: 1-based place in the order of dataset, analyte, family, accession and locus tag. Counted by dataset first, so
-    that only one row of each dataset meets in one place."""
-    before = Window.orderBy("dataset_name").rowsBetween(Window.unboundedPreceding, -1)
-    counts = hits.groupBy("dataset_name").agg(F.count("*").alias("__n"))
-    firsts = counts.select("dataset_name", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    rank = F.row_number().over(Window.partitionBy("dataset_name").orderBy("analyte", "anchor_family", "protein_accession", "locus_tag"))
-    return hits.withColumn("__rank", rank).join(firsts, "dataset_name").withColumn("cluster_id", (F.col("__first") + F.col("__rank")).cast("int")).drop("__rank", "__first")
+    """``cluster_id``: 1-based place in the order of dataset, analyte, family, accession and locus tag, by scans over ranges."""
+    return scans.numbered(hits, [], HIT_KEYS, "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("int"))
 
 
 def resolve(anchors: DataFrame, features: DataFrame, key: str, by: Sequence[tuple[str, str]], within: Sequence[tuple[str, str]], order: Sequence[str]) -> DataFrame:

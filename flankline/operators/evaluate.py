@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankline.operators import trigrams
+from flankline.operators import scans, trigrams
 
 
 def recovery(truth: DataFrame, hits: DataFrame, truth_id: str, needles: Sequence[str], haystack: str, same: Sequence[tuple[str, str]] = (), negative: str | None = None) -> DataFrame:
@@ -46,22 +45,9 @@ def metric_rows(summary_row: DataFrame, counts: Mapping[str, Column], rows: Data
 
 
 def ranks(rows: DataFrame, score: str, tie: Sequence[str], into: str = "rank") -> DataFrame:
-    """1-based rank by score over everything. Rows are cut into ranges of the score; a window ranks inside a range, and the ranges'
-    counts, some hundreds, say what stands before it."""
-    ranged = rows.withColumn("__range", score_range(rows, score))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc_nulls_last("__range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc_nulls_last(score), *tie))
-    ranked = ranged.withColumn("__rank", inner).join(F.broadcast(before), "__range")
-    return ranked.withColumn(into, (F.col("__before") + F.col("__rank")).cast("int")).drop("__range", "__rank", "__before")
-
-
-def score_range(rows: DataFrame, score: str, ranges: int = 200) -> Column:
-    """The number of the range that a score falls into, from approximate quantiles: at most ``ranges`` of them; nulls are -1.
-    Rows of one score are never parted."""
-    edges = sorted(set(rows.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
-    inside = F.size(F.filter(F.lit(edges or [0.0]), lambda e: e <= F.col(score).cast("double")))
-    return F.when(F.col(score).isNull(), -1).otherwise(inside if edges else F.lit(0))
+    """1-based rank by score over everything, nulls last, by scans over ranges of the score."""
+    order = [F.desc_nulls_last(score), *map(F.col, tie)]
+    return scans.numbered(rows, [], order, into).withColumn(into, F.col(into).cast("int"))
 
 
 def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -72,26 +58,18 @@ def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
 def auroc(rows: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve with averaged ranks of ties; null where one class is absent.
 
-    Counted by distinct score: rows are summed first, so the window sees score values and not rows.
+    Counted by distinct score first; how many negatives score less is a running sum over ranges of scores.
     """
     by = rows.groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = Window.partitionBy(*(group or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    summed = by.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    summed = scans.running_sums(scans.ranged(by, group, [score]), group, [score], {"under": F.col("n")}, inclusive=False)
     total = summed.groupBy(*group).agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(*group, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, label: str, score: str, tie: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Mean over the positives of the precision at their rank. Groups are cut into ranges of the score, so that a large group is
-    not one task; counts of ranges, some hundreds for a group, are summed before them."""
-    rows = rows.withColumn("__range", score_range(rows, score))
-    counts = rows.groupBy(*group, "__range").agg(F.count("*").alias("__n"), F.sum(F.col(label).cast("long")).alias("__p"))
-    over = Window.partitionBy(*group).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__n", F.coalesce(F.sum("__n").over(over), F.lit(0))).withColumn("__p", F.coalesce(F.sum("__p").over(over), F.lit(0)))
-    by = Window.partitionBy(*group, "__range").orderBy(F.desc(score), *tie)
-    ranked = rows.withColumn("__r", F.row_number().over(by)).withColumn("__tp", F.sum(F.col(label).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*group, "__range")]
-    ranked = ranked.alias("r").join(counts.alias("c"), reduce(lambda x, y: x & y, same)).select("r.*", (F.col("r.__r") + F.col("c.__n")).alias("__rank"), (F.col("r.__tp") + F.col("c.__p")).alias("__hits"))
+    """Mean over the positives of the precision at their rank; ranks and hits are running sums over ranges of the score."""
+    order = [F.desc(score), *map(F.col, tie)]
+    ranked = scans.running_sums(scans.ranged(rows, group, order), group, order, {"__rank": F.lit(1).cast("long"), "__hits": F.col(label).cast("long")})
     hit = F.col(label).cast("int") == 1
     return ranked.groupBy(*group).agg((F.sum(F.when(hit, F.col("__hits") / F.col("__rank"))) / F.count_if(hit)).alias("average_precision"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
+from flankline.operators import scans
 from flankline.operators.annotate import once
 from flankline.session import checkpoint_folder
 
@@ -55,7 +56,7 @@ def attach_enrichment(rows: DataFrame, key: str, features: Column, enrichment: D
     """Best enrichment score and least q over a candidate's features (an array of structs with ``feature_key``)."""
     scored = enrichment.select(*feature_key, S.enrichment_score(F.col("odds_ratio"), F.col("q_value"), cap).alias("__s"), "q_value")
     each = rows.select(key, F.explode(features).alias("__f")).select(key, *(F.col(f"__f.{c}").alias(c) for c in feature_key))
-    best = each.join(F.broadcast(scored), list(feature_key)).groupBy(key).agg(F.max("__s").alias("enrichment_score"), F.min("q_value").alias("candidate_score_q"))
+    best = each.join(scored, list(feature_key)).groupBy(key).agg(F.max("__s").alias("enrichment_score"), F.min("q_value").alias("candidate_score_q"))
     return rows.drop("enrichment_score", "candidate_score_q").join(best, key, "left").withColumn("enrichment_score", F.coalesce("enrichment_score", F.lit(0.0)))
 
 
@@ -133,7 +134,7 @@ def archetype_ids(loci: DataFrame, architecture: str, threshold: float = 0.0) ->
     """
     distinct = loci.select(F.col(architecture).alias("text")).distinct()
     if threshold <= 0:
-        return distinct.select(F.col("text").alias(architecture), F.dense_rank().over(Window.orderBy("text")).alias("archetype_no"))
+        return scans.numbered(distinct, [], ["text"], "archetype_no").select(F.col("text").alias(architecture), F.col("archetype_no").cast("int").alias("archetype_no"))
     if threshold >= 1:
         return distinct.select(F.col("text").alias(architecture), F.lit(1).alias("archetype_no"))
     checkpoint_folder(loci.sparkSession)
@@ -148,13 +149,13 @@ def archetype_ids(loci: DataFrame, architecture: str, threshold: float = 0.0) ->
     near = pairs.join(parsed.select(F.col("text").alias("one"), F.col("m").alias("x")), "one").join(parsed.select(F.col("text").alias("two"), F.col("m").alias("y")), "two")
     near = near.where(architecture_distance(F.col("x"), F.col("y")) <= threshold).select("one", "two")
     blank = parsed.where(F.size("m") == 0).select("text")  # texts without labels are at distance 0 of each other
-    near = near.union(blank.agg(F.min("text").alias("one")).crossJoin(F.broadcast(blank.select(F.col("text").alias("two")))).where("one < two")).checkpoint()
+    near = near.union(blank.agg(F.min("text").alias("one")).crossJoin(blank.select(F.col("text").alias("two"))).where("one < two")).checkpoint()
     state = parsed.select("text", F.lit(None).cast("boolean").alias("leads")).checkpoint()
     while not state.where("leads IS NULL").isEmpty():
         before = near.join(state.select(F.col("text").alias("one"), F.col("leads").alias("led")), "one").groupBy(F.col("two").alias("text")).agg(F.max(F.coalesce("led", F.lit(False))).alias("any"), F.max(F.col("led").isNull()).alias("open"))
         settled = F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         state = state.join(before, "text", "left").select("text", F.coalesce("leads", settled).alias("leads")).checkpoint()
-    leaders = state.where("leads").select("text", F.row_number().over(Window.orderBy("text")).alias("archetype_no"))  # clusters, not loci
+    leaders = scans.numbered(state.where("leads").select("text"), [], ["text"], "archetype_no").withColumn("archetype_no", F.col("archetype_no").cast("int"))
     first = near.join(leaders.withColumnRenamed("text", "one"), "one").groupBy(F.col("two").alias("text")).agg(F.min("archetype_no").alias("followed"))
     return state.join(leaders, "text", "left").join(first, "text", "left").select(F.col("text").alias(architecture), F.coalesce("archetype_no", "followed").alias("archetype_no"))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.functions.numerics import beta_quantile_udf, chi_square_tail_udf, erfc_udf, fisher_p_udf
 from flankline.functions.scalars import logit_score
+from flankline.operators import scans
 
 
 #: Bits of one of Spark's bitmaps.
@@ -71,7 +73,8 @@ def cmh(strata_counts: DataFrame, feature: Sequence[str]) -> DataFrame:
 
 
 def stratified(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str]) -> DataFrame:
-    """:func:`cmh` over every stratum of ``rows``, those without the feature included, without writing features x strata.
+    """:func:`cmh` over every stratum of ``rows``, those without the feature included, without writing features x strata. A feature
+    whose strata leave no variance (so that there is no statistic) is tested by Fisher's exact test on its totals.
 
     A stratum without the feature adds terms that depend on its totals alone. They are summed once over all strata; each
     feature takes that sum, less those of the strata where it occurs, plus its own terms there."""
@@ -95,7 +98,11 @@ def stratified(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Col
     dev, var, num, den = (F.col(k) + F.col(f"all_{k}") for k in ("dev", "var", "num", "den"))
     out = out.withColumn("statistic", F.when(var > 1e-12, F.pow(F.abs(dev) - 0.5, 2) / var).otherwise(0.0)).withColumn("odds_ratio", F.when(den > 1e-12, num / den).otherwise(0.0))
     out = out.withColumn("n_b", F.col("cases") - F.col("n_a")).withColumn("n_d", F.col("controls") - F.col("n_c"))
-    return out.select(*feature, "n_a", "n_b", "n_c", "n_d", "statistic", "odds_ratio").withColumn("p_value", erfc_udf(F.sqrt(F.col("statistic") / 2)))
+    defined = (var > 1e-12) & (den > 1e-12)
+    cells = [F.col(f"n_{x}") for x in "abcd"]
+    out = out.withColumn("p_value", F.when(defined, erfc_udf(F.sqrt(F.col("statistic") / 2))).otherwise(fisher_p_udf(*cells)))
+    out = out.withColumn("odds_ratio", F.when(defined, F.col("odds_ratio")).otherwise(odds_ratio(*cells)))
+    return out.select(*feature, "n_a", "n_b", "n_c", "n_d", "statistic", "odds_ratio", "p_value")
 
 
 def enrichment(rows: DataFrame, feature: Sequence[str], locus: str, is_case: Column, strata: Sequence[str] = (), test: str = "fisher") -> DataFrame:
@@ -122,12 +129,19 @@ def robustness(rows: DataFrame, feature: Sequence[str], locus: str, side: str, c
 
 
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value", run: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """q values and labels by run. ``rows`` are tested features, some thousands at most, not data rows."""
-    by = Window.partitionBy(*run) if run else Window.partitionBy(F.lit(0))
-    ranked = rows.withColumn("__n", F.count("*").over(by)).withColumn("__r", F.rank().over(by.orderBy(p)) + F.count("*").over(by.orderBy(p).rangeBetween(0, 0)) - 1)
-    onward = by.orderBy(p).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(onward))
-    return ranked.withColumn("q_value", q).withColumn("interpretation", F.when(F.col("q_value") <= alpha, "enriched").otherwise("not_enriched")).drop("__n", "__r")
+    """q values and labels by run. p values are counted first, so ties are one row; ranks and the step-up minimum are scans over
+    ranges of p, so neither many tests nor one large run is a single task. A null p has no q."""
+    values = rows.where(F.col(p).isNotNull()).groupBy(*run, F.col(p).alias("__p_value")).agg(F.count("*").alias("__c"))
+    sorted_ = scans.ranged(values, run, ["__p_value"])
+    ranked = scans.running_sums(sorted_, run, ["__p_value"], {"__r": F.col("__c")})
+    whole = rows.groupBy(*run).agg(F.count("*").alias("__n"))
+    side = whole.select(*(F.col(c).alias(f"__w_{c}") for c in run), "__n")
+    ranked = ranked.join(side, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in run))) if run else ranked.crossJoin(side)  # one row
+    stepped = scans.later_minimum(ranked, run, ["__p_value"], F.col("__p_value") * F.col("__n") / F.col("__r"), "__q")
+    told = stepped.select(*(F.col(c).alias(f"__t_{c}") for c in run), "__p_value", F.least(F.lit(1.0), F.col("__q")).alias("q_value"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in run), F.col(p) == F.col("__p_value"))
+    out = rows.join(told, same, "left").drop("__p_value", *(f"__t_{c}" for c in run))
+    return out.withColumn("interpretation", F.when(F.col("q_value") <= alpha, "enriched").otherwise("not_enriched"))
 
 
 def one_per_group(rows: DataFrame, group: Sequence[str], score: str, tie: Sequence[str]) -> DataFrame:

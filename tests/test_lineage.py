@@ -37,8 +37,15 @@ def walked(rows):
     return up, out
 
 
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("seed", range(2))
-def test_intervals_by_walk(spark, seed):
+def test_intervals_by_walk(spark, many_ranges, seed):
     rows = forest(seed)
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame(rows, "taxon_id long, parent_id long").repartition(3)
