@@ -67,6 +67,15 @@ def summary(features: DataFrame, proteins: DataFrame, dataset: str, kind: str, c
     return f.join(p, dataset, "full")
 
 
+def counts(datasets: DataFrame, proteins: DataFrame, features: DataFrame, dataset: str = "dataset_name", accession: str = "protein_accession", feature: str = "feature_id") -> DataFrame:
+    """(dataset, n_proteins, n_features) of every dataset: its different proteins and its features. Each table is counted by
+    itself before the join, so one dataset's proteins and features never multiply."""
+    p = proteins.groupBy(dataset).agg(F.count_distinct(accession).alias("n_proteins"))
+    f = features.groupBy(dataset).agg(F.count(feature).alias("n_features"))
+    out = datasets.select(dataset).distinct().join(p, dataset, "left").join(f, dataset, "left")
+    return out.select(dataset, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_proteins", "n_features")))
+
+
 def shards(datasets: DataFrame, name: str, group: str, by: str = "group", size: int = 1000, most: int | None = None) -> DataFrame:
     """(shard_id, shard_no, n_datasets, dataset_names, group): datasets by group, or in chunks of ``size`` by name.
 

@@ -154,7 +154,19 @@ def archetypes(spark, sf_dir):
     return n.join(scoring.archetype_ids(loci, "architecture"), "architecture").select(F.format_string("arch_%04d", "archetype_no").alias("archetype_id"), "architecture", "n_loci")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARCHITECTURE},
+a AS MATERIALIZED (SELECT architecture, row_number() OVER (ORDER BY architecture) AS i, count(*) AS n FROM x GROUP BY architecture),
+e AS (SELECT i, CAST(split_part(t, ':', 1) AS INTEGER) AS k, substr(t, instr(t, ':') + 1) AS v FROM (SELECT i, unnest(string_split(architecture, '>')) AS t FROM a)),
+w AS (SELECT i, sum(1 / (1 + abs(k))) AS w FROM e GROUP BY i),
+b AS (SELECT e.i, f.i AS j, sum(1 / (1 + abs(e.k))) AS common, sum(CASE WHEN e.v = f.v THEN 1 / (1 + abs(e.k)) ELSE 0 END) AS same FROM e JOIN e f ON e.k = f.k AND f.i < e.i GROUP BY ALL),
+near AS MATERIALIZED (SELECT b.i, j FROM b JOIN w p ON p.i = b.i JOIN w q ON q.i = b.j WHERE 1 - same / (p.w + q.w - common) <= 0.4 + 1e-12),
+s(i, leaders, follows) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT s.i + 1, CASE WHEN min(j) IS NULL THEN list_append(any_value(leaders), s.i + 1) ELSE any_value(leaders) END, min(j)
+  FROM s LEFT JOIN near ON near.i = s.i + 1 AND list_contains(leaders, j) WHERE s.i < (SELECT count(*) FROM a) GROUP BY s.i),
+cl AS (SELECT i, coalesce(follows, i) AS leader FROM s WHERE i > 0), m AS (SELECT leader, CAST(row_number() OVER (ORDER BY leader) AS INTEGER) AS archetype_no FROM (SELECT DISTINCT leader FROM cl))
+SELECT archetype_no, CAST(sum(n) AS BIGINT) AS n_loci, min(architecture) AS leader FROM cl JOIN a USING (i) JOIN m USING (leader) GROUP BY archetype_no""")
 def archetypes_threshold(spark, sf_dir):
     loci = architecture_rows(spark, sf_dir)
     return loci.join(scoring.archetype_ids(loci, "architecture", 0.4), "architecture").groupBy("archetype_no").agg(F.count("*").alias("n_loci"), F.min("architecture").alias("leader"))
@@ -565,10 +577,25 @@ def logit_scores(spark, sf_dir):
     return scored_loci(spark, sf_dir).select("locus_id", r6(S.logit_score(F.col("locus_score"))).alias("logit"))
 
 
-@query()
+# I_x(a, b) by its power series on the side of the mean where that converges fast; quantiles by bisection
+_SERIES = "exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma(a + b) - lgamma({a} + 1) - lgamma({b})) * list_sum(list_transform(range(300), lambda n: exp(lgamma(a + b + n) - lgamma(a + b) - lgamma({a} + 1 + n) + lgamma({a} + 1) + n * ln({x}))))"
+BANDS_SQL = f"""WITH RECURSIVE {LOCI_SQL}, s AS (SELECT round(locus_score, 6)::DOUBLE AS locus_score, count(*) AS n_loci FROM lo GROUP BY 1),
+g AS (SELECT *, greatest(0.001, least(0.999, 1 / (1 + exp(-(locus_score - 6) / 2)))) AS p FROM s),
+q(locus_score, n_loci, p, a, b, tail, low, high, k) AS (
+  SELECT locus_score, n_loci, p, 24 * p, 24 * (1 - p), unnest([0.03::DOUBLE, 0.97::DOUBLE]), 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM g
+  UNION ALL
+  SELECT locus_score, n_loci, p, a, b, tail, CASE WHEN c < tail THEN x ELSE low END, CASE WHEN c < tail THEN high ELSE x END, k + 1 FROM (
+    SELECT *, CASE WHEN x <= (a + 1) / (a + b + 2) THEN {_SERIES.format(a='a', b='b', x='x')} ELSE 1 - {_SERIES.format(a='b', b='a', x='(1 - x)')} END AS c
+    FROM (SELECT *, (low + high) / 2 AS x FROM q WHERE k < 40)))
+SELECT locus_score, any_value(n_loci) AS n_loci, round(any_value(p), 5) AS regulation_logit_score, round(max(low) FILTER (tail < 0.5), 5) AS score_band_low,
+       round(max(low) FILTER (tail > 0.5), 5) AS score_band_high, 'logit_beta' AS score_band_model FROM q WHERE k = 40 GROUP BY locus_score"""
+
+
+@query(BANDS_SQL)
 def score_bands(spark, sf_dir):
     distinct = scored_loci(spark, sf_dir).groupBy(F.round("locus_score", 6).alias("locus_score")).agg(F.count("*").alias("n_loci"))
-    return stats.score_bands(distinct, "locus_score")
+    bands = stats.score_bands(distinct, "locus_score")
+    return bands.withColumns({c: F.round(c, 5) for c in ("regulation_logit_score", "score_band_low", "score_band_high")})
 
 
 @query(f"""WITH {LOCI_SQL}, m AS (SELECT l_orderkey, max(l_quantity)::DOUBLE AS best FROM lineitem GROUP BY 1),

@@ -1,17 +1,20 @@
 import pytest
 
-from flankline.plans import surrogate
+from flankline.plans import composed, surrogate
 from tests.conftest import same
 
 
-@pytest.mark.parametrize("name", sorted(surrogate.ORACLE_SQL))
+QUERIES, ORACLE_SQL = surrogate.QUERIES | composed.QUERIES, surrogate.ORACLE_SQL | composed.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_agrees_with_sql(spark, sf, duck, name):
-    same(surrogate.QUERIES[name](spark, sf), duck, surrogate.ORACLE_SQL[name])
+    same(QUERIES[name](spark, sf), duck, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(surrogate.QUERIES) - set(surrogate.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, sf, name):
-    assert surrogate.QUERIES[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
