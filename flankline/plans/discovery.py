@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flankline import schemas
 from flankline.functions import scalars as S
 from flankline.operators import anchors, annotate, evaluate, lineage, neighborhoods, scoring, stats
 from flankline.session import checkpoint_folder
@@ -93,7 +94,9 @@ def discover(features: DataFrame, hits: DataFrame, domains: DataFrame, taxonomy:
     candidates = scoring.conservation(candidates, taxa, "locus_id", "architecture", "analyte", "relative_index", "regulator_class", "genus", "family", "phylum")
     candidates = stats.profile_scores(candidates, loci)
     candidates = scoring.candidate_score(candidates, scoring_config["candidate_score_weights"]).checkpoint()  # bands, ranks and each written table read it
-    out = {"loci": loci, "genes": genes, "enrichment": tested, "archetypes": archetypes, "candidates": stats.score_bands(candidates, "candidate_score"), "sensor_regulator_pairs": pairs}
+    counted = {"a": "n_case_with_feature", "b": "n_case_without_feature", "c": "n_control_with_feature", "d": "n_control_without_feature"}
+    told = tested.withColumnsRenamed(counted).withColumns({"analyte": F.lit(case), "case_definition": F.lit(case), "control_definition": F.lit(control)})
+    out = {"loci": loci, "genes": genes, "enrichment": told, "archetypes": archetypes, "candidates": stats.score_bands(candidates, "candidate_score"), "sensor_regulator_pairs": pairs}
     if benchmark is not None:
         ranked = evaluate.ranks(candidates, "candidate_score", ["candidate_id"])
         out["benchmark_recovery"] = evaluate.first_candidates(benchmark, ranked, "benchmark_id", "protein_name").withColumn("hit", F.col("rank").isNotNull())
@@ -101,6 +104,10 @@ def discover(features: DataFrame, hits: DataFrame, domains: DataFrame, taxonomy:
 
 
 def write(tables: Mapping[str, DataFrame], folder: str, only: Sequence[str] | None = None) -> None:
+    """Write tables into ``folder``; those with a schema in its columns and types, and only if every row keeps its rules."""
     for name, df in tables.items():
         if only is None or name in only:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            if name in schemas.TABLES:
+                schemas.publish(schemas.conformed(df, name), name, f"{folder}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
