@@ -51,9 +51,11 @@ def extract(features: DataFrame, hits: DataFrame, window: int = 10) -> tuple[Dat
         "is_boundary_truncated",
         F.array("anchor_family").alias("marker_genes_present"),
         F.array().cast(EMPTY).alias("accessory_genes_present"),
+        F.lit("low").alias("locus_confidence"),
     )
     genes = neighborhoods.neighborhoods(placed, found.select("locus_id", "dataset_name", "seqid", "ord", "last", "start_nt"), ["dataset_name", "seqid"], "protein_accession", "start_nt", "end_nt", "locus_id", window)
     genes = genes.withColumn("strand", F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise("+")).withColumn("product_description", F.col("product"))
+    genes = genes.withColumns({"functional_class": F.when(F.col("is_anchor"), "anchor").otherwise("unknown"), "regulator_class": F.lit("none")})
     genes = neighborhoods.operons(genes, "locus_id", "relative_start", "relative_stop", "strand", "is_anchor", ["gene_accession"])
     integrity = neighborhoods.operon_integrity(genes, "locus_id")
     return loci.join(integrity, "locus_id", "left").withColumn("operon_integrity_score", F.coalesce("operon_integrity_score", F.lit(0.0))), genes

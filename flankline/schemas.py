@@ -51,6 +51,7 @@ VALUES = {
     "test": ("cmh", "fisher"),
     "sensing_evidence_class": ("direct", "indirect", "inferred", "none"),
 }
+DEFAULTS = {"locus_confidence": "low", "strand": "+", "functional_class": "unknown", "regulator_class": "none", "sensor_role": "none"}
 SHARES = ("p_value", "q_value", "candidate_score_q", "regulation_logit_score", "score_band_low", "score_band_high")
 # end of fixed values
 
@@ -106,13 +107,13 @@ def validate(df: DataFrame, table: str) -> DataFrame:
 
 
 def conformed(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns of ``df`` in its types; what is missing or null in a column that must be filled gets its type's empty
-    value, columns that the table does not have go."""
+    """The table's columns of ``df`` in its types; what is missing or null in a column that must be filled gets the column's default
+    or else its type's empty value, columns that the table does not have go."""
     empty = {"string": F.lit(""), "bigint": F.lit(0), "int": F.lit(0), "double": F.lit(0.0), "boolean": F.lit(False), A: F.array(), "timestamp_ntz": F.localtimestamp()}
 
     def filled(c: str, kind: str) -> Column:
         have = F.col(f"`{c}`").cast(kind) if c in df.columns else F.lit(None).cast(kind)
-        return (have if c in NULLABLE.get(table, set()) else F.coalesce(have, empty[kind].cast(kind))).alias(c)
+        return (have if c in NULLABLE.get(table, set()) else F.coalesce(have, F.lit(DEFAULTS[c]) if c in DEFAULTS else empty[kind].cast(kind))).alias(c)
 
     optional = {c: t for c, t in OPTIONAL.get(table, {}).items() if c in df.columns}
     return df.select(*(filled(c, t) for c, t in (TABLES[table] | optional).items()))

@@ -1,57 +1,54 @@
-"""The corpus store: Parquet partitioned by phylum and dataset, and its table of datasets."""
+"""The corpus store: proteins and features by phylum and dataset, and the table of datasets, each under a commit log."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flankline.sources import commits
+
 PARTITIONS = ["phylum", "dataset_name"]
 SHARD_COLUMNS = ["shard_id", "shard_no", "n_datasets", "dataset_names", "group"]
 
 
-def write_partitions(rows: DataFrame, root: str, table: str) -> None:
-    """Overwrite just the partitions that occur in ``rows``; all datasets of a load go in one job. Rows of a dataset stand
-    together, but adaptive execution may split a dataset that is far larger than the others."""
-    even = rows.hint("rebalance", *PARTITIONS)
-    even.write.partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/{table}")
+def write_partitions(rows: DataFrame, root: str, table: str) -> int:
+    """Put ``rows`` in place of just the partitions that occur in them, as one commit; all datasets of a load go in one job. Of two
+    loads of one dataset the later one's rows stay, whole."""
+    return commits.replace_partitions(rows, f"{root}/{table}", PARTITIONS)
+
+
+def append(rows: DataFrame, root: str, table: str, mark: str | None = None) -> int | None:
+    """Add ``rows``; a ``mark`` that has been committed before adds nothing."""
+    return commits.append(rows, f"{root}/{table}", PARTITIONS, mark)
 
 
-def upsert_datasets(spark: SparkSession, datasets: DataFrame, root: str, key: str = "dataset_name") -> None:
-    """Replace the rows of the given datasets; columns that either side lacks become null. A new version is written beside
-    the old one and named in the pointer last, so a reader never sees half a table."""
-    old = read_datasets(spark, root)
-    merged = datasets if old is None else old.join(datasets.select(key), key, "left_anti").unionByName(datasets, allowMissingColumns=True)
-    version = (max(_versions(spark, root), default=0)) + 1
-    merged.write.parquet(f"{root}/datasets/v{version:08d}")
+def compact(spark: SparkSession, root: str, table: str) -> int | None:
+    """Bring the small files that ingest leaves together, partition by partition, while others go on appending."""
+    return commits.compact(spark, f"{root}/{table}", PARTITIONS)
 
 
-def read_datasets(spark: SparkSession, root: str) -> DataFrame | None:
-    found = _versions(spark, root)
-    return spark.read.parquet(f"{root}/datasets/v{max(found):08d}") if found else None
+def upsert_datasets(spark: SparkSession, datasets: DataFrame, root: str, key: str = "dataset_name") -> int:
+    """Replace the rows of the given datasets; columns that either side lacks become null. Upserts at the same time follow one
+    another."""
 
+    def merged(old: DataFrame | None) -> DataFrame:
+        return datasets if old is None else old.join(datasets.select(key), key, "left_anti").unionByName(datasets, allowMissingColumns=True)
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/datasets")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return [int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return commits.rewrite(spark, f"{root}/datasets", merged, what="upsert")
 
 
-def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the store with whatever has been ingested into it since. A filter on phylum or dataset_name reads only
-    those folders."""
-    parts = [p for p in (f"{root}/{table}", f"{root}/{table}_batches") if _exists(spark, p)] or [f"{root}/{table}"]
-    tables = [spark.read.parquet(p) for p in parts]
-    tables = [t.drop("batch_id") if p.endswith("_batches") else t for t, p in zip(tables, parts, strict=True)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+def read_datasets(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    return commits.read(spark, f"{root}/datasets", version)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def read(spark: SparkSession, root: str, table: str, version: int | None = None, phylum: str | None = None, datasets: list[str] | None = None) -> DataFrame:
+    """A table of the store as of a commit (the last one). ``phylum`` and ``datasets`` choose partitions by the log, so that only
+    their files are listed; other filters are pushed into the files."""
+    wanted = lambda p: (phylum is None or p[0] == phylum) and (datasets is None or p[1] in datasets)
+    rows = commits.read(spark, f"{root}/{table}", version, wanted)
+    if rows is None:
+        raise FileNotFoundError(f"no {table} in the store at {root}")
+    return rows
 
 
 def write_shards(shards: DataFrame, path: str) -> None:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from flankline.sources.store import PARTITIONS
+from flankline.sources import store
 
 
 def ingest(spark: SparkSession, incoming: str, schema: str, root: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Append new Parquet files of feature or protein rows to the store, each file once; ends when all are in."""
+    """Append new Parquet files of feature or protein rows to the store, each file once; ends when all are in. A batch that runs
+    again has the mark of its first commit and adds nothing; ``store.compact`` brings what many batches leave together."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        # the batch id makes a batch that runs again overwrite itself; ``store.read`` reads these folders with the table
-        batch.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).mode("overwrite").parquet(f"{root}/{table}_batches/batch_id={batch_id}")
+        store.append(batch, root, table, f"{checkpoint}#{batch_id}")
 
     return spark.readStream.schema(schema).parquet(incoming).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -238,7 +238,7 @@ def test_stream_ingest(spark, tmp_path):
     schema = "protein_accession string, dataset_name string, phylum string"
     for _ in range(2):
         ingest.ingest(spark, source, schema, str(tmp_path / "store"), "proteins", str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store/proteins_batches")).count() == 1
+    assert store.read(spark, str(tmp_path / "store"), "proteins").count() == 1
 
 
 def test_sequences(spark):
