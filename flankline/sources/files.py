@@ -10,15 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flankline.functions.scalars import attributes, first_filled, list_cell
+from flankline.sources.formats import BrokenInput, MissingInput
 
 GFF = "seqid string, source string, type string, start string, end string, score string, strand string, phase string, attributes string"
 DIAMOND = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, qcovhsp double, scovhsp double"
 
 
+def given(spark: SparkSession, path: str) -> str:
+    """``path``, if there is something at it that is not empty."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise MissingInput(f"missing input: {path}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not any(fs.getContentSummary(s.getPath()).getLength() for s in found):
+        raise BrokenInput(f"empty input: {path}")
+    return path
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(accession, description, sequence); records are cut at ``>`` at a line's start, so large files split between tasks.
     Gzip files are read by the codec. The description includes the accession; an empty record is an error."""
-    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    records = spark.read.option("lineSep", "\n>").text(given(spark, path)).where(F.trim("value") != "")
     body = F.regexp_replace("value", "^>", "")
     head = F.trim(F.substring_index(body, "\n", 1))
     sequence = F.when(F.instr(body, "\n") > 0, F.regexp_replace(F.substr(body, F.instr(body, "\n") + 1), r"\s", "")).otherwise("")
@@ -35,7 +48,7 @@ def write_fasta(rows: DataFrame, path: str, accession: str, sequence: str, wrap:
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     """GFF3 rows with typed columns and an attribute map. The first line must be the version; nine fields a row."""
-    first = spark.read.text(path).first()
+    first = spark.read.text(given(spark, path)).first()
     if first is None or first[0].strip() != "##gff-version 3":
         raise ValueError(f"{path} does not start with ##gff-version 3")
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
@@ -73,7 +86,7 @@ def read_taxdump(spark: SparkSession, nodes: str, names: str) -> DataFrame:
     """(taxon_id, parent_id, rank, name) from nodes and names dumps; scientific names only."""
 
     def cells(path: str) -> DataFrame:
-        return spark.read.text(path).select(F.split(F.regexp_replace("value", r"\t\|$", ""), r"\t\|\t").alias("c"))
+        return spark.read.text(given(spark, path)).select(F.split(F.regexp_replace("value", r"\t\|$", ""), r"\t\|\t").alias("c"))
 
     n = cells(nodes).select(F.col("c")[0].cast("long").alias("taxon_id"), F.col("c")[1].cast("long").alias("parent_id"), F.col("c")[2].alias("rank"))
     m = cells(names).where(F.trim(F.col("c")[3]) == "scientific name").select(F.col("c")[0].cast("long").alias("taxon_id"), F.col("c")[1].alias("name"))
@@ -81,7 +94,7 @@ def read_taxdump(spark: SparkSession, nodes: str, names: str) -> DataFrame:
 
 
 def read_diamond(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=DIAMOND, mode="FAILFAST")
+    return spark.read.csv(given(spark, path), sep="\t", schema=DIAMOND, mode="FAILFAST")
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +121,7 @@ def write_benchmark(rows: DataFrame, path: str) -> None:
 
 def read_plddt(spark: SparkSession, path: str) -> DataFrame:
     """(chain, residue_number, insertion, residue, plddt) of the first atom of each residue in a PDB file."""
-    lines = spark.read.text(path).withColumn("no", F.monotonically_increasing_id()).where(F.startswith("value", F.lit("ATOM")))
+    lines = spark.read.text(given(spark, path)).withColumn("no", F.monotonically_increasing_id()).where(F.startswith("value", F.lit("ATOM")))
     at = lambda a, n: F.trim(F.substring("value", a, n))
     atoms = lines.select("no", F.coalesce(F.nullif(at(22, 1), F.lit("")), F.lit("_")).alias("chain"), at(23, 4).cast("int").alias("residue_number"), at(27, 1).alias("insertion"), at(18, 3).alias("residue"), at(61, 6).cast("double").alias("plddt"))
     return atoms.groupBy("chain", "residue_number", "insertion").agg(F.min_by("residue", "no").alias("residue"), F.min_by("plddt", "no").alias("plddt"))
@@ -116,7 +129,7 @@ def read_plddt(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pae(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, pae), 1-based, from a predicted-aligned-error matrix: bare, in an object, or in a list of one object."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(given(spark, path), wholetext=True)
     matrix = F.coalesce(
         F.from_json(F.get_json_object("value", "$.predicted_aligned_error"), "array<array<double>>"),
         F.from_json(F.get_json_object("value", "$.pae"), "array<array<double>>"),
