@@ -138,8 +138,17 @@ def test_cotraining_uses_the_other_view():
     x = np.column_stack([np.where(rng.random(n) < 0.5, y, 0.5) + rng.normal(0, 0.1, n), rng.normal(size=n)])
     meta = [("good" if v == 1 else "bad", 100) if rng.random() < 0.9 else ("any", 100) for v in y]
     fold = rng.integers(0, 4, n)
-    known = np.where(np.arange(n) < 400, y, np.nan)
-    model = quality.cotrained(x, meta, known, fold, np.ones(n))
+    labelled = quality.Rows(x[:400], meta[:400], y[:400], np.ones(400))
+
+    def exchange(views, mass):
+        handed = []
+        for p in (views[0](x[400:]), views[1](meta[400:])):
+            sure = {0: np.flatnonzero(p <= quality.CONFIDENT) + 400, 1: np.flatnonzero(p >= 1 - quality.CONFIDENT) + 400}
+            picked = {k: (x[at], [meta[i] for i in at]) for k, at in sure.items() if len(at)}
+            handed.append(quality.pseudo_labelled({k: len(v[1]) for k, v in picked.items()}, picked, mass))
+        return handed[::-1]
+
+    model = quality.cotrained(labelled, fold[:400], exchange)
     score, by_content, _ = model(x[400:], meta[400:])
     combined, alone = ((s > 0.5) == y[400:] for s in (score, by_content))
     assert combined.mean() > alone.mean() and combined.mean() > 0.93
