@@ -115,6 +115,20 @@ def anchors(texts: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield from found()
 
 
+def thinned(places: np.ndarray, grams: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Which anchors of a text to keep. Successive ones with one gram and one surroundings (a run of a letter, a short period) are
+    wholly repeated whatever else there is; of those, the first, the last and one in every ``WINDOW`` bytes cover the same bytes."""
+    fresh = np.ones(len(places), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (around[1:] != around[:-1])
+    run = np.cumsum(fresh) - 1
+    cell = (places - places[np.flatnonzero(fresh)][run]) // WINDOW
+    keep = fresh.copy()
+    keep[1:] |= cell[1:] != cell[:-1]
+    keep[:-1] |= fresh[1:]
+    keep[-1:] = True
+    return np.flatnonzero(keep)
+
+
 def anchored(docs: DataFrame) -> DataFrame:
     """(row, digest, places, grams, around) for each text of 200 bytes or more; ``around`` hashes an anchor's surroundings."""
 
@@ -137,8 +151,10 @@ def anchored(docs: DataFrame) -> DataFrame:
                 around = [xxhash.xxh3_64_intdigest(text[max(0, p - LEFT) : p + WINDOW], min(p, LEFT)) for p in places.tolist()]
                 out.setdefault(t, []).append((places, grams, np.array(around, np.uint64)))
             rows = sorted(out)
-            ends = np.cumsum([0] + [sum(len(x[0]) for x in out[t]) for t in rows])
-            flat = [np.concatenate([x[k] for t in rows for x in out[t]]) if rows else np.empty(0, np.uint64) for k in range(3)]
+            whole = [[np.concatenate([x[k] for x in out[t]]) for k in range(3)] for t in rows]
+            some = [thinned(*w) for w in whole]
+            ends = np.cumsum([0] + [len(at) for at in some])
+            flat = [np.concatenate([w[k][at] for w, at in zip(whole, some, strict=True)]) if rows else np.empty(0, np.uint64) for k in range(3)]
             lists = [pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(v)).cast(pa.list_(v.type)) for v in map(pa.array, (flat[0].astype(np.int64), flat[1].view(np.int64), flat[2].view(np.int64)))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *lists], names=["digest", "places", "grams", "around"])
 

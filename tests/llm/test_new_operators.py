@@ -181,7 +181,7 @@ def test_repeats_by_hand(spark, monkeypatch, block):
         return " ".join(rng.choice(["the", "ering", "aß", "tion", "東京", "of"]) + rng.choice("aei") for _ in range(n))
 
     base = [prose(150) for _ in range(10)]
-    texts = [None, "", "x" * 199, "y" * 200, "z" * 1000, "ab" * 700, prose(30), "\0" * 500, *base, *base[:3]]
+    texts = [None, "", "x" * 199, "y" * 200, "z" * 1000, "ab" * 700, "x" * 201, "y" * 401 + "q" + "y" * 650, "abcdefg" * 90 + "!" + "abcdefg" * 31, prose(30), "\0" * 500, *base, *base[:3]]
     for b in base:
         for _ in range(3):
             i = rng.randrange(len(b))
@@ -203,6 +203,16 @@ def test_repeats_odd_rows(spark, odd):
     assert repeats.repeats_removed(odd.where("false")).count() == 0
 
 
+def test_runs_are_thinned():
+    """A text of one letter has few anchors, which cover the same bytes."""
+    places, same = np.arange(100_000), np.zeros(100_000, np.uint64)
+    at = repeats.thinned(places, same, same)
+    assert at[0] == 0 and at[-1] == 99_999 and len(at) < 600 and np.diff(at).max() <= repeats.WINDOW
+    mixed = np.array([1, 1, 2, 2, 2, 1], np.uint64)
+    assert repeats.thinned(np.arange(6), mixed, mixed).tolist() == [0, 1, 2, 4, 5]
+    assert repeats.thinned(np.arange(0), mixed[:0], mixed[:0]).tolist() == []
+
+
 def test_deep_shallow_sorting():
     rng = random.Random(1)
     for alphabet in (b"\0a", b"\0", bytes(range(256))):
