@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flankline import config
-from flankline.operators import catalog, evaluate, lineage, reports
-from flankline.plans import discovery
+from flankline.operators import anchors, catalog, evaluate, lineage, reports
+from flankline.plans import discovery, stages
 from flankline.session import local_session
 from flankline.sources import files, generate, store
 
@@ -47,6 +47,10 @@ def report(spark: SparkSession, run: str, out: str) -> None:
         reports.write_csv(reports.table(reports.top_candidates(candidates, analyte), "T2_top30_co_candidates"), f"{out}/top30_{analyte}")
     reports.write_csv(reports.table(enrichment, "T4_regulator_family_enrichment"), f"{out}/T4_regulator_family_enrichment")
     reports.write_csv(reports.table(archetypes, "T5_archetype_catalog"), f"{out}/T5_archetype_catalog")
+    none = spark.createDataFrame([], "analyte string, hit boolean")
+    for name, rows in reports.figure_data(none, loci, archetypes, enrichment, candidates).items():
+        if name != "figure_1_workflow_and_recovery":  # a run need not have a benchmark
+            reports.write_csv(rows, f"{out}/{name}")
     texts = reports.captions(loci, archetypes, spark.createDataFrame([], "analyte string, hit boolean"), analytes, enrichment, candidates)
     texts = {figure: text for figure, text in texts.items() if figure != "recovery"}  # a run need not have a benchmark
     reports.write_captions(texts, spark, f"{out}/captions")
@@ -87,6 +91,27 @@ def main(argv: Sequence[str] | None = None) -> int:
     tables = commands.add_parser("report", help="report tables and captions of a run's folder")
     for name in ("run", "out"):
         tables.add_argument(f"--{name}", required=True)
+    for name, more, text in (
+        ("annotate", ("domains",), "genes of a run with their domains"),
+        ("assign-roles", ("config",), "classes and roles of a run's genes; sensor-regulator pairs"),
+        ("score", ("config",), "scores of a run's loci; its candidates"),
+        ("enrich", ("case", "control"), "enrichment of one analyte against another, and its robustness"),
+        ("archetypes", ("config",), "archetypes of a run; its candidates' final scores"),
+        ("evaluate-benchmark", ("benchmark", "hits"), "recovery of curated rows and its metrics"),
+    ):
+        stage = commands.add_parser(name, help=text)
+        for option in ("run", *more):
+            stage.add_argument(f"--{option}", required=True)
+        if name == "score":
+            stage.add_argument("--known")
+            stage.add_argument("--taxonomy")
+            stage.add_argument("--with-enrichment", action="store_true")
+    detect = commands.add_parser("detect-anchors", help="anchor hits of a term scan (smoke), or of a table of profile hits with metadata (profile)")
+    for name in ("mode", "out"):
+        detect.add_argument(f"--{name}", required=True)
+    for name in ("root", "targets", "hits", "metadata"):
+        detect.add_argument(f"--{name}")
+    detect.add_argument("--evalue", type=float, default=1e-5)
     commands.add_parser("summary", help="counts for each dataset of the store").add_argument("--root", required=True)
     commands.add_parser("validate-config", help="read a configuration and name its faults").add_argument("--config", required=True)
     simulate = commands.add_parser("simulate", help="loci, genes and truth with planted regulators")
@@ -129,6 +154,24 @@ def main(argv: Sequence[str] | None = None) -> int:
         benchmark = spark.read.parquet(args.benchmark) if args.benchmark else None
         run = discovery.discover(store.read(spark, args.root, "features"), spark.read.parquet(args.hits), domains, taxonomy, known, config.load(args.config), args.case, args.control, args.window, benchmark)
         discovery.write(run, args.out)
+    elif args.command == "annotate":
+        stages.annotate_genes(spark, args.run, spark.read.parquet(args.domains))
+    elif args.command == "assign-roles":
+        stages.assign_roles(spark, args.run, config.load(args.config))
+    elif args.command == "score":
+        known, taxonomy = (spark.read.parquet(p) if p else None for p in (args.known, args.taxonomy))
+        stages.score(spark, args.run, config.load(args.config), known, taxonomy, args.with_enrichment)
+    elif args.command == "enrich":
+        stages.enrich(spark, args.run, args.case, args.control)
+    elif args.command == "archetypes":
+        stages.archetypes(spark, args.run, config.load(args.config))
+    elif args.command == "evaluate-benchmark":
+        rows = files.read_benchmark(spark, args.benchmark, ["expected_sensory_domains", "pmid"], ["verify_pmid"])
+        stages.evaluate_benchmark(spark, args.run, rows, spark.read.parquet(args.hits))
+    elif args.command == "detect-anchors":
+        order = [F.desc("bitscore"), F.col("e_value"), F.col("query_id")]
+        runs = {"smoke": lambda: scan(spark, args.root, args.targets), "profile": lambda: anchors.rescued(spark.read.parquet(args.hits), spark.read.parquet(args.metadata), order, args.evalue)}
+        anchors.detect(args.mode, **runs).write.mode("overwrite").parquet(args.out)
     elif args.command == "report":
         report(spark, args.run, args.out)
     elif args.command == "summary":

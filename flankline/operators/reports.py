@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flankline.operators import scans
 from flankline.operators.evaluate import joined_lists, selected, top_k
 
 # fixed values: columns of the report tables
@@ -69,6 +70,50 @@ def family_chemistry(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("analyte", "regulator_class", chemistry.alias("chemistry")).agg(F.count("*").alias("n")).orderBy("analyte", "regulator_class", "chemistry")
 
 
+def locus_landscape(loci: DataFrame) -> DataFrame:
+    """(place, analyte, locus_id, locus_score, locus_confidence): loci numbered by analyte and score, as points along an axis."""
+    rows = loci.select("analyte", "locus_id", "locus_score", F.coalesce("locus_confidence", F.lit("low")).alias("locus_confidence"))
+    return scans.numbered(rows, [], ["analyte", "locus_score", "locus_id"], "place").withColumn("place", F.col("place") - 1)
+
+
+def archetype_atlas(archetypes: DataFrame, k: int = 12) -> DataFrame:
+    """(label, n_loci) of the archetypes with the most loci, ties by id."""
+    top = archetypes.orderBy(F.desc("n_loci"), "archetype_id", "analyte").limit(k)
+    return top.select(F.format_string("%s (%s)", "archetype_id", "analyte").alias("label"), "n_loci")
+
+
+def chemistry_partition(enrichment: DataFrame) -> DataFrame:
+    """(label, odds_ratio, q_value, size): a point for each feature, larger for smaller q."""
+    size = F.greatest(F.lit(30.0), (F.lit(1.0) - F.col("q_value")) * 180.0)
+    return enrichment.select(F.concat_ws(" ", "analyte", "feature_name").alias("label"), "odds_ratio", "q_value", size.alias("size"))
+
+
+def candidate_ranking(candidates: DataFrame, k: int = 30) -> DataFrame:
+    """(candidate_id, score) of the first candidates by the logit score where there is one, ties by id."""
+    score = "regulation_logit_score" if "regulation_logit_score" in candidates.columns else "candidate_score"
+    return candidates.orderBy(F.desc_nulls_first(score), "candidate_id").limit(k).select("candidate_id", F.col(score).alias("score"))
+
+
+def structure_hypotheses(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """(candidate_id, score) of the first candidates by structural plausibility; those without one are left out."""
+    if "structural_plausibility_score" not in candidates.columns:
+        return candidates.where("false").select("candidate_id", F.lit(0.0).alias("score"))
+    scored = candidates.where(F.col("structural_plausibility_score").isNotNull())
+    return scored.orderBy(F.desc("structural_plausibility_score"), "candidate_id").limit(k).select("candidate_id", F.col("structural_plausibility_score").alias("score"))
+
+
+def figure_data(recovery: DataFrame, loci: DataFrame, archetypes: DataFrame, enrichment: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
+    """What the six figures show."""
+    return {
+        "figure_1_workflow_and_recovery": recovery_figures(recovery),
+        "figure_2_locus_landscape": locus_landscape(loci),
+        "figure_3_archetype_atlas": archetype_atlas(archetypes),
+        "figure_4_chemistry_partition": chemistry_partition(enrichment),
+        "figure_5_candidate_ranking": candidate_ranking(candidates),
+        "figure_6_structure_hypotheses": structure_hypotheses(candidates),
+    }
+
+
 def short_number(value: float | None, digits: int = 2) -> str:
     return "not scored" if value is None else f"{value:.{digits}g}"
 

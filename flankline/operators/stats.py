@@ -252,10 +252,11 @@ def score_bands(rows: DataFrame, score: str, weight: float = 24.0, tails: tuple[
 def matched_controls(pool: DataFrame, cases: DataFrame, key: Sequence[str], locus: str, per_case: int, seed: str = "controls") -> DataFrame:
     """``per_case`` controls for each case from the same match key, none used twice, the same on every run.
 
-    Pool rows stand in the order of a seeded digest; the k-th case of a key takes the k-th run of ``per_case`` of them.
+    Pool rows stand in the order of a seeded digest; the k-th case of a key takes the k-th run of ``per_case`` of them. Both
+    are numbered by scans over ranges, so that a match key of very many rows is not one task.
     """
     digest = F.md5(F.concat(F.lit(seed + ":"), F.col(locus).cast("string")))
-    numbered = cases.select(*key, F.col(locus).alias("case_id")).withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("case_id")) - 1)
+    numbered = scans.numbered(cases.select(*key, F.col(locus).alias("case_id")), key, ["case_id"], "__k").withColumn("__k", F.col("__k") - 1)
     free = pool.join(cases.select(locus), locus, "left_anti").withColumn("__d", digest)
-    free = free.withColumn("__k", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("__d", locus)) - 1) / per_case))
+    free = scans.numbered(free, key, ["__d", locus], "__k").withColumn("__k", F.floor((F.col("__k") - 1) / per_case))
     return free.join(numbered, [*key, "__k"]).drop("__d", "__k").withColumn("locus_confidence", F.lit("control"))

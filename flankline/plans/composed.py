@@ -203,3 +203,24 @@ def robustness_tests(spark, sf_dir):
     rows = base.enrichment_rows(spark, sf_dir)
     out = stats.robustness(rows, ["feature"], "o_orderkey", "c_mktsegment", "BUILDING", {"none": None, "one_per_genus": "n_name"}, "o_totalprice", test="fisher")
     return out.select("deduplication_policy", "feature", "n_a", "n_c", r6("p_value").alias("p_value"), r6("q_value").alias("q_value"))
+
+
+# ---------------------------------------------------------------- what figures show
+
+
+@query(f"""WITH {base.LOCI_SQL} SELECT row_number() OVER (ORDER BY c_mktsegment, locus_score, o_orderkey) - 1 AS place, c_mktsegment AS analyte, o_orderkey AS locus_id, round(locus_score, 6) AS locus_score,
+CASE WHEN locus_score >= 6 THEN 'high' WHEN locus_score >= 3.5 THEN 'medium' WHEN locus_score >= 1.5 THEN 'low' ELSE 'control' END AS locus_confidence FROM lo""")
+def figure_landscape(spark, sf_dir):
+    return reports.locus_landscape(base.scored_loci(spark, sf_dir)).withColumn("locus_score", r6("locus_score"))
+
+
+@query(f"WITH {base.LOCI_SQL} SELECT c_nationkey || ' (' || c_mktsegment || ')' AS label, count(*) AS n_loci FROM lo GROUP BY c_nationkey, c_mktsegment ORDER BY n_loci DESC, CAST(c_nationkey AS VARCHAR), c_mktsegment LIMIT 12")
+def figure_archetypes(spark, sf_dir):
+    loci = base.scored_loci(spark, sf_dir).groupBy("analyte", F.col("cluster_id").cast("string").alias("archetype_id")).agg(F.count("*").alias("n_loci"))
+    return reports.archetype_atlas(loci)
+
+
+@query(f"SELECT candidate_id, candidate_score AS score FROM (WITH {base.CANDIDATES_SQL}) ORDER BY candidate_score DESC, candidate_id LIMIT 30")
+def figure_ranking(spark, sf_dir):
+    scored = base.candidate_rows(spark, sf_dir).select("candidate_id", r6("candidate_score").alias("candidate_score"))
+    return reports.candidate_ranking(scored)

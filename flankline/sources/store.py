@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flankline.sources import commits
 
 PARTITIONS = ["phylum", "dataset_name"]
+TAXONOMY: dict[str, str | int] = {"taxon_id": 0, "superkingdom": "", "phylum": "", "class": "", "order": "", "family": "", "genus": "", "species": ""}
 SHARD_COLUMNS = ["shard_id", "shard_no", "n_datasets", "dataset_names", "group"]
 
 
@@ -79,8 +80,8 @@ def register_views(spark: SparkSession, root: str) -> None:
 
 
 def with_dataset(rows: DataFrame, dataset: str, taxonomy: dict[str, str | int]) -> DataFrame:
-    """Literal dataset and taxonomy columns; an empty phylum is ``unknown``."""
-    out = rows.withColumn("dataset_name", F.lit(dataset))
-    for k, v in taxonomy.items():
-        out = out.withColumn(k, F.lit(v))
-    return out.withColumn("phylum", F.coalesce(F.nullif(F.col("phylum"), F.lit("")), F.lit("unknown")) if "phylum" in out.columns else F.lit("unknown"))
+    """Literal dataset and taxonomy columns: unknown ranks are empty, an unknown taxon is 0, an empty phylum is ``unknown``; keys that are
+    no part of a taxonomy are left out."""
+    known = TAXONOMY | {k: v for k, v in taxonomy.items() if k in TAXONOMY and v is not None}
+    known["phylum"] = known["phylum"] or "unknown"
+    return rows.withColumns({"dataset_name": F.lit(dataset), "taxon_id": F.lit(int(known["taxon_id"])).cast("long"), **{k: F.lit(str(v)) for k, v in known.items() if k != "taxon_id"}})

@@ -101,3 +101,36 @@ def test_shard_manifest(spark, tmp_path):
     rows.drop("group").write.parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError):
         store.read_shards(spark, str(tmp_path / "t"))
+
+
+def test_figure_data(spark):
+    from flankline.operators import reports
+
+    candidates = spark.createDataFrame([("c1", 0.5, None), ("c2", 0.9, 0.2), ("c3", 0.9, 0.7)], "candidate_id string, candidate_score double, structural_plausibility_score double")
+    loci = spark.createDataFrame([("CO", "l2", 2.0, "low"), ("CO", "l1", 1.0, None), ("CN", "l3", 9.0, "high")], "analyte string, locus_id string, locus_score double, locus_confidence string")
+    archetypes = spark.createDataFrame([(f"a{k:02d}", "CO", k % 5) for k in range(20)], "archetype_id string, analyte string, n_loci int")
+    enrichment = spark.createDataFrame([("CO", "x", 2.0, 0.1), ("CO", "y", 1.0, 1.0)], "analyte string, feature_name string, odds_ratio double, q_value double")
+    recovery = spark.createDataFrame([("CO", True), ("CO", False)], "analyte string, hit boolean")
+    data = reports.figure_data(recovery, loci, archetypes, enrichment, candidates)
+    got = {name.split("_")[1]: [tuple(r) for r in df.collect()] for name, df in data.items()}
+    assert got["1"] == [("CO", 1, 2, 50.0)]
+    assert sorted((r.place, r.locus_id, r.locus_confidence) for r in data["figure_2_locus_landscape"].collect()) == [(0, "l3", "high"), (1, "l1", "low"), (2, "l2", "low")]
+    assert got["3"][:2] == [("a04 (CO)", 4), ("a09 (CO)", 4)] and len(got["3"]) == 12
+    assert got["4"] == [("CO x", 2.0, 0.1, 162.0), ("CO y", 1.0, 1.0, 30.0)]
+    assert got["5"] == [("c2", 0.9), ("c3", 0.9), ("c1", 0.5)]
+    assert got["6"] == [("c3", 0.7), ("c2", 0.2)]
+    assert reports.structure_hypotheses(candidates.drop("structural_plausibility_score")).count() == 0
+
+
+def test_contigs_and_stand_in_names(spark):
+    from flankline.plans import discovery
+
+    rows = [("d", "c1", "CDS", k * 10, k * 10 + 5, "+", "" if k == 2 else f"p{k}", f"t{k}", "", "x", "" if k == 1 else f"f{k}") for k in range(4)] + [("d", "c2", "CDS", 0, 5, "+", "p9", "t9", "", "x", "f9")]
+    features = spark.createDataFrame(rows, "dataset_name string, seqid string, feature_type string, start_nt long, end_nt long, strand string, protein_accession string, locus_tag string, gene string, product string, feature_id string")
+    hits = spark.createDataFrame([("CO", "cox", "d", "p1", "t1", "")], "analyte string, anchor_family string, dataset_name string, protein_accession string, locus_tag string, gene string")
+    contigs = spark.createDataFrame([("d", "c1")], "dataset_name string, seqid string")
+    loci, genes = discovery.extract(features, hits, 2, contigs)
+    assert [r.gene_accession for r in genes.orderBy("relative_index").collect()] == ["p0", "p1", "f2", "p3"]
+    assert discovery.genes_of(genes, loci, "CO").count() == 4 and discovery.genes_of(genes, loci, "CN").count() == 0
+    with pytest.raises(ValueError):
+        discovery.extract(features, hits, 2, contigs.where("seqid = 'c2'"))
