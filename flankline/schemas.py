@@ -51,7 +51,7 @@ VALUES = {
     "test": ("cmh", "fisher"),
     "sensing_evidence_class": ("direct", "indirect", "inferred", "none"),
 }
-DEFAULTS = {"locus_confidence": "low", "strand": "+", "functional_class": "unknown", "regulator_class": "none", "sensor_role": "none"}
+DEFAULTS = {"locus_confidence": "low", "strand": "+", "position": "internal", "architecture_scope": "locus_neighborhood", "sensing_evidence_class": "none", "functional_class": "unknown", "regulator_class": "none", "sensor_role": "none"}
 SHARES = ("p_value", "q_value", "candidate_score_q", "regulation_logit_score", "score_band_low", "score_band_high")
 # end of fixed values
 
