@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flankline.functions.numerics import beta_quantile_udf, chi_square_tail_udf, erfc_udf, fisher_p_udf
 from flankline.functions.scalars import logit_score
 from flankline.operators import scans
+from flankline.session import checkpoint_folder
 
 
 #: Bits of one of Spark's bitmaps.
@@ -130,7 +131,10 @@ def robustness(rows: DataFrame, feature: Sequence[str], locus: str, side: str, c
 
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value", run: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """q values and labels by run. p values are counted first, so ties are one row; ranks and the step-up minimum are scans over
-    ranges of p, so neither many tests nor one large run is a single task. A null p has no q."""
+    ranges of p, so neither many tests nor one large run is a single task. A null p has no q. Tests are saved first: computed twice,
+    sums of floats may differ in their last bit, and q values are joined by p."""
+    checkpoint_folder(rows.sparkSession)
+    rows = rows.checkpoint()
     values = rows.where(F.col(p).isNotNull()).groupBy(*run, F.col(p).alias("__p_value")).agg(F.count("*").alias("__c"))
     sorted_ = scans.ranged(values, run, ["__p_value"])
     ranked = scans.running_sums(sorted_, run, ["__p_value"], {"__r": F.col("__c")})

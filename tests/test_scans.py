@@ -92,3 +92,10 @@ def test_curves_of_one_group(spark):
     assert evaluate.average_precision(df, "y", "s", ["k"], []).first()[0] == pytest.approx(total / hits)
     ranked = {r.k: r["rank"] for r in evaluate.ranks(df, "s", ["k"]).collect()}
     assert ranked == {k: i for i, (k, _, _) in enumerate(sorted(data, key=lambda r: (-r[1], r[0])), 1)}
+
+
+def test_q_values_of_rows_that_are_computed_anew(spark):
+    """p values that come out differently each time they are computed still have their q."""
+    rows = spark.range(200, numPartitions=4).select("id", (F.rand() * 0.9).alias("p_value"))
+    rows = rows.withColumn("p_value", F.col("p_value") + F.udf(lambda: __import__("random").random() * 1e-12, "double").asNondeterministic()())
+    assert stats.benjamini_hochberg(rows).where("q_value IS NULL").count() == 0
