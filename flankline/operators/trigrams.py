@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flankline.session import FEW, joining, saved
+
 GRAM = 3
 #: Of a term's grams, so many of the rarest are looked up.
 LOOKED_UP = 3
@@ -81,6 +83,8 @@ def candidates(posted: DataFrame, known: DataFrame | None, terms: DataFrame, wil
         wanted, rarity = wanted.join(known, "gram", "left"), F.coalesce("n_texts", F.lit(0))
     few = wanted.groupBy("term").agg(F.slice(F.array_sort(F.collect_list(F.struct(rarity.alias("n"), "gram"))), 1, LOOKED_UP).alias("g"))
     looked_up = few.select("term", F.size("g").alias("of"), F.explode("g.gram").alias("gram"))
+    # postings are many times the texts: they stay where they are and only grams that are looked up leave a task
+    looked_up = joining(looked_up, LOOKED_UP * terms.limit(FEW).count())
     met = looked_up.join(posted, "gram").groupBy("term", "text_id").agg(F.count_distinct("gram").alias("n"), F.any_value("of").alias("of"))
     found = met.where("n = of").select("term", "text_id")
     short = asked.where(F.forall("pieces", lambda p: F.length(p) < GRAM))
@@ -88,7 +92,8 @@ def candidates(posted: DataFrame, known: DataFrame | None, terms: DataFrame, wil
         return found, short.select("term")
     longest = short.where("size(pieces) > 0").select("term", F.array_max(F.transform("pieces", lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"].alias("piece"))
     parts = F.array_distinct(F.array(*(F.substring("gram", i + 1, n) for n in range(1, GRAM) for i in range(GRAM - n + 1))))
-    stands_for = longest.join(known.select("gram", F.explode(parts).alias("piece")), "piece").select("term", "gram")
+    stands_for = saved(longest.join(known.select("gram", F.explode(parts).alias("piece")).hint("merge"), "piece").select("term", "gram"))
+    stands_for = joining(stands_for, stands_for.count())
     found = found.union(stands_for.join(posted, "gram").select("term", "text_id").distinct())
     return found, short.where("size(pieces) = 0").select("term")
 
@@ -96,18 +101,20 @@ def candidates(posted: DataFrame, known: DataFrame | None, terms: DataFrame, wil
 def matches(rows: DataFrame, terms: DataFrame, term: str, columns: Sequence[str], index: tuple[DataFrame, DataFrame] | None = None, wildcards: bool = True) -> DataFrame:
     """Rows joined with the terms that one of their columns holds, case aside: what a nested loop over both would find, with
     ``%term%`` as a LIKE pattern or, without ``wildcards``, by containment (an empty term is then in no row). ``index`` is
-    that of the rows' ``columns``; without it grams are made on the way, and only looked-up ones leave their task's join."""
-    posted, known = index or (postings(rows, columns), None)
+    that of the rows' ``columns``; without it grams are made on the way, and only looked-up ones leave their task's join.
+    Neither the rows nor their grams are ever sent to every task; the texts found are, if they are few."""
+    posted, known = index or (postings(rows.select(*columns).distinct(), columns), None)
     each = terms.select(F.col(term).alias("term")).where("term IS NOT NULL" + ("" if wildcards else " AND term <> ''")).distinct()
     found, every = candidates(posted, known, each, wildcards)
     named = [F.col(c).alias(f"__{c}") for c in rows.columns]
     numbered = rows.select(*named, text_id(columns).alias("text_id"))
-    met = numbered.join(found, "text_id").select(*(f"__{c}" for c in rows.columns), "term")
+    found = saved(found)
+    met = numbered.join(joining(found, found.count()), "text_id").select(*(f"__{c}" for c in rows.columns), "term")
     if not every.isEmpty():
-        met = met.unionByName(numbered.drop("text_id").join(every))
+        met = met.unionByName(numbered.drop("text_id").crossJoin(F.broadcast(every)))
     hit = F.lit(False)
     for c in columns:
         text, wanted = F.col(f"__{c}"), F.col("term")
         hit |= F.coalesce(F.ilike(text, F.concat(F.lit("%"), wanted, F.lit("%"))) if wildcards else F.contains(F.lower(text), F.lower(wanted)), F.lit(False))
     met = met.where(hit).select(*(F.col(f"__{c}").alias(c) for c in rows.columns), F.col("term").alias("__term"))
-    return met.join(terms.withColumn("__term", F.col(term)), "__term").drop("__term")
+    return met.join(joining(terms.withColumn("__term", F.col(term)), terms.limit(FEW + 1).count()), "__term").drop("__term")

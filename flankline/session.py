@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,6 +18,10 @@ DEFAULTS = {
 }
 
 
+#: A side of a join with at most so many rows is sent to every task.
+FEW = 100_000
+
+
 def local_session(cores: int | None = None, memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
@@ -42,3 +48,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="flankline-")
             context.setCheckpointDir(folder)
     return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder and read back: later plans know the size of its files. A ``checkpoint()`` keeps the
+    size that its plan guessed, and the guess for a join is a product: in a loop of joins that number has as many digits as 2 to the rounds."""
+    path = f"{checkpoint_folder(df.sparkSession)}/flankline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joining(side: DataFrame, n: int) -> DataFrame:
+    """The side of a join that has ``n`` rows: sent to every task if they are few, else sorted and merged, whatever the size of its
+    files: small files may hold very many rows, and what is sent to every task passes through the driver."""
+    return F.broadcast(side) if n <= FEW else side.hint("merge")

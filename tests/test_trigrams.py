@@ -59,6 +59,19 @@ def test_plans_have_no_nested_loop(spark, tables):
         assert "Join Inner, " in plan and "Join Inner\n" not in plan
 
 
+def test_small_files_are_not_sent_to_every_task(spark, tables, tmp_path):
+    """Rows in a file of few bytes may be very many: only terms and what is found are sent to every task."""
+    rows, terms = tables
+    rows.write.parquet(str(tmp_path / "rows"))
+    kept = spark.read.parquet(str(tmp_path / "rows"))
+    found, _ = trigrams.candidates(trigrams.postings(kept, ["text"]), None, terms.where("term in ('abc', 'bon')").select("term").distinct())
+    for df, keys in ((found, "[gram"), (trigrams.matches(kept, terms.where("term in ('abc', 'bon')"), "term", ["text"]), "[__term")):
+        joins = [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and keys in line]
+        assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and ("BuildLeft" if keys == "[gram" else "BuildRight") in joins[0]
+    loop = trigrams.matches(kept, terms.where("term in ('B', '%')"), "term", ["text"])._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildRight" in loop  # terms that are compared with every row go to the rows
+
+
 def test_search_by_index(spark, tables, tmp_path):
     rows, _ = tables
     trigrams.write_index(rows, ["text"], str(tmp_path))
