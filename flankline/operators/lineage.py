@@ -4,10 +4,13 @@
 steps takes log2(m) rounds of one equality join. On parent pointers it gives each node's depth, in log2(depth) rounds. Whoever
 still has a pointer after log2(n) rounds is on a cycle or below one: that is how cycles are found, and no depth is taken for one.
 
-*Intervals*: a walk around a tree goes down to each node and up from it. Each step of the walk is known from the tree alone: after
-going down to a node comes its first child or the way back up; after coming up from it its next sibling or its parent's way
-up. So the walk is a list of 2 n steps, and its ranks give every node ``pre`` (its number in depth-first order, from 1), ``last`` (the
-greatest number below it) and ``depth``. Then "below this node" is ``pre BETWEEN``, and there are as many rows as nodes.
+*Counts below*: whoever points somewhere also hands on what it has counted itself. After k rounds a node has counted what is less
+than 2^k steps below it, so log2(depth) rounds give the size of every subtree.
+
+*Intervals*: in depth-first order a node stands behind its parent, after all that is below its elder siblings. A running sum
+of sizes over siblings, by ranges of sorted rows, says how far; the sum of those steps up to the root is one more pointer jumping.
+That gives every node ``pre`` (its number in depth-first order, from 1), ``last`` (the greatest number below it) and ``depth``. Then
+"below this node" is ``pre BETWEEN``, and there are as many rows as nodes.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from collections.abc import Sequence
 from math import ceil, log2
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flankline.session import checkpoint_folder
+from flankline.operators import scans
+from flankline.session import joining, saved
 
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
@@ -27,65 +31,60 @@ RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species
 def parents(nodes: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, up): the parent of each node; null for a root, which is its own parent, has none or has one that is no node."""
     pairs = nodes.select(F.col(child).alias("node"), F.col(parent).alias("up"))
-    known = pairs.select(F.col("node").alias("up")).distinct().withColumn("__known", F.lit(True))
-    return pairs.join(known, "up", "left").select("node", F.when(F.col("__known") & (F.col("up") != F.col("node")), F.col("up")).alias("up"))
+    # parents are few beside nodes: only they are looked for
+    known = saved(pairs.select("up").distinct().join(pairs.select(F.col("node").alias("up")).hint("merge"), "up", "left_semi").withColumn("__known", F.lit(True)))
+    return pairs.join(joining(known, known.count()), "up", "left").select("node", F.when(F.col("__known") & (F.col("up") != F.col("node")), F.col("up")).alias("up"))
 
 
-def jumped(steps: DataFrame, most: int) -> DataFrame:
+def jumped(steps: DataFrame, most: int, handed: Sequence[str] = ()) -> DataFrame:
     """(step, next, the sums from each step to its list's end) of (step, next and columns to sum), after at most ``most`` rounds;
-    ``next`` is null unless the list has no end. Rounds are saved; rows that have arrived join no more."""
-    sums = [c for c in steps.columns if c not in ("step", "next")]
-    now = steps.checkpoint()
+    ``next`` is null unless the list has no end. Columns of ``handed`` are summed the other way: over a step and all whose lists
+    lead through it. Rounds are saved, as are the rows that others point to, which are few where many point to one."""
+    sums = [c for c in steps.columns if c not in ("step", "next", *handed)]
+    now = saved(steps)
     for _ in range(most):
-        moving = now.where("next IS NOT NULL")
-        if moving.isEmpty():
+        asked = saved(now.where("next IS NOT NULL").groupBy("next").agg(F.lit(True).alias("__asked"), *(F.sum(c).alias(f"__{c}") for c in handed)))
+        n = asked.count()
+        if not n:
             break
-        ahead = now.select(F.col("step").alias("next"), F.col("next").alias("__far"), *(F.col(c).alias(f"__{c}") for c in sums))
-        moved = moving.join(ahead, "next").select("step", F.col("__far").alias("next"), *((F.col(c) + F.col(f"__{c}")).alias(c) for c in sums))
-        now = now.where("next IS NULL").select("step", "next", *sums).union(moved).checkpoint()
+        asked = joining(asked, n)
+        came = asked.select(F.col("next").alias("step"), *(f"__{c}" for c in handed))
+        ahead = saved(now.select(F.col("step").alias("next"), F.col("next").alias("__far"), *(F.col(c).alias(f"__{c}") for c in sums)).join(asked.select("next"), "next"))
+        met = now.join(came, "step", "left") if handed else now
+        met = met.join(joining(ahead, n), "next", "left")
+        added = ((F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in (*sums, *handed))
+        now = saved(met.select("step", F.col("__far").alias("next"), *added))
     return now
 
 
-def depths(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
-    """(node, up, depth) of every node, roots at 0; cycles and nodes that are listed twice are errors."""
-    checkpoint_folder(nodes.sparkSession)
-    tree = parents(nodes, child, parent).checkpoint()
+def sized(nodes: DataFrame, child: str, parent: str) -> tuple[DataFrame, int]:
+    """(node, up, depth, below) of every node, and their number: roots are at depth 0, and a node is below itself. Cycles and nodes that are listed
+    twice are errors."""
+    tree = saved(parents(nodes, child, parent))
     n = tree.count()
     if tree.select("node").distinct().count() != n:
         raise ValueError("a node is listed twice")
-    told = jumped(tree.select(F.col("node").alias("step"), F.col("up").alias("next"), F.col("up").isNotNull().cast("long").alias("depth")), ceil(log2(n + 1)) + 1)
+    told = jumped(tree.select(F.col("node").alias("step"), F.col("up").alias("next"), F.col("up").isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("below")), ceil(log2(n + 1)) + 1, ["below"])
     if not told.where("next IS NOT NULL").isEmpty():
         raise ValueError("the taxonomy has a cycle")
-    return tree.join(told.select(F.col("step").alias("node"), "depth"), "node").select("node", "up", "depth")
+    return tree.join(told.select(F.col("step").alias("node"), "depth", "below").hint("merge"), "node").select("node", "up", "depth", "below"), n
 
 
-def with_following(tree: DataFrame) -> DataFrame:
-    """Add ``following``, the next node with the same ``up``. Rows are sorted in ranges of (up, node), so that a node with very
-    many children is several tasks; the last row of a range looks at the first of the next."""
-    ranged = tree.repartitionByRange("up", "node").withColumn("__part", F.spark_partition_id()).checkpoint()
-    following = F.lead(F.struct("up", "node")).over(Window.partitionBy("__part").orderBy("up", "node"))
-    firsts = ranged.groupBy("__part").agg(F.min(F.struct(F.col("up").isNotNull().alias("o"), "up", "node")).alias("f"))  # one row for each range
-    border = firsts.select("__part", F.lead("f").over(Window.orderBy("__part")).alias("__next"))
-    rows = ranged.withColumn("__then", following).join(border, "__part")
-    then = F.coalesce("__then", F.struct(F.col("__next.up").alias("up"), F.col("__next.node").alias("node")))
-    return rows.withColumn("__then", then).select(*tree.columns, F.when(F.col("__then.up").eqNullSafe(F.col("up")), F.col("__then.node")).alias("following"))
+def depths(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
+    """(node, up, depth) of every node, roots at 0; cycles and nodes that are listed twice are errors."""
+    return sized(nodes, child, parent)[0].drop("below")
 
 
 def intervals(nodes: DataFrame, child: str = "taxon_id", parent: str = "parent_id") -> DataFrame:
     """(node, up, pre, last, depth): the nodes' intervals; children stand in order of their ids, and so do the trees of a forest."""
-    tree = depths(nodes, child, parent).checkpoint()
-    n = tree.count()
+    tree, n = sized(nodes, child, parent)
     if not n:
         return tree.select("node", "up", F.col("depth").alias("pre"), F.col("depth").alias("last"), "depth")
-    eldest = tree.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.min("node").alias("eldest"))
-    known = with_following(tree).join(eldest, "node", "left")
-    step = lambda down, node: F.struct(F.lit(down).alias("down"), F.col(node).alias("node"))
-    down = known.select(step(True, "node").alias("step"), F.when(F.col("eldest").isNotNull(), step(True, "eldest")).otherwise(step(False, "node")).alias("next"), F.lit(1).cast("long").alias("down"))
-    up = known.select(step(False, "node").alias("step"), F.when(F.col("following").isNotNull(), step(True, "following")).when(F.col("up").isNotNull(), step(False, "up")).alias("next"), F.lit(0).cast("long").alias("down"))
-    walked = jumped(down.union(up), ceil(log2(2 * n)) + 1)
-    # ``down`` counts the nodes that are still to come
-    ends = walked.groupBy("step.node").agg(F.max(F.when(F.col("step.down"), F.col("down"))).alias("there"), F.max(F.when(~F.col("step.down"), F.col("down"))).alias("back"))
-    return tree.join(ends, "node").select("node", "up", (F.lit(n + 1) - F.col("there")).alias("pre"), (F.lit(n) - F.col("back")).alias("last"), "depth")
+    placed = scans.running_sums(scans.ranged(tree, ["up"], ["node"]), ["up"], ["node"], {"elder": F.col("below")}, inclusive=False).drop(scans.PART)
+    placed = saved(placed)
+    told = jumped(placed.select(F.col("node").alias("step"), F.col("up").alias("next"), (F.col("elder") + 1).alias("pre")), ceil(log2(n + 1)) + 1)
+    met = placed.join(told.select(F.col("step").alias("node"), "pre").hint("merge"), "node")
+    return met.select("node", "up", "pre", (F.col("pre") + F.col("below") - 1).alias("last"), "depth")
 
 
 def below(placed: DataFrame, node) -> DataFrame:
@@ -98,14 +97,14 @@ def ancestor_closure(nodes: DataFrame, child: str = "taxon_id", parent: str = "p
     """(node, ancestor, distance) for every node and each of its ancestors, itself at 0.
 
     Path lengths double with each join, so a tree of depth d takes log2(d) rounds. Depths come first, which find cycles."""
-    placed = depths(nodes, child, parent).checkpoint()
+    placed = saved(depths(nodes, child, parent))
     deepest = placed.agg(F.max("depth")).first()[0] or 0
     paths = placed.where("up IS NOT NULL").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
     reach = 1
     while reach < deepest:
         jump = paths.where(F.col("distance") == reach).select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
         longer = paths.join(jump, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + reach).alias("distance"))
-        paths = paths.union(longer).checkpoint()  # read by every later round; the plan must not double with it
+        paths = saved(paths.union(longer))  # read by every later round; the plan must not double with it
         reach *= 2
     return placed.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).union(paths)
 
@@ -126,7 +125,8 @@ def lineages(placed: DataFrame, names: DataFrame, ranks: Sequence[str], size: in
     those that hold all of it are one name for each rank, the others begin or end inside. ``names``: node, rank, name, one
     row for a node; of two ancestors of one rank the greatest name counts."""
     order = list(ranks)
-    every = placed.join(names, "node", "left").withColumn("range", F.floor(F.col("pre") / size)).checkpoint()
+    # names are as many as nodes: neither they nor what is collected of them may be sent to every task
+    every = saved(placed.join(names.hint("merge"), "node", "left").withColumn("range", F.floor(F.col("pre") / size)))
     first, end = F.col("range") * size, (F.col("range") + 1) * size - 1
     reached = F.explode(F.sequence(F.col("range"), F.floor(F.col("last") / size)))
     ranked = every.where(F.col("rank").isin(*order) & F.col("name").isNotNull()).select("rank", "name", "pre", "last", reached.alias("range"))
@@ -138,7 +138,7 @@ def lineages(placed: DataFrame, names: DataFrame, ranks: Sequence[str], size: in
     def run(batches):
         for batch in batches:
             kind = batch.schema.field("nodes").type.value_type.field("node").type
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 waiting, reaching, out = iter(row["inside"] or []), [], []
                 coming = next(waiting, None)
                 for n in row["nodes"]:
@@ -155,7 +155,7 @@ def lineages(placed: DataFrame, names: DataFrame, ranks: Sequence[str], size: in
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.string()) for c in columns[1:])], names=["node", "organism", *order])
 
     kind = placed.schema["node"].dataType.simpleString()
-    met = nodes.join(inside, "range", "left").join(around, "range", "left")
+    met = nodes.join(inside.hint("merge"), "range", "left").join(around.hint("merge"), "range", "left")
     return met.mapInArrow(run, f"node {kind}, organism string, " + ", ".join(f"`{r}` string" for r in order))
 
 

@@ -76,6 +76,22 @@ def test_lineages_by_closure(spark, size):
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_few_rounds_and_small_guesses(spark, monkeypatch):
+    """A flat tree takes rounds by its depth, not by its nodes, and no plan guesses a size beyond the files that it reads: guesses
+    that are squared in each round had filled the driver. Names and nodes are merged, not sent to every task."""
+    guesses = []
+    real = lineage.saved
+    monkeypatch.setattr(lineage, "saved", lambda df: guesses.append(real(df)) or guesses[-1])
+    star = spark.range(1, 5000).selectExpr("id AS taxon_id", "1L AS parent_id", "'species' AS rank", "concat('n', id) AS name")
+    placed = lineage.intervals(star)
+    assert len(guesses) <= 14
+    names = star.selectExpr("taxon_id AS node", "rank", "name")
+    out = lineage.lineages(placed, names, ["species"])
+    assert all(int(str(g._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 32 for g in guesses)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert placed.count() == out.count() == 4999
+
+
 def test_a_long_chain_is_no_cycle(spark):
     chain = spark.range(300).selectExpr("id AS taxon_id", "id - 1 AS parent_id")
     deepest = lineage.depths(chain).orderBy(F.desc("depth")).first()
