@@ -189,10 +189,11 @@ def spanning(n: int, u: np.ndarray, v: np.ndarray, distance: np.ndarray) -> np.n
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame:
+def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0, between: str | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints are at most ``limit`` bits apart: of all such pairs, those of a minimum
     spanning forest in each block, so whatever is connected stays so. ``rows`` has one row for each node: node (long), fp and
-    size; pairs whose sizes differ by more than ``size_ratio`` allows are no pairs.
+    size; pairs whose sizes differ by more than ``size_ratio`` allows are no pairs. With ``between``, a column of longs, all pairs of nodes
+    that differ in it are returned, and no others.
 
     A bucket's own rows meet all its rows, those that ask for the bucket included. Each side is cut into blocks.
     A pair that meets in several partitions counts in the first."""
@@ -201,7 +202,8 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     plan = allocation(counts, n, limit)
     keys = [k for part, (bits, threshold) in enumerate(plan) for k in _keys(part, bits, threshold)]
-    probes = rows.select("fp", "node", "size", F.explode(F.concat(*keys)).alias("k")).select("fp", "node", "size", "k.part", "k.key", "k.own")
+    carried = ["fp", "node", "size", *([between] if between else [])]
+    probes = rows.select(*carried, F.explode(F.concat(*keys)).alias("k")).select(*carried, "k.part", "k.key", "k.own")
     sizes = probes.groupBy("part", "key").agg(F.count_if("own").alias("mine"), F.count("*").alias("all")).where("mine > 0 AND `all` > 1")
     sizes = sizes.select("part", "key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("mine", "all")))
     salt = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
@@ -211,15 +213,15 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
     as_any = F.transform(upto("mine"), lambda i: F.struct(i.alias("i"), salt("all").alias("j"), F.when(F.col("own"), 1).otherwise(2).alias("role")))
     met = (
         probes.join(sizes, ["part", "key"])
-        .select("part", "key", "fp", "node", "size", F.explode(F.when(F.col("own"), F.concat(as_mine, as_any)).otherwise(as_any)).alias("p"))
+        .select("part", "key", *carried, F.explode(F.when(F.col("own"), F.concat(as_mine, as_any)).otherwise(as_any)).alias("p"))
         .groupBy("part", "key", F.col("p.i"), F.col("p.j"))
-        .agg(F.collect_list(F.struct("p.role", "fp", "node", "size")).alias("rows"))
+        .agg(F.collect_list(F.struct("p.role", *carried)).alias("rows"))
         .where(F.size("rows") > 2)
         .select("part", "rows")
     )
     earlier = [(np.uint64(sum(1 << b for b in bits)), threshold) for bits, threshold in plan]
 
-    def block(part: int, role: np.ndarray, fp: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block(part: int, role: np.ndarray, fp: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         mine, other = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
         found = []
         step = max(1, (1 << 20) // max(1, len(other)))
@@ -230,6 +232,8 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
             bits, i, j = differing[u, v], some[u], other[v]
             good = (role[j] == 2) | (node[i] < node[j])  # two of the bucket's own meet twice
             good &= np.minimum(size[i], size[j]) >= size_ratio * np.maximum(size[i], size[j])
+            if group is not None:
+                good &= group[i] != group[j]
             for mask, threshold in earlier[:part]:
                 good &= np.bitwise_count(bits & mask) > threshold
             if good.any():
@@ -237,6 +241,8 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        if group is not None:
+            return a, b
         names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         take = spanning(len(names), at[: len(a)], at[len(a) :], d)
         return a[take], b[take]
@@ -244,10 +250,10 @@ def links(rows: DataFrame, limit: int = 3, size_ratio: float = 0.0) -> DataFrame
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            role, fp, node, size = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("role", "fp", "node", "size"))
+            role, fp, *rest = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("role", *carried))
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             starts = np.concatenate([[0], ends[:-1]])
-            out = [block(p, role[s:e], fp[s:e].view(np.uint64), node[s:e], size[s:e]) for p, s, e in zip(batch.column(0).to_numpy(), starts, ends, strict=True)]
+            out = [block(p, role[s:e], fp[s:e].view(np.uint64), *(x[s:e] for x in rest)) for p, s, e in zip(batch.column(0).to_numpy(), starts, ends, strict=True)]
             a, b = (np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((), ())))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -314,7 +320,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """The rows of ``docs`` with one row left of each group of near-duplicates: that with the least id, null ids last.
 
     Texts with equal sets of shingles are one node. The rows are written once with a row number, so that
-    repeated rows and repeated ids are told apart.
+    repeated rows and repeated ids are told apart. A forest of candidates comes first. A candidate that it left out is joined by
+    others, which the texts may refuse: so where they refused some, all pairs between what is still apart are compared too.
     """
     kept, who = clear_of(docs.columns, "row", "held")
     held = saved(docs.select(F.struct(*docs.columns).alias(who), F.monotonically_increasing_id().alias(kept)), "held")
@@ -323,7 +330,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     nodes = saved(marked.groupBy("fp", "digest").agg(F.min(order).alias("least"), F.first("size").alias("size")).select("fp", "size", "least", F.col("least.row").alias("node")), "nodes")
     candidates = saved(links(nodes.select("fp", "node", "size"), limit, least), "candidates")
     texts = held.select(F.col(kept).alias("node"), F.col(f"{who}.`{text}`").alias("text"))
-    roots = components(alike(candidates, texts, shingle, least))
+    near = saved(alike(candidates, texts, shingle, least), "near")
+    reached = components(candidates).withColumnRenamed("root", "reach")
+    grouped = saved(reached.join(components(near), "node", "left").select("node", "reach", F.coalesce("root", "node").alias("group")), "grouped")
+    torn = grouped.groupBy("reach").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
+    apart = saved(nodes.select("fp", "node", "size").join(grouped.join(torn, "reach", "left_semi").select("node", "group"), "node"), "apart")
+    others = saved(links(apart, limit, least, "group").join(candidates, ["a", "b"], "left_anti"), "others")
+    roots = components(near.union(alike(others, texts, shingle, least)))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = labelled.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(kept))
     return held.join(firsts, kept, "left_semi").select(f"{who}.*")

@@ -242,3 +242,31 @@ def test_anchors_do_not_depend_on_slices(monkeypatch):
     whole = places()
     monkeypatch.setattr(repeats, "SLICE", 256)
     assert places() == whole and sorted(whole) == [2, 3, 4, 5, 6]
+
+
+def test_a_refused_chain_hides_no_near_copy(spark):
+    """Two texts alike by 0.8 are one group although a third one, nearer to both by fingerprint, is like neither."""
+    import random
+
+    from flankline.llm import simhash
+
+    def alike(x, y):
+        x, y = simhash.shingle_set(x, 5), simhash.shingle_set(y, 5)
+        return len(x & y) >= 0.8 * len(x | y)
+
+    rng, rows, found = random.Random(3), {}, 0
+    while found < 6:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(44)]
+
+        def variant(k):
+            return " ".join(base[: 44 - k] + [f"v{rng.randrange(10**6)}" for _ in range(k)])
+
+        a, marks = " ".join(base), lambda t: simhash.fingerprint(simhash.shingle_hashes(t, 5))
+        c, others = variant(4), [variant(k) for k in (5, 6, 7) for _ in range(20)]
+        far = (marks(a) ^ marks(c)).bit_count()
+        chained = [b for b in others if not alike(a, b) and not alike(b, c) and max((marks(a) ^ marks(b)).bit_count(), (marks(b) ^ marks(c)).bit_count()) < far]
+        if far <= 10 and alike(a, c) and chained:
+            rows |= {10 * found: a, 10 * found + 1: chained[0], 10 * found + 2: c}
+            found += 1
+    kept = {r.doc_id for r in simhash.one_of_each_group(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert kept == {i for i in rows if i % 10 < 2}
