@@ -111,14 +111,18 @@ def numbered(hits: DataFrame) -> DataFrame:
 def resolve(anchors: DataFrame, features: DataFrame, key: str, by: Sequence[tuple[str, str]], within: Sequence[tuple[str, str]], order: Sequence[str]) -> DataFrame:
     """One feature for each anchor: by the first identifier that matches, then by ``order``.
 
-    One equality join for each kind of identifier, united, instead of one join with OR; each can be hashed.
+    One equality join for each kind of identifier, united, instead of one join with OR; each can be hashed. Of the features that
+    share an identifier only the first by ``order`` can be taken: the others go before the join, by a combined minimum, so that an
+    anchor meets one feature for each kind however many share it.
     """
     found = None
     for rank, (mine, theirs) in enumerate(by):
         on = F.col(f"a.{mine}") == F.col(f"f.{theirs}")
         for x, y in within:
             on &= F.col(f"a.{x}") == F.col(f"f.{y}")
-        part = anchors.where(F.col(mine) != "").alias("a").join(features.alias("f"), on)
+        first = F.min_by(F.struct(*features.columns), F.struct(*order)).alias("__first")
+        one = features.groupBy(*dict.fromkeys([theirs, *(y for _, y in within)])).agg(first).select("__first.*")
+        part = anchors.where(F.col(mine) != "").alias("a").join(one.alias("f"), on)
         part = part.select(F.col(f"a.{key}").alias(key), F.lit(rank).alias("match_rank"), *(F.col(f"f.{c}").alias(c) for c in features.columns if c != key))
         found = part if found is None else found.union(part)
     return best_hits(found, key, [F.col("match_rank"), *map(F.col, order)])

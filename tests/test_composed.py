@@ -134,3 +134,13 @@ def test_contigs_and_stand_in_names(spark):
     assert discovery.genes_of(genes, loci, "CO").count() == 4 and discovery.genes_of(genes, loci, "CN").count() == 0
     with pytest.raises(ValueError):
         discovery.extract(features, hits, 2, contigs.where("seqid = 'c2'"))
+
+
+def test_an_anchor_meets_one_feature_for_each_kind(spark):
+    """However many features share an identifier, an anchor is joined with the first of them alone."""
+    a = spark.createDataFrame([(i, "hot", "d") for i in range(50)] + [(99, "", "d"), (98, "cold", "e")], "k int, tag string, d string")
+    f = spark.createDataFrame([(i, "hot", "d", 7 - i % 7) for i in range(60)] + [(70, "cold", "d", 1), (71, "cold", "e", None), (72, "cold", "e", 0)], "f int, tag string, d string, at int")
+    out = anchors.resolve(a, f, "k", [("tag", "tag")], [("d", "d")], ["at", "f"])
+    assert sorted((r.k, r.f) for r in out.collect()) == [*((i, 6) for i in range(50)), (98, 71)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join") :]
