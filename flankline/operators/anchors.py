@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.operators import scans
-from flankline.operators.seeds import best_seeds, close_matches
+from flankline.operators.annotate import once
+from flankline.operators.seeds import best_seeds, close_matches, like_lengths
 
 HIT_KEYS = ["dataset_name", "analyte", "anchor_family", "protein_accession", "locus_tag"]
 
@@ -37,7 +38,10 @@ def best_hits(hits: DataFrame, query: str, order: Sequence[Column]) -> DataFrame
 
 
 def seed_matches(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: str, identity: float = 0.95, coverage: float = 0.95) -> DataFrame:
-    """Proteins with the seeds that they match position by position, found by unchanged segments (see :mod:`seeds`)."""
+    """Proteins with the seeds that they match position by position, found by unchanged segments (see :mod:`seeds`). At
+    identity 0 all pairs of like length match."""
+    if identity == 0:
+        return like_lengths(proteins, seeds, sequence, seed, coverage)
     return close_matches(proteins, seeds, sequence, seed, identity, coverage)
 
 

@@ -95,6 +95,25 @@ def close_matches(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: st
     return pairs.where((F.col("identity") >= identity) & (F.col("coverage") >= coverage)).drop("__text", "__seed")
 
 
+def like_lengths(proteins: DataFrame, seeds: DataFrame, sequence: str, seed: str, coverage: float, dealt: int = 1 << 12) -> DataFrame:
+    """All pairs of ``proteins`` and ``seeds`` of a ``coverage``, with ``identity`` and ``coverage``: as many as the tables' product where lengths are alike.
+
+    Pairs meet by equality of the seed's band of lengths and of a share of some ``dealt`` proteins, so that no band is one task; a
+    task holds one share's rows of a band at a time. Null and empty sequences match nothing."""
+    if not 0 < coverage <= 1:
+        raise ValueError("coverage is a share over 0")
+    firsts = bands(seeds.agg(F.max(F.length(letters_of(seed)))).first()[0] or 0)
+    shares = int(proteins.count() // dealt + 1)
+    n = F.length("__text")
+    low, high = F.greatest(F.lit(1), F.ceil(n * coverage - 1e-9).cast("int")), F.floor(n / coverage + 1e-9).cast("int")
+    mine = proteins.select("*", letters_of(sequence).alias("__text"), F.pmod(F.xxhash64(sequence), F.lit(shares)).cast("int").alias("__share")).where("__text <> ''")
+    mine = mine.withColumn("__band", F.explode(F.sequence(band_of(low, firsts), band_of(high, firsts))))
+    own = seeds.select("*", letters_of(seed).alias("__seed"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("__share")).where("__seed <> ''")
+    own = own.withColumn("__band", band_of(F.length("__seed"), firsts))
+    pairs = mine.join(own, ["__band", "__share"]).withColumn("coverage", length_coverage(F.col("__text"), F.col("__seed"))).where(F.col("coverage") >= coverage)
+    return pairs.withColumn("identity", position_identity(F.col("__text"), F.col("__seed"))).drop("__text", "__seed", "__band", "__share")
+
+
 def best_of_block(text: np.ndarray, counts: np.ndarray, bodies: list[np.ndarray], seed_counts: np.ndarray, lengths: np.ndarray, numbers: list[int]) -> tuple[float, float, int, int]:
     """(identity, coverage, -number, place) of the best seed of a block; seeds whose bound is below the best are not compared."""
     shorter = np.minimum(lengths, len(text))

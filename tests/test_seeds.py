@@ -64,3 +64,15 @@ def test_rescue_with_guard(spark):
     own = spark.createDataFrame([("CO", "coxL", "MKLVMKLVMKLVMKLVMKL*V"), ("CO", "coxL", "MKLVMKLVMKLVMKLVMKLL")], "analyte string, anchor_family string, seed string")
     got = anchors.seed_rescue(proteins, own, "s", "seed", ["gene", "product"], {"coxL": ["coxl"]}).collect()
     assert [(r.protein_accession, r.identity, r.coverage, r.product, r.evidence_type) for r in got] == [("p1", 1.0, 1.0, "", "seed_back_confirmed")]
+
+
+def test_all_pairs_of_like_length(spark):
+    from flankline.operators import anchors
+
+    texts = ["ACGT", "ACGA", "TTTTT", "ACGTACGTAC", "ACGTACGTA*", "GGGGGGGGG", "", None]
+    p = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    s = spark.createDataFrame(list(enumerate(texts)), "j int, seed string")
+    own = [(i, t.replace("*", "")) for i, t in enumerate(texts) if t]
+    want = [(i, j, sum(a == b for a, b in zip(x, y)) / min(len(x), len(y))) for i, x in own for j, y in own if min(len(x), len(y)) >= 0.8 * max(len(x), len(y))]
+    for got in (anchors.seed_matches(p, s, "q", "seed", 0.0, 0.8), seeds.like_lengths(p, s, "q", "seed", 0.8, dealt=2)):
+        assert sorted((r.i, r.j, r.identity) for r in got.collect()) == sorted(want)
