@@ -69,8 +69,10 @@ def back_confirmed(hits: DataFrame, seeds: DataFrame, key: Sequence[str], sequen
 
 
 def hits_with_metadata(hits: DataFrame, metadata: DataFrame, target: str = "target_id", key: str = "protein_accession") -> DataFrame:
-    """Each hit with its target's metadata, if there is any; a target that several datasets have gives a row for each."""
+    """Each hit with its target's metadata, if there is any; a target that several datasets have gives a row for each. There may be very many rows for
+    few targets: a task's hits stand in order of their targets, so that what is written repeats itself and its files stay small."""
     side = metadata.withColumnRenamed(key, "__key")
+    hits = once(hits.sortWithinPartitions(target), __kept=F.lit(True)).drop("__kept")  # a sort right below a join would be taken out
     return hits.join(side, F.col(target) == F.col("__key"), "left").withColumn(key, F.coalesce("__key", F.col(target))).drop("__key")
 
 

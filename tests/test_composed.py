@@ -144,3 +144,10 @@ def test_an_anchor_meets_one_feature_for_each_kind(spark):
     assert sorted((r.k, r.f) for r in out.collect()) == [*((i, 6) for i in range(50)), (98, 71)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Join") :]
+
+
+def test_hits_with_metadata_are_written_by_target(spark):
+    hits = spark.createDataFrame([(i, f"s{i * 7 % 5}") for i in range(200)], "q int, target_id string").coalesce(1)
+    meta = spark.createDataFrame([(f"s{i % 4}", f"d{i}") for i in range(40)], "protein_accession string, dataset_name string")
+    got = [r.protein_accession for r in anchors.hits_with_metadata(hits, F.broadcast(meta)).collect()]
+    assert len(got) == 160 * 10 + 40 and got == sorted(got)
