@@ -53,11 +53,17 @@ def sensory_score(domains: Column, found: Column, expected: Column) -> tuple[Col
 
 
 def attach_enrichment(rows: DataFrame, key: str, features: Column, enrichment: DataFrame, cap: float, feature_key: Sequence[str] = ("feature_type", "feature_name")) -> DataFrame:
-    """Best enrichment score and least q over a candidate's features (an array of structs with ``feature_key``)."""
+    """Best enrichment score and least q over a candidate's features (an array of structs with ``feature_key``). What is known of the features, a row
+    for each, goes to the candidates as one map: they are looked up in their row and no candidate moves. ``key`` names the row."""
     scored = enrichment.select(*feature_key, S.enrichment_score(F.col("odds_ratio"), F.col("q_value"), cap).alias("__s"), "q_value")
-    each = rows.select(key, F.explode(features).alias("__f")).select(key, *(F.col(f"__f.{c}").alias(c) for c in feature_key))
-    best = each.join(scored, list(feature_key)).groupBy(key).agg(F.max("__s").alias("enrichment_score"), F.min("q_value").alias("candidate_score_q"))
-    return rows.drop("enrichment_score", "candidate_score_q").join(best, key, "left").withColumn("enrichment_score", F.coalesce("enrichment_score", F.lit(0.0)))
+    known = scored.dropna(subset=list(feature_key)).groupBy(*feature_key).agg(F.max("__s").alias("s"), F.min("q_value").alias("q"))
+    entry = F.struct(F.struct(*feature_key), F.struct("s", "q"))
+    one = known.agg(F.map_from_entries(F.collect_list(entry)).alias("__known"))  # one row
+    asked = F.transform(features, lambda f: F.try_element_at(F.col("__known"), F.struct(*(f[c].alias(c) for c in feature_key))))
+    out = once(rows.drop("enrichment_score", "candidate_score_q").crossJoin(F.broadcast(one)), __found=asked).drop("__known")
+    least = F.array_min(F.transform("__found", lambda f: f["q"])).alias("candidate_score_q")
+    best = F.coalesce(F.array_max(F.transform("__found", lambda f: f["s"])), F.lit(0.0)).alias("enrichment_score")
+    return out.select("*", best, least).drop("__found")
 
 
 def score_candidates(loci: DataFrame, genes: DataFrame, weights: Mapping[str, float], catalog: Sequence[Mapping] | None = None, rules: Sequence[Mapping] = (), expected: Mapping[str, Sequence[str]] | None = None, enrichment: DataFrame | None = None, cap: float = 3.0) -> DataFrame:

@@ -151,3 +151,18 @@ def test_hits_with_metadata_are_written_by_target(spark):
     meta = spark.createDataFrame([(f"s{i % 4}", f"d{i}") for i in range(40)], "protein_accession string, dataset_name string")
     got = [r.protein_accession for r in anchors.hits_with_metadata(hits, F.broadcast(meta)).collect()]
     assert len(got) == 160 * 10 + 40 and got == sorted(got)
+
+
+def test_enrichment_is_looked_up_in_the_row(spark):
+    from flankline.operators import scoring
+
+    known = spark.createDataFrame([("a", "x", 4.0, 0.01), ("a", "x", 8.0, 0.2), ("b", "y", 2.0, 0.5), ("a", None, 64.0, 0.0)], "feature_type string, feature_name string, odds_ratio double, q_value double")
+    rows = spark.createDataFrame([(1, "x", ["y", "z"]), (2, None, []), (3, "q", ["y"])], "id int, c string, d array<string>")
+    pair = lambda t, c: F.struct(F.lit(t).alias("feature_type"), c.alias("feature_name"))
+    features = F.concat(F.array(pair("a", F.col("c"))), F.transform("d", lambda d: pair("b", d)))
+    out = scoring.attach_enrichment(rows, "id", features, known, 3.0)
+    got = {r.id: (r.enrichment_score, r.candidate_score_q) for r in out.collect()}
+    assert got[1][1] == 0.01 and got[1][0] > got[3][0] == 0 and got[2] == (0.0, None) and got[3][1] == 0.5
+    assert out._jdf.queryExecution().sparkPlan().toString().count("hashpartitioning") == 0 and "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    none = scoring.attach_enrichment(rows, "id", features, known.where("false"), 3.0)
+    assert {(r.enrichment_score, r.candidate_score_q) for r in none.collect()} == {(0.0, None)}
