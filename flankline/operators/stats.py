@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flankline.functions.numerics import beta_quantile_udf, chi_square_tail_udf, erfc_udf, fisher_p_udf
 from flankline.functions.scalars import logit_score
 from flankline.operators import scans
-from flankline.session import checkpoint_folder
+from flankline.session import checkpoint_folder, saved
 
 
 #: Bits of one of Spark's bitmaps.
@@ -196,6 +196,7 @@ def profile_scores(candidates: DataFrame, loci: DataFrame, key: Sequence[str] =
     by analyte and bucket, and the bits that both have are counted there. Rows without an organism count nowhere; with under two
     organisms there is no profile and the score is 0.
     """
+    candidates, loci = saved(candidates), saved(loci.select(within, organism).distinct())  # each is read several times
     organisms = loci.select(organism).union(candidates.select(organism)).where(F.col(organism).isNotNull()).distinct()
     n = organisms.count()
     rows = candidates.drop("phylogenetic_profile_score")
@@ -214,7 +215,7 @@ def profile_scores(candidates: DataFrame, loci: DataFrame, key: Sequence[str] =
     n11, own, mark_n = F.col("n11"), F.col("own"), F.col("mark_n")
     scores = counts.select(*(F.col(k).alias(f"__{k}") for k in key), normalized_mutual_information(n11, own - n11, mark_n - n11, F.lit(n) - own - mark_n + n11).alias("__score"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    return rows.join(scores, on, "left").withColumn("phylogenetic_profile_score", F.coalesce("__score", F.lit(0.0))).drop("__score", *(f"__{k}" for k in key))
+    return rows.join(F.broadcast(scores), on, "left").withColumn("phylogenetic_profile_score", F.coalesce("__score", F.lit(0.0))).drop("__score", *(f"__{k}" for k in key))
 
 
 def presence_counts(organisms: DataFrame, present: DataFrame, marked: DataFrame, organism: str, feature: Sequence[str]) -> DataFrame:

@@ -568,7 +568,8 @@ SELECT l_orderkey || '::' || gene AS candidate_id, round(CASE WHEN hx > 0 AND hy
 FROM ca JOIN e USING (c_mktsegment, rcls)""")
 def candidate_profiles(spark, sf_dir):
     """Candidates with the mutual information of their class and their analyte over organisms, by bitmaps."""
-    scored = stats.profile_scores(candidate_rows(spark, sf_dir), scored_loci(spark, sf_dir))
+    rows = candidate_rows(spark, sf_dir).select("candidate_id", "analyte", "regulator_class", "organism")
+    scored = stats.profile_scores(rows, scored_loci(spark, sf_dir))
     return scored.select("candidate_id", r6("phylogenetic_profile_score").alias("phylogenetic_profile_score"))
 
 

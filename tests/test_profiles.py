@@ -42,3 +42,18 @@ def test_buckets_that_are_over_full(spark, monkeypatch):
     monkeypatch.setattr(stats, "BITMAP_BITS", 8)
     rows = stats.numbered_bits(spark.range(200).selectExpr("concat('o', id) as o"), "o", 20).collect()
     assert len({(r.bucket, r.bit) for r in rows}) == 200 and max(r.bit for r in rows) == 7
+
+
+def test_candidates_are_computed_once(spark):
+    """Scores come from a saved table: what made the candidates is not run again for each use of them."""
+    rows = spark.createDataFrame([("a", "x", "o1"), ("a", "y", "o2")], "analyte string, regulator_class string, organism string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = rows.coalesce(1).mapInArrow(counted, rows.schema)
+    assert stats.profile_scores(made, spark.createDataFrame([("a", "o1"), ("a", "o2"), ("b", "o3")], "analyte string, organism string")).count() == 2
+    assert seen.value == 2
