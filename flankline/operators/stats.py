@@ -155,16 +155,21 @@ def one_per_group(rows: DataFrame, group: Sequence[str], score: str, tie: Sequen
 
 
 def under_policies(rows: DataFrame, locus: str, side: str, policies: dict[str, str | None], score: str) -> DataFrame:
-    """``rows`` once for each policy (a column ``policy``), thinned to one locus for each value of the policy's column and side."""
-    out = None
+    """``rows`` once for each policy (a column ``policy``), thinned to one locus for each value of the policy's column and side. The
+    loci that are left are told their policies, and ``rows`` meet them once for all policies."""
+    whole = [name for name, column in policies.items() if column is None]
+    left = None
     for name, column in policies.items():
-        kept = rows
         if column is not None:
             loci = rows.select(locus, side, column, score).distinct()
-            kept = rows.join(one_per_group(loci, [side, column], score, [locus]).select(locus), locus, "left_semi")
-        kept = kept.withColumn("policy", F.lit(name))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+            one = one_per_group(loci, [side, column], score, [locus]).select(F.col(locus).alias("__locus"), F.lit(name).alias("__policy"))
+            left = one if left is None else left.unionByName(one)
+    named = F.array(*map(F.lit, whole)).cast("array<string>")
+    if left is None:
+        return rows.withColumn("policy", F.explode(named))
+    told = left.groupBy("__locus").agg(F.collect_set("__policy").alias("__policies"))
+    met = rows.join(told, F.col(locus) == F.col("__locus"), "left" if whole else "inner")
+    return met.select(*rows.columns, F.explode(F.concat(named, F.coalesce("__policies", F.array().cast("array<string>")))).alias("policy"))
 
 
 def normalized_mutual_information(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:

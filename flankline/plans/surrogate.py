@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flankline.functions import scalars as S
 from flankline.operators import anchors, annotate, catalog, evaluate, lineage, neighborhoods, scoring, sequence, stats
+from flankline.session import tasks_for
 
 WINDOW = 3
 MAX_GAP = 20_000
@@ -640,9 +641,13 @@ w AS (SELECT feature, a, n1 - a AS b, c, n0 - c AS d FROM k, t)"""
 
 
 def enrichment_rows(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    n, m = tasks_for(spark, orders.count()), tasks_for(spark, lines.count())
+    c = read(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).repartition(n, "c_custkey")
+    o = orders.repartition(n, "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     feature = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string"))
-    return read(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "c_mktsegment", "n_name", "o_totalprice", feature.alias("feature"))
+    o = o.select("o_orderkey", "c_mktsegment", "n_name", "o_totalprice").repartition(m, "o_orderkey")
+    return lines.select("l_orderkey", feature.alias("feature")).repartition(m, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "c_mktsegment", "n_name", "o_totalprice", "feature")
 
 
 def is_case() -> Column:

@@ -20,6 +20,8 @@ DEFAULTS = {
 
 #: A side of a join with at most so many rows is sent to every task.
 FEW = 100_000
+#: So many rows of a join's larger side go to a task.
+ROWS_A_TASK = 500_000
 
 
 def local_session(cores: int | None = None, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -62,3 +64,10 @@ def joining(side: DataFrame, n: int) -> DataFrame:
     """The side of a join that has ``n`` rows: sent to every task if they are few, else sorted and merged, whatever the size of its
     files: small files may hold very many rows, and what is sent to every task passes through the driver."""
     return F.broadcast(side) if n <= FEW else side.hint("merge")
+
+
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """The number of partitions for ``n`` rows that tasks sort or keep in hash tables: ``ROWS_A_TASK`` of them in each, so that what a
+    task holds does not grow with the input. Adaptive execution does not merge partitions whose number is asked for; it would by the
+    bytes that were sent, and many rows that are alike are few bytes. Both sides of a join are to ask for the same number."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))

@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flankline import session
 from flankline.operators import anchors, annotate, evaluate, lineage, scoring, stats
+from flankline.plans import surrogate
 from flankline.sources import store
+from tests.conftest import same
 
 
 @pytest.mark.parametrize("threshold", [0.2, 0.4, 0.7])
@@ -50,6 +53,35 @@ def test_robustness(spark):
     assert plain.test == "fisher"
 
 
+def test_policies_by_brute_force_in_one_pass(spark):
+    rng = random.Random(3)
+    loci = [(None if k % 29 == 0 else f"l{k % 45}", rng.choice("xy"), rng.choice(["g1", "g2", "g3", None]), rng.choice(["f1", "f2"]), rng.choice([None, 1.0, 2.0])) for k in range(60)]
+    rows = [(*locus, f) for locus in loci for f in rng.choices(["a", "b", None], k=3)]
+    df = spark.createDataFrame(rows, "locus string, side string, genus string, family string, score double, feature string")
+    policies = {"none": None, "one_per_genus": "genus", "one_per_family": "family"}
+    want = [(*r, "none") for r in rows]
+    for policy, at in (("one_per_genus", 2), ("one_per_family", 3)):
+        best = {}
+        for r in rows:
+            place = (r[4] is None, -(r[4] or 0), r[0] is not None, r[0] or "")
+            best[r[1], r[at]] = min(best.get((r[1], r[at]), (place, r[0])), (place, r[0]), key=lambda x: x[0])
+        chosen = {x[1] for x in best.values()} - {None}
+        want += [(*r, policy) for r in rows if r[0] in chosen]
+    got = stats.under_policies(df, "locus", "side", policies, "score")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    only = stats.under_policies(df, "locus", "side", {"one_per_genus": "genus"}, "score")
+    assert sorted(map(tuple, only.collect()), key=repr) == sorted((r for r in want if r[-1] == "one_per_genus"), key=repr)
+    # read once for each thinned policy's loci and once for all policies' rows
+    assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 3
+
+
+def test_a_task_of_enrichment_has_a_bounded_number_of_rows(spark, sf, duck, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 200, raising=False)
+    per_task = [r["count"] for r in surrogate.enrichment_rows(spark, sf).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) <= 200 < sum(per_task) / 4
+    assert same(surrogate.robustness_counts(spark, sf), duck, surrogate.ORACLE_SQL["robustness_counts"])
+
+
 def test_ranks_and_first_candidates(spark):
     rows = [(f"c{k}", f"GENE_{k % 50}_x", float((k * 37) % 101) if k % 9 else None) for k in range(500)]
     df = spark.createDataFrame(rows, "candidate_id string, gene_accession string, candidate_score double")
