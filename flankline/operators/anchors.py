@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankline.operators import scans
-from flankline.operators.annotate import once
 from flankline.operators.seeds import best_seeds, close_matches, like_lengths
+from flankline.session import joining, saved, tasks_for, tasks_returning
 
+#: So many hits, or datasets, of a target are a block: a row of either is sent once for each block of the other.
+BLOCK = 512
 HIT_KEYS = ["dataset_name", "analyte", "anchor_family", "protein_accession", "locus_tag"]
 
 
@@ -69,11 +71,39 @@ def back_confirmed(hits: DataFrame, seeds: DataFrame, key: Sequence[str], sequen
 
 
 def hits_with_metadata(hits: DataFrame, metadata: DataFrame, target: str = "target_id", key: str = "protein_accession") -> DataFrame:
-    """Each hit with its target's metadata, if there is any; a target that several datasets have gives a row for each. There may be very many rows for
-    few targets: a task's hits stand in order of their targets, so that what is written repeats itself and its files stay small."""
-    side = metadata.withColumnRenamed(key, "__key")
-    hits = once(hits.sortWithinPartitions(target), __kept=F.lit(True)).drop("__kept")  # a sort right below a join would be taken out
-    return hits.join(side, F.col(target) == F.col("__key"), "left").withColumn(key, F.coalesce("__key", F.col(target))).drop("__key")
+    """Each hit with its target's metadata, if there is any; a target that several datasets have gives a row for each.
+
+    There may be very many rows for few targets. The hits and the datasets of a target are dealt into blocks of some ``BLOCK`` rows by their
+    digests, each block of hits meets each block of datasets, and these pairs, not the targets, are dealt out to tasks, of which there are as
+    many as the counted result asks for. A target without metadata meets an empty row. Hits (or datasets) alike in every column share a block.
+    A pair goes dataset by dataset, so that what is written repeats itself and its files stay small.
+    """
+    spark = hits.sparkSession
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  a null target has a name as well
+    digest = lambda t: F.xxhash64(*(f"`{c}`" for c, kind in t.dtypes if "map<" not in kind))
+    side = metadata.where(F.col(key).isNotNull())
+    n_hits = hits.groupBy(name(target).alias("__t")).agg(F.count("*").alias("__hits"))
+    n_sets = side.groupBy(name(key).alias("__t")).agg(F.count("*").alias("__found"))
+    met = saved(n_hits.join(n_sets, "__t", "left").withColumn("__sets", F.greatest("__found", F.lit(1))))  # 1: the empty row
+    met = met.withColumns({"__hs": F.ceil(F.col("__hits") / BLOCK), "__ds": F.ceil(F.col("__sets") / BLOCK)})
+    total = {"few": F.count("*"), "n": F.sum(F.expr("__hits * __sets")), "h": F.sum("__hits"), "d": F.sum("__sets"), "hs": F.sum(F.expr("__hits * __ds")), "ds": F.sum(F.expr("__sets * __hs"))}
+    count = {k: v or 0 for k, v in met.agg(*(v.alias(k) for k, v in total.items())).first().asDict().items()}
+    met = joining(met, count["few"])
+    tasks = tasks_returning(spark, count["n"])
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        """The rows in their blocks, once for each block of the other side."""
+        if (n := count[f"{mine}s"]) > 2 * count[mine]:  # few rows, and so few tasks, would make many
+            rows = rows.repartition(tasks_for(spark, n), "__t", "__digest")
+        rows = rows.join(met, "__t").withColumn(f"__{mine}", F.pmod("__digest", F.col(f"__{mine}s")))
+        rows = rows.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.col(f"__{other}s") - 1))).drop("__digest", *met.columns[1:])
+        return rows if tasks == 1 else rows.repartition(tasks, "__t", "__h", "__d")
+
+    empty = met.where(F.col("__found").isNull()).select("__t", F.lit(0).cast("long").alias("__digest"))
+    sets = side.withColumns({"__t": name(key), "__digest": digest(side)}).drop(key).unionByName(empty, allowMissingColumns=True)
+    left, right = dealt(sets, "d", "h").alias("d"), dealt(hits.withColumns({"__t": name(target), "__digest": digest(hits)}), "h", "d").alias("h")
+    found = left.join(right.hint("merge"), [F.col(f"d.{c}") == F.col(f"h.{c}") for c in ("__t", "__h", "__d")])
+    return found.select(*(f"h.`{c}`" for c in hits.columns), *(f"d.`{c}`" for c in metadata.columns if c != key)).withColumn(key, F.col(target))
 
 
 def best_hits_with_metadata(best: DataFrame, metadata: DataFrame, order: Sequence[str] = ("dataset_name",), target: str = "target_id", key: str = "protein_accession") -> DataFrame:

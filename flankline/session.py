@@ -22,6 +22,8 @@ DEFAULTS = {
 FEW = 100_000
 #: So many rows of a join's larger side go to a task.
 ROWS_A_TASK = 500_000
+#: So many rows that a join makes and does not keep are returned by a task.
+ROWS_RETURNED = 4_000_000
 
 
 def local_session(cores: int | None = None, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -71,3 +73,9 @@ def tasks_for(spark: SparkSession, n: int) -> int:
     task holds does not grow with the input. Adaptive execution does not merge partitions whose number is asked for; it would by the
     bytes that were sent, and many rows that are alike are few bytes. Both sides of a join are to ask for the same number."""
     return max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+
+
+def tasks_returning(spark: SparkSession, n: int) -> int:
+    """The number of partitions for ``n`` rows that a join makes of far fewer: ``ROWS_A_TASK`` in each until all cores have work, then
+    ``ROWS_RETURNED``, as such rows pass through a task and each task writes a file."""
+    return max(1, min(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK)), -(-n // ROWS_RETURNED))

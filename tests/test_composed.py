@@ -1,6 +1,7 @@
 """Composed operators against brute force or hand-made values."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,29 @@ def test_enrichment_is_looked_up_in_the_row(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("hashpartitioning") == 0 and "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
     none = scoring.attach_enrichment(rows, "id", features, known.where("false"), 3.0)
     assert {(r.enrichment_score, r.candidate_score_q) for r in none.collect()} == {(0.0, None)}
+
+
+def test_hits_of_few_targets_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "BLOCK", 20)
+    monkeypatch.setattr(session, "ROWS_A_TASK", 5_000)
+    monkeypatch.setattr(session, "ROWS_RETURNED", 5_000)
+    rows = [(i, "hot") for i in range(500)] + [(i % 2, "warm") for i in range(60)] + [(7, None), (7, None), (8, "none"), *[(i, "lone") for i in range(30)]]
+    sets = [("hot", f"d{i}") for i in range(250)] + [("warm", None), ("warm", "x"), ("warm", "x"), (None, "n"), ("unmet", "u"), ("", "e")]
+    hits = spark.createDataFrame(rows, "q int, target_id string").coalesce(1)
+    out = anchors.hits_with_metadata(hits, spark.createDataFrame(sets, "protein_accession string, dataset_name string").coalesce(1))
+    assert out.columns == ["q", "target_id", "dataset_name", "protein_accession"]
+    want = Counter((q, t, d, t) for q, t in rows for d in ([d for k, d in sets if k == t and t is not None] or [None]))
+    parts = out.groupBy(F.spark_partition_id().alias("p"), *out.columns).count().collect()
+    got = Counter()
+    for r in parts:
+        got[(r.q, r.target_id, r.dataset_name, r.protein_accession)] += r["count"]
+    assert got == want
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 15 and max(r["count"] for r in tasks) < 30_000
+
+
+def test_hits_without_rows_or_metadata(spark):
+    hits = spark.createDataFrame([(1, "a"), (2, None)], "q int, target_id string")
+    meta = spark.createDataFrame([("a", "d")], "protein_accession string, dataset_name string")
+    assert anchors.hits_with_metadata(hits.where("q > 5"), meta).count() == 0
+    assert sorted(r.q for r in anchors.hits_with_metadata(hits, meta.where("dataset_name = 'x'")).collect()) == [1, 2]
